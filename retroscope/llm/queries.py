@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from retroscope.llm._common import table
 from retroscope.llm.minhash_dedup import near_duplicates
+from retroscope.llm.suffix_dedup import cut_repeats
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,7 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 
