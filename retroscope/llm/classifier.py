@@ -158,21 +158,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     return train([x.as_py() for x in bytes_of(rows.column("text").combine_chunks())], [min(1, max(0, x)) for x in rows.column("_label").to_pylist()])
 
 
-SCORED = "doc_id bigint, held_out boolean, score double"
-
-
-def _score(model: Model):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = bytes_of(batch.column("text"))
-            ends, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
-            while at < batch.num_rows:
+def scorer(docs: DataFrame, model: Model) -> Column:
+    """The score of docs' text as a column."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            batch, at, parts = bytes_of(batch), 0, [np.empty(0)]
+            ends = np.cumsum(pc.binary_length(batch).to_numpy())
+            while at < len(batch):
                 end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, side="right")))
-                scores = model.scores([x.as_py() for x in texts.slice(at, end - at)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), batch.column("held_out").slice(at, end - at), pa.array(scores)], names=["doc_id", "held_out", "score"])
+                parts.append(sent.value.scores([x.as_py() for x in batch.slice(at, end - at)]))
                 at = end
+            yield pa.array(np.concatenate(parts))
 
-    return of
+    return scores(F.col("text").cast("string"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -181,7 +182,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts get the model's bias alone; a null doc_id is not held out; repeated rows get equal
     scores; other columns are ignored; an empty table gives an empty table. Nothing is shuffled.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
-    model = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
-    return rows.mapInArrow(lambda b: _score(model.value)(b), SCORED).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    doc_id = F.col("doc_id").cast("bigint")
+    rows = docs.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), scorer(docs, model).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that score at least 0.5, with all their columns."""
+    return docs.where(scorer(docs, model) >= 0.5)

@@ -8,9 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retroscope.llm import classifier
 from retroscope.llm._common import table
+from retroscope.llm.chat import canonical, parse_transcripts
+from retroscope.llm.chunk_dedup import copied_spans
+from retroscope.llm.decontamination import contaminated
+from retroscope.llm.html_text import extract_text
 from retroscope.llm.minhash_dedup import near_duplicates
 from retroscope.llm.packing import pack
+from retroscope.llm.quality_rules import quality_rules
 from retroscope.llm.suffix_dedup import cut_repeats
 from retroscope.llm.tokens import count_tokens
 
@@ -24,19 +30,42 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+    return cut_repeats(table(spark, sf_dir, "documents"), keep=None)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical(parse_transcripts(table(spark, sf_dir, "conversations")))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copied_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_packing": op1_packing,
-    "op2_token_counts": op2_token_counts,
-    "op4_suffix_dedup": op4_suffix_dedup,
-    "op9_minhash_dedup": op9_minhash_dedup,
+    f.__name__: f
+    for f in (op1_packing, op2_token_counts, op3_html_extraction, op4_suffix_dedup, op5_quality_rules, op6_chat_formatting, op7_quality_classifier, op8_decontamination, op9_minhash_dedup, op10_chunk_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -298,7 +298,7 @@ def _repeats(length: int):
     return of
 
 
-CUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+KINDS = {"bytes": ("kept", pa.binary()), "text": ("text", pa.string())}
 
 
 def spans_of(starts: np.ndarray, windows: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -309,8 +309,8 @@ def spans_of(starts: np.ndarray, windows: np.ndarray, length: int) -> list[tuple
     return list(zip(lo[top].tolist(), hi[np.append(top[1:] - 1, lo.size - 1)].tolist(), strict=True))
 
 
-def _cut(length: int, keep_text: bool):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+def _cut(length: int, keep: str | None, carry: tuple[str, ...]):
+    kinds = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([KINDS[keep]] if keep else [])]
 
     def one(text: bytes, runs: list | None) -> tuple:
         kept, spans = text, []
@@ -318,15 +318,16 @@ def _cut(length: int, keep_text: bool):
             spans = spans_of(np.array([r["start"] for r in runs]), np.array([r["windows"] for r in runs]), length)
             edges = [0, *(x for s in spans for x in s), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-        return len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if keep_text else None
+        out = len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
+        return (*out, kept.decode(errors="ignore") if keep == "text" else kept) if keep else out
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 rows = [one(t.as_py(), r.as_py()) for t, r in zip(bytes_of(part.column("text")), part.column("runs"), strict=True)]
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, *map(part.column, carry)], names=["doc_id", *(n for n, _ in kinds), *carry])
 
     return of
 
@@ -345,17 +346,20 @@ def _by_row(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return docs.join(other, docs["doc_id"].eqNullSafe(other["_doc"]) & (docs["_k"] == other["_key"]), how).drop("_doc", "_key")
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: str | None = "bytes", carry: tuple[str, ...] = ()) -> DataFrame:
     """docs (doc_id, text) without the bytes that a repeated string of `length` bytes covers.
 
-    One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes
-    (which may break a UTF-8 character). Matches never cross texts; overlaps count; strings are judged on
-    the input. Null texts count as empty; texts of fewer than `length` bytes are left alone. Rows repeated
-    with the same doc_id and text are texts of their own, so they repeat each other. A null doc_id is an
-    id like others. Other columns are ignored; an empty table gives an empty table.
+    One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, then what stays: with keep "bytes" the
+    column kept (which may break a UTF-8 character), with "text" the column text (without the rest of broken
+    characters), with None neither; then the columns of docs named in carry. Matches never cross texts;
+    overlaps count; strings are judged on the input. Null texts count as empty; texts of fewer than `length`
+    bytes are left alone. Rows repeated with the same doc_id and text are texts of their own, so they repeat
+    each other. A null doc_id is an id like others. Other columns are ignored; an empty table gives an empty
+    table.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     docs = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    runs = repeated_runs(docs, length).groupBy("doc_id", "_k").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    cut = _by_row(docs, runs, "left").select("doc_id", "text", "runs").mapInArrow(_cut(length, keep_text), CUT)
-    return cut if keep_text else cut.drop("kept")
+    runs = repeated_runs(docs.select("doc_id", "text", "_k"), length).groupBy("doc_id", "_k").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + {"bytes": ", kept binary", "text": ", text string", None: ""}[keep]
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return _by_row(docs, runs, "left").select("doc_id", "text", "runs", *carry).mapInArrow(_cut(length, keep, carry), schema)
