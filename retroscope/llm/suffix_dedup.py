@@ -155,15 +155,34 @@ class _Out:
         self.rows: list[tuple] = []
         self.times: dict[bytes, int] = {}
 
-    def add(self, doc, k, start, windows, place, mark: bytes, key: int | None, body) -> None:
+    def met(self, mark: bytes) -> int:
         seen = self.times.get(mark, 0)
         if len(self.times) > REMEMBERED:
             self.times.clear()
         self.times[mark] = seen + 1
+        return seen
+
+    def add(self, doc, k, start, windows, place, mark: bytes, key: int | None, body, seen: int | None = None) -> None:
+        seen = self.met(mark) if seen is None else seen
         h1, h2 = int.from_bytes(mark[:8], "little", signed=True), int.from_bytes(mark[8:], "little", signed=True)
         key = h1 if key is None else key
         self.rows.append((doc, k, start, windows, place, seen > 1, None if seen else body, h2 ^ start if seen > 1 else key, h1, h2))
 
+    def add_windows(self, doc, k, start: int, marks: np.ndarray) -> None:
+        """Successive windows, each by its hash; those that are known copies go as runs."""
+        copies = 0
+        for i, mark in enumerate(map(bytes, marks)):
+            seen = self.met(mark)
+            if seen > 1:
+                copies += 1
+                continue
+            if copies:
+                self.add(doc, k, start + i - copies, copies, 0, mark, None, None, 2)
+                copies = 0
+            self.add(doc, k, start + i, 1, 0, mark, None, None, seen)
+        if copies:
+            self.add(doc, k, start + len(marks) - copies, copies, 0, mark, None, None, 2)
+
     def flush(self) -> pa.RecordBatch:
         columns = list(zip(*self.rows, strict=True)) if self.rows else [[]] * len(_SEGMENTS)
         self.rows = []
@@ -191,8 +210,7 @@ def _segments(length: int):
                     both = np.stack([_rolling(2)(data, length), _rolling(3)(data, length)], axis=1)
                     for i in use[hot].tolist():
                         row, offset, start, _ = held[own[i]]
-                        for p in range(int(first[i]), int(first[i] + n[i])):
-                            out.add(ids[row], keys[row], p - start + offset, 1, 0, both[p].tobytes(), None, None)
+                        out.add_windows(ids[row], keys[row], int(first[i]) - start + offset, both[first[i] : first[i] + n[i]])
                         if len(out.rows) >= 5000:
                             yield out.flush()
             yield out.flush()
