@@ -108,12 +108,14 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), 0.0 if not labels else 5.0 if labels[0] else -5.0)
     rows = []
-    for at in range(0, len(texts), 200):
-        text, bucket, weight = features(texts[at : at + 200])
-        for i in range(len(texts[at : at + 200])):
-            own = text == i
-            ids, where = np.unique(bucket[own], return_inverse=True)
-            rows.append((ids.astype(np.int32), np.bincount(where, weight[own]).astype(np.float32) if ids.size else np.empty(0, np.float32)))
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        text, bucket, weight = features(part)
+        # sums by text and bucket
+        key, where = np.unique(text * BUCKETS + bucket, return_inverse=True)
+        total = np.bincount(where, weight, minlength=key.size).astype(np.float32)
+        bounds = np.searchsorted(key, np.arange(len(part) + 1) * BUCKETS)
+        rows.extend(((key[lo:hi] % BUCKETS).astype(np.int32), total[lo:hi, None]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1.0 / DIMS, 1.0 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
     layer, bias = np.zeros((2, DIMS), np.float32), np.zeros(2, np.float32)
@@ -125,18 +127,15 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
             lr = rate * (1 - done / steps)
             done += 1
             pick = order[at : at + BATCH]
-            ids = np.concatenate([rows[i][0] for i in pick])
-            w = np.concatenate([rows[i][1] for i in pick])
-            row = np.repeat(np.arange(pick.size), [rows[i][0].size for i in pick])
-            one = np.zeros((pick.size, DIMS), np.float32)
-            np.add.at(one, row, vectors[ids] * w[:, None])
+            one = np.stack([(vectors[rows[i][0]] * rows[i][1]).sum(axis=0) for i in pick])
             z = one @ layer.T + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             g = (p / p.sum(axis=1, keepdims=True) - y[pick]) / pick.size
             back = g @ layer
             layer -= lr * (g.T @ one)
             bias -= lr * 0.1 * g.sum(axis=0)
-            np.add.at(vectors, ids, -lr * back[row] * w[:, None])
+            for i, step in zip(pick, -lr * back, strict=True):
+                vectors[rows[i][0]] += rows[i][1] * step
     value = vectors.astype(np.float64) @ (layer[1] - layer[0]).astype(np.float64)
     return Model(value, float(bias[1] - bias[0]))
 

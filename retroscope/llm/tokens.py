@@ -22,48 +22,68 @@ from retroscope.llm._common import bytes_of
 #: Unicode's White_Space, which is the \s of the tokenizers' patterns (and not quite that of Python's).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Text bytes of a batch; pieces and their length that a worker remembers.
-BATCH_BYTES, REMEMBERED, SHORT = 1 << 20, 600_000, 64
+#: Text bytes of a batch; pieces and their length that a worker remembers; new pieces encoded as one text.
+BATCH_BYTES, REMEMBERED, SHORT, TOGETHER = 1 << 20, 1_000_000, 64, 256
+
+#: Characters that Python's split() takes for white space and the tokenizers don't.
+_NO_SPACE = re.compile("[\x1c-\x1f]")
 
 _MODELS: dict[str, tuple] = {}
 
 
-def _model(path: str) -> tuple[Callable[[list[str]], list], dict]:
-    """The encoder of a tokenizer file, and the worker's memory of pieces."""
+def _model(path: str) -> tuple[Callable[[list[str]], list], dict, bool, Callable | None]:
+    """A tokenizer file's encoder, the worker's memory of pieces, whether white space has no tokens, and the
+    encoder with places."""
     if path not in _MODELS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _MODELS[path] = (lambda texts: model.encode(texts, num_threads=1)), {}
+            _MODELS[path] = (lambda texts: model.encode(texts, num_threads=1)), {}, False, None
         else:
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
             model.no_padding()
             model.no_truncation()
-            _MODELS[path] = (lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]), {}
+            encode = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+            alone, spaced, blank, blanks = encode(["a", "\n \ta", " ", "\u2003\x85"])
+            _MODELS[path] = encode, {}, alone == spaced and not blank and not blanks, lambda texts: model.encode_batch(texts, add_special_tokens=False)
     return _MODELS[path]
 
 
+def _apart(pieces: list[str], path: str) -> Iterator[list[int]]:
+    """The ids of each piece, where white space has no tokens: encoded together, told apart by their places."""
+    lines = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+    for line, found in zip(lines, _MODELS[path][3]([" ".join(x) for x in lines]), strict=True):
+        starts = np.cumsum([0, *(len(p) + 1 for p in line)])
+        at = np.searchsorted([a for a, _ in found.offsets], starts).tolist()
+        ids = found.ids
+        yield from (ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+
+
 def encoded(texts: list[str], path: str, kind: Callable[[list[int]], object]) -> list[list]:
     """For each text the encoded pieces in a row, each as kind(ids)."""
-    encode, memory = _model(path)
+    encode, memory, bare, _ = _model(path)
     memory = memory.setdefault(kind, {})
-    # sentencepiece joins words over white space, so its texts stay whole
-    parts = [_PIECE.findall(t) for t in texts] if not path.endswith(".model") else [[t] for t in texts]
-    new = list({p for part in parts for p in part if p not in memory})
-    if len(memory) + len(new) > REMEMBERED:
-        memory.clear()
-        new = list({p for part in parts for p in part})
-    found = {p: kind(ids) for p, ids in zip(new, encode(new), strict=True)}
-    memory.update((p, v) for p, v in found.items() if len(p) <= SHORT)
-    found = {p: v for p, v in found.items() if len(p) > SHORT}
-    get = memory.get
-    if not found:
-        return [[get(p) for p in part] for part in parts]
-    return [[found[p] if p in found else get(p) for p in part] for part in parts]
+    if path.endswith(".model"):  # sentencepiece joins words over white space, so its texts stay whole
+        parts = [[t] for t in texts]
+    elif bare:
+        parts = [t.split() if not _NO_SPACE.search(t) else _PIECE.findall(t) for t in texts]
+    else:
+        parts = [_PIECE.findall(t) for t in texts]
+    found = [list(map(memory.get, part)) for part in parts]
+    open_texts = [i for i, ids in enumerate(found) if None in ids]
+    if open_texts:
+        new = list({p for i in open_texts for p, ids in zip(parts[i], found[i], strict=True) if ids is None})
+        own = dict(zip(new, map(kind, _apart(new, path) if bare else encode(new)), strict=True))
+        for i in open_texts:
+            found[i] = [own[p] if ids is None else ids for p, ids in zip(parts[i], found[i], strict=True)]
+        if len(memory) + len(new) > REMEMBERED:
+            memory.clear()
+        memory.update((p, v) for p, v in own.items() if len(p) <= SHORT)
+    return found
 
 
 def by_bytes(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[tuple[int, list[str]]]:
