@@ -162,8 +162,7 @@ class _Out:
         self.times[mark] = seen + 1
         return seen
 
-    def add(self, doc, k, start, windows, place, mark: bytes, key: int | None, body, seen: int | None = None) -> None:
-        seen = self.met(mark) if seen is None else seen
+    def add(self, doc, k, start, windows, place, mark: bytes, key: int | None, body, seen: int) -> None:
         h1, h2 = int.from_bytes(mark[:8], "little", signed=True), int.from_bytes(mark[8:], "little", signed=True)
         key = h1 if key is None else key
         self.rows.append((doc, k, start, windows, place, seen > 1, None if seen else body, h2 ^ start if seen > 1 else key, h1, h2))
@@ -199,13 +198,25 @@ def _segments(length: int):
                 rows = np.array([row for row, *_ in held])[own]
                 use = np.flatnonzero(_member(rows, anchor, batch.column("anchors")))
                 hot = _member(rows[use], anchor[use], batch.column("hot"))
+                run: list | None = None  # known copies that follow each other in a text
                 for i in use[~hot].tolist():
                     row, offset, start, _ = held[own[i]]
                     at, many, place = int(first[i]), int(n[i]), int(first[i] - q[i])
                     body = data[at : at + many - 1 + length].tobytes()
-                    out.add(ids[row], keys[row], at - start + offset, many, place, xxhash.xxh3_128_digest(body, seed=place + length), int(anchor[i]), body)
+                    mark = xxhash.xxh3_128_digest(body, seed=place + length)
+                    seen, begin = out.met(mark), at - start + offset
+                    if seen < 2:
+                        out.add(ids[row], keys[row], begin, many, place, mark, int(anchor[i]), body, seen)
+                    elif run and run[0] == row and run[1] + run[2] == begin:
+                        run[2] += many
+                    else:
+                        if run:
+                            out.add(ids[run[0]], keys[run[0]], run[1], run[2], 0, run[3], None, None, 2)
+                        run = [row, begin, many, mark]
                     if len(out.rows) >= 5000:
                         yield out.flush()
+                if run:
+                    out.add(ids[run[0]], keys[run[0]], run[1], run[2], 0, run[3], None, None, 2)
                 if hot.any():
                     both = np.stack([_rolling(2)(data, length), _rolling(3)(data, length)], axis=1)
                     for i in use[hot].tolist():
