@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from retroscope.functions.windows import EPS, by_time, change, deviation, full, mean, slope
 
-c, v = F.col("close"), F.col("volume")
-
-
 def technical_features(bars: DataFrame) -> DataFrame:
     """bars (security, session, open, high, low, close, volume) with the tech_ columns.
 
     Frames are full but for tech_drawdown (from the first row) and the up-down volume ratio (20 rows of 50).
     """
+    c, v = F.col("close"), F.col("volume")
     diff = c - F.lag(c, 1).over(by_time())
     bars = bars.withColumns({"_r": change(c), "_up": F.when(diff > 0, v).otherwise(0.0), "_down": F.when(diff < 0, v).otherwise(0.0)})
     out = bars.withColumns({
@@ -47,6 +45,7 @@ def technical_features(bars: DataFrame) -> DataFrame:
 
 def oscillators(bars: DataFrame) -> DataFrame:
     """rsi_14, atr_ratio_14, bollinger_width_20, vol_ratio_63_21, up_down_volume_50, trend_slope_21 of full frames."""
+    c, v = F.col("close"), F.col("volume")
     before = F.lag(c, 1).over(by_time())
     diff = c - before
     bars = bars.withColumns({
@@ -70,6 +69,7 @@ def oscillators(bars: DataFrame) -> DataFrame:
 
 def islands(bars: DataFrame) -> DataFrame:
     """Runs of sessions that close up, or don't: security, first, last, rows, up."""
+    c = F.col("close")
     up = (c > F.lag(c, 1).over(by_time())).cast("int")
     rows = bars.withColumn("up", up).where("up is not null")
     rows = rows.withColumn("_new", F.coalesce((F.col("up") != F.lag("up", 1).over(by_time())).cast("int"), F.lit(1)))

@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from retroscope.functions.windows import by_time
 
-c = F.col("close")
-
-
 def forward_outcomes(bars: DataFrame, horizons: tuple[int, ...] = (21, 63), upside: float = 0.1, downside: float = -0.1) -> DataFrame:
     """future_return_h, and over the next rows (fewer at the end): extremes, offsets of peak and first hits.
 
     available: the session at which the longest horizon is over, null before that has come.
     """
-    far = max(horizons)
+    c, far = F.col("close"), max(horizons)
     ahead = by_time().rowsBetween(1, far)
     out = bars.withColumns({f"future_return_{h}": F.lead(c, h).over(by_time()) / c - 1 for h in horizons})
     out = out.withColumns({
