@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retroscope.functions.windows import EPS, by_time, change, deviation, full, mean, slope
 
+
 def technical_features(bars: DataFrame) -> DataFrame:
     """bars (security, session, open, high, low, close, volume) with the tech_ columns.
 

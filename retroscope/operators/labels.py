@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from retroscope.functions.windows import by_time
 
+
 def forward_outcomes(bars: DataFrame, horizons: tuple[int, ...] = (21, 63), upside: float = 0.1, downside: float = -0.1) -> DataFrame:
     """future_return_h, and over the next rows (fewer at the end): extremes, offsets of peak and first hits.
 
