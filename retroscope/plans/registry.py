@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retroscope.functions.windows import by_time, change, rounded
-from retroscope.operators import calendar, features, inference, labels, ranking, recursive, retrieval
+from retroscope.operators import audits, calendar, features, inference, labels, ranking, recursive, retrieval, weighting
 from retroscope.sources import panel
 
 FLAGSHIP = "technical_features"
@@ -298,8 +298,9 @@ def _memory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return queries, rows
 
 
-_FOUND = """WITH c AS (SELECT q.vec_id AS query_id, m.vec_id AS record_id, m.label AS security, CAST(m.embedding[1] AS DOUBLE) AS target,
-  list_sum(list_transform(generate_series(1, len(m.embedding)), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(m.embedding[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(m.embedding[i] AS DOUBLE)))) AS distance
+_DISTANCE = "list_sum(list_transform(generate_series(1, len(m.embedding)), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(m.embedding[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(m.embedding[i] AS DOUBLE))))"
+_FOUND = f"""WITH c AS (SELECT q.vec_id AS query_id, m.vec_id AS record_id, m.label AS security, CAST(m.embedding[1] AS DOUBLE) AS target,
+  {_DISTANCE} AS distance
   FROM embeddings q JOIN embeddings m ON m.vec_id + 63 <= q.vec_id AND m.label <> q.label WHERE q.vec_id % 100 = 0)"""
 _NEAR = f"{_FOUND}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) AS rank FROM c)"
 
@@ -337,6 +338,40 @@ def retrieval_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(retrieval.evidence(found), ["query_id", "neighbors", "securities"], EVIDENCE)
 
 
+@query(f"""{_GREEDY}, d AS (SELECT *, greatest(sqrt(distance), 1e-9) AS dist FROM k),
+b AS (SELECT *, exp(-0.5 * (dist / greatest(median(dist) OVER (PARTITION BY query_id), 1e-9)) ** 2) * pow(2, -(query_id - record_id) / 126::DOUBLE) / count(*) OVER (PARTITION BY query_id, security) AS raw FROM d),
+v AS (SELECT *, raw / sum(raw) OVER (PARTITION BY query_id) AS wt FROM b),
+t AS (SELECT *, coalesce(sum(wt) OVER (PARTITION BY query_id ORDER BY target, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v)
+SELECT query_id, count(*) AS neighbors, round(sum(wt * target), 6) AS expected, round(1 / sum(wt * wt), 6) AS effective_size, round(sum(greatest(0, least(wt, 0.25 - before)) * target) / 0.25, 6) AS tail_mean FROM t GROUP BY query_id""")
+def prior_weighted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.constrained(retrieval.candidates(*_memory(spark, sf_dir)))
+    rows = weighting.weighted_evidence(weighting.prior_weights(found, F.col("query_id") - F.col("ordinal"), 126.0))
+    return _rounded(rows, ["query_id", "neighbors"], ["expected", "effective_size", "tail_mean"])
+
+
+@query(f"""{_GREEDY}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) AS rank FROM k),
+m AS (SELECT query_id, scale, avg(target) AS m FROM r, (SELECT unnest([10, 15, 25]) AS scale) WHERE rank <= scale GROUP BY 1, 2)
+SELECT query_id, count(*) AS scales, round(median(m), 6) AS expected, round(abs(sum(sign(m))) / count(*), 6) AS sign_agreement, round(median(m) - 0.5 * stddev_pop(m), 6) AS penalized FROM m GROUP BY query_id""")
+def multiscale_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = weighting.multiscale(retrieval.constrained(retrieval.candidates(*_memory(spark, sf_dir))))
+    return _rounded(rows, ["query_id", "scales"], ["expected", "sign_agreement", "penalized"])
+
+
+@query(_GREEDY.replace(_DISTANCE, "sha256(q.vec_id || ':7:' || m.vec_id)") + " SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) AS INT) AS rank, record_id, security FROM k")
+def random_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weighting.shuffled(retrieval.candidates(*_memory(spark, sf_dir)), 7)
+    return retrieval.constrained(found).select("query_id", "rank", "record_id", "security")
+
+
+@query(f"""{_NEAR}, g AS (SELECT *, record_id - lag(record_id) OVER (PARTITION BY query_id, security ORDER BY record_id) AS gap FROM n WHERE rank <= 25)
+SELECT 'maturity' AS rule, count(*) AS rows, count(*) FILTER (record_id + 63 > query_id) AS violations FROM g
+UNION ALL SELECT 'own_security', count(*), count(*) FILTER (g.security = q.label) FROM g JOIN embeddings q ON q.vec_id = g.query_id
+UNION ALL SELECT 'separation', count(*), count(*) FILTER (gap < 21) FROM g""")
+def retrieval_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, memory = _memory(spark, sf_dir)
+    return audits.retrieval_audit(retrieval.nearest(retrieval.candidates(asked, memory), 25), asked, memory)
+
+
 @query("""WITH s AS (SELECT l_returnflag AS seed, CAST(l_shipdate AS DATE) AS session, l_suppkey AS security, avg(l_discount) - 0.05 AS score, min(l_tax) AS downside FROM lineitem GROUP BY 1, 2, 3)
 SELECT session, security, round(median(score), 6) AS score, round(min(downside), 6) AS downside, round(stddev_pop(score), 6) AS dispersion, CAST(sum(CAST(score > 1e-9 AS INT)) AS BIGINT) AS votes, 2 * sum(CAST(score > 1e-9 AS INT)) > 3 AS majority FROM s GROUP BY 1, 2""")
 def seed_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
