@@ -1,13 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-1. One pass over the documents looks up all n-grams of the benchmark (a broadcast table of checked size;
-   a larger benchmark goes through in blocks) and keeps, around the places where they occur, passages of
-   word numbers. Nothing else of a document is kept or moved.
-2. The counts of these n-grams over the whole corpus decide which are seeds: in every run of SEED_RUN
-   n-grams of an item the rarest, so each copy with SEED_RUN + GRAM - 1 unedited words in a row has a seed,
-   however often the passage occurs.
-3. A passage and an item that share a seed are aligned: a word that agrees adds 1, one that differs or is
-   skipped takes 1. The best alignment's score over the item's words is the share by which it counts.
+An alignment scores 1 for a word that agrees and -1 for one that differs or is skipped. With m words that
+agree, e errors and so at most e + 1 runs of agreeing words, m - e - 1 pairs of neighbouring words agree at
+least: the least score less 1. This decides what is aligned, and no alignment that counts is lost by it.
+
+1. One pass over the documents looks up the word pairs of the benchmark (a broadcast table of checked size;
+   a larger benchmark goes through in blocks). Of an item's pairs those that most items share are left out,
+   half as many as must agree, so the rest of these pairs must be found among the rarer ones, the seeds.
+2. Where so many seeds of an item lie within the words that an alignment can span, the passage and the item
+   are aligned. The best alignment's score over the item's words is the share by which it counts.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retroscope.llm._common import GOLD, bytes_of, mix, store
+from retroscope.llm._common import GOLD, bytes_of, mix
 
-GRAM, SEED_RUN, SHARE = 4, 3, 0.5
+#: Items of fewer words are looked for as a whole.
+WHOLE = 4
+SHARE = 0.5
 #: Words of benchmark items that one pass looks for at once.
 BLOCK_WORDS = 2_000_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -47,79 +50,44 @@ def gram_hashes(numbers: np.ndarray, gram: int) -> np.ndarray:
 
 
 class Block:
-    """Some benchmark items: their words' numbers, and the sorted hashes of their n-grams by length."""
+    """Some benchmark items: their words' numbers, and the sorted hashes of their seeds with the items that hold them."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], share: float = SHARE):
         self.number: dict[bytes, int] = {}
-        self.ids, self.items = [], []
+        self.share, self.ids, self.items = share, [], []
         for item, text in items:
             words = words_of(text)
             if words:
                 self.ids.append(item)
                 self.items.append(np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int32))
-        self.gram = [min(GRAM, x.size) for x in self.items]
-        own = [gram_hashes(x, g) for x, g in zip(self.items, self.gram, strict=True)]
-        self.own = own
-        self.grams = {g: np.unique(np.concatenate([h for h, k in zip(own, self.gram, strict=True) if k == g])) for g in set(self.gram)}
-        self.around = 2 * max((x.size for x in self.items), default=0)
-
-    def seeds(self, counts: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each n-gram length the sorted seeds with the item's number and the place in the item."""
-        found: dict[int, list] = {}
-        for i, (h, g) in enumerate(zip(self.own, self.gram, strict=True)):
-            often = np.array([counts.get(int(x), 0) for x in h.view(np.int64)])
-            run = min(SEED_RUN, h.size)
-            windows = np.lib.stride_tricks.sliding_window_view(often, run)
-            at = np.unique(windows.argmin(axis=1) + np.arange(windows.shape[0]))
-            found.setdefault(g, []).append((h[at], np.full(at.size, i), at))
-        out = {}
-        for g, parts in found.items():
-            h, i, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        sizes = np.array([x.size for x in self.items], np.int64)
+        least = np.ceil(share * sizes).astype(np.int64)
+        # where one word is enough for the score, single words are the seeds
+        gram = np.where(sizes < WHOLE, sizes, np.where(least > 1, 2, 1))
+        agree = np.where(sizes < WHOLE, 1, np.maximum(least - 1, 1))
+        #: Seeds that a copy of each item holds at least, and places over which they spread at most.
+        self.need = agree - agree // 2
+        self.reach = np.floor((2 - share) * sizes).astype(np.int64) + 1
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for g in set(gram.tolist()):
+            mine = np.flatnonzero(gram == g)
+            own = [gram_hashes(self.items[i], g) for i in mine]
+            shared, held = np.unique(np.concatenate([np.unique(h) for h in own]), return_counts=True)
+            rare = []
+            for i, h in zip(mine, own, strict=True):
+                by = np.argsort(held[np.searchsorted(shared, h)], kind="stable")
+                rare.append(np.unique(h[by[: h.size - agree[i] // 2]]))
+            of, h = np.repeat(mine, [x.size for x in rare]), np.concatenate(rare)
             by = np.argsort(h, kind="stable")
-            out[g] = h[by], i[by], at[by]
-        return out
-
-
-PASSAGES = "doc_id bigint, first bigint, words binary, grams array<bigint>"
-
-
-def _passages(block: Block):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = block.number.get
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), bytes_of(batch.column("text"))
-            rows: list[tuple] = []
-            for i, text in enumerate(texts):
-                numbers = np.array([number(w, 0) for w in words_of(text.as_py())], np.int32)
-                hits = []
-                for g, known in block.grams.items():
-                    h = gram_hashes(numbers, g)
-                    at = np.flatnonzero(h)
-                    if at.size and known.size:
-                        at = at[known[np.minimum(np.searchsorted(known, h[at]), known.size - 1)] == h[at]]
-                        hits.append((at, h[at]))
-                if not hits:
-                    continue
-                at, h = (np.concatenate(x) for x in zip(*hits, strict=True))
-                if not at.size:
-                    continue
-                by = np.argsort(at, kind="stable")
-                at, h = at[by], h[by]
-                for part in np.split(np.arange(at.size), np.flatnonzero(np.diff(at) > block.around) + 1):
-                    lo, hi = max(0, int(at[part[0]]) - block.around), int(at[part[-1]]) + GRAM + block.around
-                    rows.append((ids[i], lo, numbers[lo:hi].tobytes(), h[part].view(np.int64)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "first", "words", "grams"])
-
-    return of
+            known, first = np.unique(h[by], return_index=True)
+            self.seeds[g] = known, np.append(first, h.size), of[by]
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int, int]:
     """Best local alignment (match 1, mismatch -1, gap -1): score, words that agree, first word, end.
 
     One row per word of the item; gaps in the passage are running maxima, so a row is a few array steps.
-    Score, start and matches are packed in one number: of equal scores the latest start wins.
+    Score, start and matches are packed in one number: of equal scores the first end wins, then the latest start.
     """
     n = words.size
     span = np.int64(n + 1)
@@ -137,8 +105,9 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int, int]:
         steps = np.arange(n + 1, dtype=np.int64) * unit
         state = np.maximum.accumulate(state + steps) - steps
         state = np.maximum(state, np.append(fresh, n * np.int64(item.size + 1)))
-        top = int(state.argmax())
-        if best < 0 or state[top] // unit > best // unit:
+        scores = state // unit
+        top = int(scores.argmax())
+        if best < 0 or scores[top] > best // unit or (scores[top] == best // unit and top < where):
             best, where = state[top], top
         before = state
     score, rest = divmod(int(best), int(unit))
@@ -149,41 +118,54 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int, int]:
 MATCHES = "doc_id bigint, item_id bigint, score bigint, n_item_words bigint, n_matched bigint, start_word bigint, end_word bigint"
 
 
-def _align(block: Block, seeds: dict, share: float):
+def _align(block: Block):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list] = {}
+        number = block.number.get
+        seen: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
         for batch in batches:
             rows: list[tuple] = []
-            for doc, first, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first", "words")), strict=True):
-                if raw not in seen:
-                    if len(seen) > 20_000:
-                        seen.clear()
-                    seen[raw] = list(_found(block, seeds, np.frombuffer(raw, np.int32), share))
-                rows.extend((doc, block.ids[i], score, block.items[i].size, n, first + lo, first + hi) for i, score, n, lo, hi in seen[raw])
+            for doc, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch.column("text")), strict=True):
+                words = np.array([number(w, 0) for w in words_of(text.as_py())], np.int32)
+                for i, lo, hi in _near(block, words):
+                    key = i, words[lo:hi].tobytes()
+                    if key not in seen:
+                        if len(seen) > 20_000:
+                            seen.clear()
+                        seen[key] = align(block.items[i], words[lo:hi])
+                    score, n, start, end = seen[key]
+                    if score >= block.share * block.items[i].size:
+                        rows.append((doc, block.ids[i], score, block.items[i].size, n, lo + start, lo + end))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in MATCHES.split(", ")])
 
     return of
 
 
-def _found(block: Block, seeds: dict, words: np.ndarray, share: float) -> Iterator[tuple[int, int, int, int, int]]:
-    near: dict[int, list[int]] = {}
-    for g, (known, items, at) in seeds.items():
+def _near(block: Block, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Items and the stretches of words (first, end) in which their alignments that count lie."""
+    for g, (known, first, of) in block.seeds.items():
         h = gram_hashes(words, g)
-        places = np.flatnonzero(h)
-        lo, hi = np.searchsorted(known, h[places]), np.searchsorted(known, h[places], side="right")
-        for p, a, b in zip(places[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-            for k in range(a, b):
-                near.setdefault(int(items[k]), []).append(int(p - at[k]))
-    for i, diagonals in near.items():
-        item = block.items[i]
-        diagonals = np.unique(diagonals)
-        # diagonals of one copy lie close together; the stretch of each such cluster is aligned on its own
-        for part in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > item.size) + 1):
-            lo, hi = max(0, int(part[0]) - item.size), int(part[-1]) + 2 * item.size
-            score, n, start, end = align(item, words[lo:hi])
-            if score >= share * item.size:
-                yield i, score, n, lo + start, lo + end
+        at = np.flatnonzero(h)
+        k = np.minimum(np.searchsorted(known, h[at]), known.size - 1)
+        at, k = at[known[k] == h[at]], k[known[k] == h[at]]
+        if not at.size:
+            continue
+        # a row for each place and item
+        n = first[k + 1] - first[k]
+        place = np.repeat(at, n)
+        item = of[np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(place.size)]
+        by = np.lexsort((place, item))
+        place, item = place[by], item[by]
+        last = np.minimum(np.arange(item.size) + block.need[item] - 1, item.size - 1)
+        enough = (np.arange(item.size) + block.need[item] <= item.size) & (item[last] == item) & (place[last] - place < block.reach[item])
+        item, begin, end = item[enough], place[enough], place[last[enough]]
+        if not item.size:
+            continue
+        apart = (item[1:] != item[:-1]) | (begin[1:] - end[:-1] > block.reach[item[1:]])
+        for part in np.split(np.arange(item.size), np.flatnonzero(apart) + 1):
+            i = int(item[part[0]])
+            around = int(block.reach[i])
+            yield i, max(0, int(begin[part[0]]) - around), int(end[part[-1]]) + g + around
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -191,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, bl
 
     doc_id, item_id, score, n_item_words, n_matched, start_word, end_word: one row per pair, with the best
     alignment (then the earliest), if its score is at least `share` of the item's words. Null and empty
-    texts, and texts without words, match nothing; items below GRAM words are looked for as a whole; rows
+    texts, and texts without words, match nothing; items below WHOLE words are looked for as a whole; rows
     repeated with one id count as one document or item with several texts; null ids are left out; other
     columns are ignored; empty tables give an empty table.
     """
@@ -203,17 +185,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, bl
     out = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
-        found = _one_block(docs, Block([(r["item_id"], r["text"].encode()) for r in part.collect()]), share)  # of about block_words words
+        found = _one_block(docs, Block([(r["item_id"], r["text"].encode()) for r in part.collect()], share))  # of about block_words words
         out = found if out is None else out.unionByName(found)
     top = F.max_by(F.struct("score", "n_item_words", "n_matched", "start_word", "end_word"), F.struct("score", -F.col("start_word"), -F.col("end_word"), "n_matched"))
     return out.groupBy("doc_id", "item_id").agg(top.alias("m")).select("doc_id", "item_id", "m.*")
 
 
-def _one_block(docs: DataFrame, block: Block, share: float) -> DataFrame:
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast(block)
-    passages = store(docs.mapInArrow(lambda x: _passages(sent.value)(x), PASSAGES), "passages")
-    counted = passages.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    counts = {r["gram"]: r["n"] for r in counted.collect()}  # a row for each n-gram of the block at most
-    seeds = context.broadcast(block.seeds(counts))
-    return passages.select("doc_id", "first", "words").mapInArrow(lambda x: _align(sent.value, seeds.value, share)(x), MATCHES)
+def _one_block(docs: DataFrame, block: Block) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    return docs.mapInArrow(lambda x: _align(sent.value)(x), MATCHES)

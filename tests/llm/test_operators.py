@@ -156,6 +156,29 @@ def test_contaminated_equals_full_alignment(spark, docs_of):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_edited_copies_are_all_found(spark, docs_of):
+    rng = random.Random(15)
+    items = [prose(rng, n) for n in (4, 5, 7, 12, 17, 17, 27, 48, 59)]
+    texts = []
+    for item in items:
+        for every in (2, 3, 4, 5, 6):  # each such word replaced, left out or with one more before it
+            for edit in (["zz"], [], None):
+                words = item.split()
+                copy = [y for k, x in enumerate(words) for y in ([x] if k % every != every - 1 else ["zz", x] if edit is None else edit)]
+                texts.append(" ".join([prose(rng, rng.randint(0, 70)), *copy, prose(rng, 30)]))
+        for _ in range(10):
+            words = item.split()
+            for k in rng.sample(range(len(words)), len(words) // 4):
+                words[k] = rng.choice(words)
+            texts.append(" ".join([prose(rng, 9), *words, prose(rng, 9)]))
+    W = decontamination.words_of
+    cut = [W(x.encode()) for x in items]
+    want = {(d, i): s for d, t in enumerate(texts) for i, a in enumerate(cut) if (s := slow_score(a, W(t.encode()))) >= 0.5 * len(a)}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs_of(list(enumerate(texts))), bench).collect()}
+    assert len(want) > 90 and got == want
+
+
 # chunk dedup
 
 
