@@ -28,7 +28,10 @@ LISTS = {"ul", "ol", "menu", "dir"}
 # An open element that each start tag ends, and the elements that stop the search for it.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "body": {"head"}}
 STOPS = {"li": LISTS, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "optgroup": {"select"}}
-TABLE = {"table"}
+TABLE = {"table", "template"}
+SECTIONS = {"thead", "tbody", "tfoot"}
+# The open elements of a table that its parts go into; what else is open above them ends.
+INTO = {"td": {"tr", "table", *SECTIONS}, "th": {"tr", "table", *SECTIONS}, "tr": {"table", *SECTIONS}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 #: Elements open at once; deeper ones become siblings.
 DEEPEST = 200
 
@@ -130,8 +133,17 @@ def tree(source: str) -> Node:
                 continue
             if name == "a":
                 close({"a"}, {"td", "th", "table", *BLOCK, *APART})
+            if name in INTO and next((x.tag for x in reversed(stack) if x.tag in TABLE), "") == "table":
+                while stack[-1].tag not in INTO[name]:
+                    stack.pop()
+                if name in ("td", "th") and stack[-1].tag != "tr" and len(stack) < DEEPEST:
+                    row = Node("tr", {})
+                    stack[-1].children.append(row)
+                    stack.append(row)
             node = Node(name, attributes)
             stack[-1].children.append(node)
+            if name == "form" and stack[-1].tag in INTO["td"]:  # its rows and cells are the table's
+                continue
             if name not in VOID and len(stack) < DEEPEST:
                 stack.append(node)
         elif name == "p" and not any(x.tag == "p" for x in stack):
@@ -304,10 +316,24 @@ def _rows(node: Node) -> Iterator[Node]:
         if isinstance(child, Node) and not unseen(child):
             if child.tag == "tr":
                 yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
+            elif child.tag in SECTIONS:
                 yield from _rows(child)
 
 
+def _loose(node: Node, page: Page) -> None:
+    """What lies in a table or its sections outside of rows."""
+    for child in node.children:
+        if isinstance(child, str):
+            if child.strip():
+                page.write(child)
+        elif unseen(child):
+            continue
+        elif child.tag in SECTIONS:
+            _loose(child, page)
+        elif child.tag != "tr":
+            element(child, page, False, "table", [1])
+
+
 def _span(node: Node, name: str) -> int:
     value = node.attributes.get(name, "")
     return min(50, max(1, int(value))) if re.fullmatch(r"\d{1,9}", value) else 1
@@ -315,12 +341,7 @@ def _span(node: Node, name: str) -> int:
 
 def table(node: Node, page: Page) -> None:
     """Cells of a column start at the same place; a cell with several lines takes as many lines of its row."""
-    for child in node.children:
-        if isinstance(child, str):
-            if child.strip():
-                page.write(child)
-        elif child.tag not in ("thead", "tbody", "tfoot", "tr") and not unseen(child):
-            element(child, page, False, "table", [1])
+    _loose(node, page)
     page.apart(1)
     grid: list[list[list[str]]] = []
     taken: dict[tuple[int, int], bool] = {}

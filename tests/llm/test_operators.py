@@ -254,6 +254,22 @@ def test_deep_and_broken_pages(spark):
     assert [(r.page_id, r.text) for r in got] == [(1, None), (None, ""), (2, "a"), (2, "a")]
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<table><thead><th>Name<th>Age</thead><tbody><tr><td>Bo<td>7</table>", "Name  Age\nBo    7"),
+        ("<table><tbody><td>x</td></tbody></table>", "x"),
+        ("<table><tbody>loose<p>text</p><tr><td>a<td>b</table>", "loose\n\ntext\n\na  b"),
+        ("<table><tbody><form><tr><td>a<td>b</tr><tr><td>c<td>d</tr></form></tbody></table>", "a  b\nc  d"),
+        ("<table><form><td>a<td>b</form><tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tbody><div>above<tr><td>a<td>b</table>", "above\na  b"),
+        ("<table><tbody><template><tr><td>no</td></tr></template><tr><td>y</table>", "y"),
+    ],
+)
+def test_all_text_of_tables_is_shown(source, text):
+    assert html_text.visible_text(source) == text
+
+
 # chat
 
 
