@@ -4,7 +4,8 @@ A border lies where the gear hash is larger than at all places within REACH befo
 within REACH after it. Whether a place is a border depends on the bytes around it alone, so after an
 insertion the borders are the old ones again within a few bytes, and equal passages have equal chunks but
 for their ends. Chunks of one digest are copies of the first one, by document id and place. Copies are cut
-where neighbouring ones add up to LEAST bytes: shorter ones are phrases that any two texts may share.
+where neighbouring ones add up to LEAST bytes, or are all of a text: other ones are phrases that any two
+texts may share.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def borders(text: bytes) -> np.ndarray:
     return ends
 
 
-CHUNKS = "doc_id bigint, _k bigint, start int, end int, digest bigint"
+CHUNKS = "doc_id bigint, _k bigint, start int, end int, digest bigint, last boolean"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.concatenate((np.zeros(1, np.int32), ends))[:-1]
             view = memoryview(text)
             digests = np.fromiter(map(digest, map(view.__getitem__, map(slice, starts.tolist(), ends.tolist()))), np.uint64, ends.size)
-            parts.append((np.full(ends.size, docs[i]), np.full(ends.size, keys[i]), starts, ends, digests.view(np.int64)))
+            parts.append((np.full(ends.size, docs[i]), np.full(ends.size, keys[i]), starts, ends, digests.view(np.int64), ends == len(text)))
             held += ends.size
             if held > 50_000 or i + 1 == batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=_names(CHUNKS))
@@ -99,12 +100,15 @@ RUNS = "doc_id bigint, _k bigint, start int, end int, sources array<bigint>"
 
 
 def _runs(least: int):
-    """Runs of neighbouring copies, from the repeated chunks sorted by document and place."""
+    """Runs of neighbouring copies of `least` bytes or of all of a text, from the repeated chunks sorted by document and place."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None
         doc_now, seen, last = None, set(), None
 
+        def counts(run: list) -> bool:
+            return run[3] - run[2] >= least or run[2] == 0 and run[5]
+
         def out(rows: list) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
@@ -112,7 +116,7 @@ def _runs(least: int):
 
         for batch in batches:
             rows = []
-            for doc, k, start, end, digest, source in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_k", "start", "end", "digest", "source")), strict=True):
+            for doc, k, start, end, digest, source, final in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_k", "start", "end", "digest", "source", "last")), strict=True):
                 if (doc, k, start) == last:  # a row repeated as a whole
                     continue
                 last = doc, k, start
@@ -124,12 +128,13 @@ def _runs(least: int):
                 if held is not None and held[0] == doc and held[1] == k and held[3] == start:
                     held[3] = end
                     held[4].add(source)
+                    held[5] = final
                     continue
-                if held is not None and held[3] - held[2] >= least:
+                if held is not None and counts(held):
                     rows.append((*held[:4], sorted(held[4])))
-                held = [doc, k, start, end, {source}]
+                held = [doc, k, start, end, {source}, final]
             yield out(rows)
-        if held is not None and held[3] - held[2] >= least:
+        if held is not None and counts(held):
             yield out([(*held[:4], sorted(held[4]))])
 
     return of
@@ -138,7 +143,8 @@ def _runs(least: int):
 def copied_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Byte ranges of docs (doc_id, text) that copy chunks of other texts, or of earlier places of the text.
 
-    doc_id, start, end, sources (the ids that hold the first copies, in order). The first copy is that of the
+    Ranges below `least` bytes count only where they are all of their text; with `least` 1 every repeated chunk
+    counts. doc_id, start, end, sources (the ids that hold the first copies, in order). The first copy is that of the
     smallest doc_id, in it that of the first place. Null and empty texts have no chunks; rows repeated with
     the same doc_id and text are one document, and rows with one doc_id but other texts follow each other in
     an order by hash; a null doc_id is left out; other columns are ignored; an empty table gives an empty one.

@@ -226,6 +226,17 @@ def test_copied_spans_equal_brute_force(spark, docs_of):
     assert not {i for i, *_ in want} - holders - {len(texts) - 2}
 
 
+def test_copies_of_short_texts_go(docs_of):
+    rng = random.Random(16)
+    short, two, long = "a short text", prose(rng, 9), prose(rng, 60)
+    assert chunk_dedup.borders(two.encode()).size > 1
+    texts = [short, two, long, short, two, long, short + " of its own", two + " " + prose(rng, 60)]
+    docs = docs_of(list(enumerate(texts))).repartition(3)
+    whole = {(i, 0, len(texts[i].encode())) for i in (3, 4, 5)}
+    assert {(r.doc_id, r.start, r.end) for r in chunk_dedup.copied_spans(docs).collect()} == whole
+    assert {r.doc_id: r.n_removed for r in chunk_dedup.cut_copies(docs).collect() if r.n_removed} == {i: end for i, _, end in whole}
+
+
 # HTML
 
 
