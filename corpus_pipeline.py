@@ -51,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", quality_classifier), ("near_duplicates", near_duplicate), ("suffix_dedup", suffix_dedup), ("decontamination", decontamination), ("packing", packing)]
 
-#: No stage can be written in SQL as it works; tests hold each against brute force.
+#: No stage can be written in SQL as it works. Tests hold operators against small inputs; run() and the stages have no test.
 ORACLE_SQL = None
 
 
