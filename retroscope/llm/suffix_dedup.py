@@ -13,8 +13,12 @@ inside it (its anchor). Equal windows have equal anchors at the same place, so
    updated by range minima. Columns are read one after the other and only the last one is kept. A window
    whose suffix shares `length` bytes with a neighbour is repeated.
 
-Texts that a task has met before are known to be repeated and leave it without their bytes. An anchor with
-more than HOT occurrences has its windows compared by 128-bit hashes instead, dealt out by hash.
+Texts that a task has met before are known to be repeated and leave it without their bytes. Groups are kept
+small in two steps that lose nothing. An anchor of more than SPLIT documents has its runs cut into blocks of
+BLOCK successive places of the anchor; all windows of a block share the bytes in the middle (the core), so
+equal windows have equal cores, and texts are dealt out by anchor, block and core. Documents that share only
+a line then fall apart. An anchor of more than HOT documents has its windows compared by 128-bit hashes,
+dealt out by hash.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from retroscope.llm._common import GOLD, bytes_of, grouped, mix, store, whole_groups
 
-LENGTH, GRAM, HOT, PIECE = 400, 64, 20_000, 1 << 20
+LENGTH, GRAM, SPLIT, BLOCK, HOT, PIECE = 400, 64, 300, 64, 20_000, 1 << 20
 _BITS = 22
 _LOW = np.uint64((1 << _BITS) - 1)
 
@@ -149,11 +153,15 @@ def _member(rows: np.ndarray, values: np.ndarray, lists: pa.Array) -> np.ndarray
 
 
 class _Out:
-    """Rows of SEGMENTS. The second time a task meets a text it says so, later ones are known copies."""
+    """Rows of SEGMENTS. The second time a task meets a text it says so, later ones are known copies.
+
+    Known copies that follow each other in a text are one row.
+    """
 
     def __init__(self):
         self.rows: list[tuple] = []
         self.times: dict[bytes, int] = {}
+        self.run: list | None = None
 
     def met(self, mark: bytes) -> int:
         seen = self.times.get(mark, 0)
@@ -162,25 +170,24 @@ class _Out:
         self.times[mark] = seen + 1
         return seen
 
-    def add(self, doc, k, start, windows, place, mark: bytes, key: int | None, body, seen: int) -> None:
+    def add(self, row: int, doc, k, start: int, windows: int, place: int, mark: bytes, key: int | None, body: bytes | None) -> None:
+        """One text, in the order of texts and starts. row: number of its document in the batch; key: None for that of the mark."""
+        seen = self.met(mark)
+        if seen > 1:
+            if self.run and self.run[0] == row and self.run[3] + self.run[4] == start:
+                self.run[4] += windows
+            else:
+                self.end_run()
+                self.run = [row, doc, k, start, windows]
+            return
         h1, h2 = int.from_bytes(mark[:8], "little", signed=True), int.from_bytes(mark[8:], "little", signed=True)
-        key = h1 if key is None else key
-        self.rows.append((doc, k, start, windows, place, seen > 1, None if seen else body, h2 ^ start if seen > 1 else key, h1, h2))
-
-    def add_windows(self, doc, k, start: int, marks: np.ndarray) -> None:
-        """Successive windows, each by its hash; those that are known copies go as runs."""
-        copies = 0
-        for i, mark in enumerate(map(bytes, marks)):
-            seen = self.met(mark)
-            if seen > 1:
-                copies += 1
-                continue
-            if copies:
-                self.add(doc, k, start + i - copies, copies, 0, mark, None, None, 2)
-                copies = 0
-            self.add(doc, k, start + i, 1, 0, mark, None, None, seen)
-        if copies:
-            self.add(doc, k, start + len(marks) - copies, copies, 0, mark, None, None, 2)
+        self.rows.append((doc, k, start, windows, place, False, None if seen else body, h1 if key is None else key, h1, h2))
+
+    def end_run(self) -> None:
+        if self.run:
+            _, doc, k, start, windows = self.run
+            self.rows.append((doc, k, start, windows, 0, True, None, start ^ (k or 0), 0, 0))
+            self.run = None
 
     def flush(self) -> pa.RecordBatch:
         columns = list(zip(*self.rows, strict=True)) if self.rows else [[]] * len(_SEGMENTS)
@@ -188,7 +195,19 @@ class _Out:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENTS, strict=True)], schema=_SEGMENTS)
 
 
-def _segments(length: int):
+def _blocks(run: tuple[int, int, int], data: np.ndarray, length: int, block: int, anchor: int) -> Iterator[tuple[int, int, int]]:
+    """First window, number of windows and key of the parts of a run in which the anchor's place lies in one block."""
+    first, n, q = run
+    at = first
+    while at < first + n:
+        number = (q - at) // block
+        end = min(first + n, q - number * block + 1)
+        core = data[q - number * block : q - (number + 1) * block + 1 + length]
+        yield at, end - at, xxhash.xxh3_64_intdigest(core.tobytes(), seed=(anchor ^ number) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+        at = end
+
+
+def _segments(length: int, block: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Out()
         for batch in batches:
@@ -198,32 +217,22 @@ def _segments(length: int):
                 rows = np.array([row for row, *_ in held])[own]
                 use = np.flatnonzero(_member(rows, anchor, batch.column("anchors")))
                 hot = _member(rows[use], anchor[use], batch.column("hot"))
-                run: list | None = None  # known copies that follow each other in a text
-                for i in use[~hot].tolist():
+                split = _member(rows[use], anchor[use], batch.column("split"))
+                both = np.stack([_rolling(2)(data, length), _rolling(3)(data, length)], axis=1) if hot.any() else None
+                for i, is_hot, is_split in zip(use.tolist(), hot.tolist(), split.tolist(), strict=True):
                     row, offset, start, _ = held[own[i]]
-                    at, many, place = int(first[i]), int(n[i]), int(first[i] - q[i])
-                    body = data[at : at + many - 1 + length].tobytes()
-                    mark = xxhash.xxh3_128_digest(body, seed=place + length)
-                    seen, begin = out.met(mark), at - start + offset
-                    if seen < 2:
-                        out.add(ids[row], keys[row], begin, many, place, mark, int(anchor[i]), body, seen)
-                    elif run and run[0] == row and run[1] + run[2] == begin:
-                        run[2] += many
+                    name = row, ids[row], keys[row]
+                    run, gram, move = (int(first[i]), int(n[i]), int(q[i])), int(anchor[i]), offset - start
+                    if is_hot:
+                        for at in range(run[0], run[0] + run[1]):
+                            out.add(*name, at + move, 1, 0, both[at].tobytes(), None, None)
                     else:
-                        if run:
-                            out.add(ids[run[0]], keys[run[0]], run[1], run[2], 0, run[3], None, None, 2)
-                        run = [row, begin, many, mark]
+                        for at, many, key in _blocks(run, data, length, block, gram) if is_split else ((run[0], run[1], gram),):
+                            body, place = data[at : at + many - 1 + length].tobytes(), at - run[2]
+                            out.add(*name, at + move, many, place, xxhash.xxh3_128_digest(body, seed=place + length), key, body)
                     if len(out.rows) >= 5000:
                         yield out.flush()
-                if run:
-                    out.add(ids[run[0]], keys[run[0]], run[1], run[2], 0, run[3], None, None, 2)
-                if hot.any():
-                    both = np.stack([_rolling(2)(data, length), _rolling(3)(data, length)], axis=1)
-                    for i in use[hot].tolist():
-                        row, offset, start, _ = held[own[i]]
-                        out.add_windows(ids[row], keys[row], int(first[i]) - start + offset, both[first[i] : first[i] + n[i]])
-                        if len(out.rows) >= 5000:
-                            yield out.flush()
+            out.end_run()
             yield out.flush()
 
     return of
@@ -364,10 +373,11 @@ def _cut(length: int, keep: str | None, carry: tuple[str, ...]):
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, _k, start, windows): runs of windows of docs (doc_id, _k, text) whose bytes also start elsewhere."""
     found = store(docs.mapInArrow(_anchors(length), ANCHORS), "anchors")
-    repeated = found.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1")
-    hot = F.collect_list(F.when(F.col("total") > HOT, F.col("anchor")))
-    asked = found.join(repeated, "anchor").groupBy("doc_id", "_k").agg(F.collect_list("anchor").alias("anchors"), hot.alias("hot"))
-    return grouped(_by_row(docs, asked, "inner").mapInArrow(_segments(length), SEGMENTS), "_key").mapInArrow(_repeats(length), RUNS)
+    repeated = found.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("texts")).where("total > 1")
+    pick = lambda c: F.collect_list(F.when(c, F.col("anchor")))
+    lists = F.collect_list("anchor").alias("anchors"), pick((F.col("texts") > SPLIT) & (F.col("texts") <= HOT)).alias("split"), pick(F.col("texts") > HOT).alias("hot")
+    asked = found.join(repeated, "anchor").groupBy("doc_id", "_k").agg(*lists)
+    return grouped(_by_row(docs, asked, "inner").mapInArrow(_segments(length, min(BLOCK, length - GRAM)), SEGMENTS), "_key").mapInArrow(_repeats(length), RUNS)
 
 
 def _by_row(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:

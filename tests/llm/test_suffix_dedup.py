@@ -38,12 +38,13 @@ def some_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed, hot", [(1, 20_000), (2, 20_000), (3, 4)])
-def test_equals_brute_force(spark, docs_of, monkeypatch, seed, hot):
-    monkeypatch.setattr(S, "HOT", hot)
+@pytest.mark.parametrize("seed, hot, split, block, length", [(1, 20_000, 300, 64, 400), (2, 20_000, 300, 64, 400), (3, 4, 2, 64, 400), (4, 20_000, 1, 64, 400), (5, 20_000, 1, 7, 400), (6, 20_000, 300, 64, 200), (7, 5, 1, 300, 200)])
+def test_equals_brute_force(spark, docs_of, monkeypatch, seed, hot, split, block, length):
+    for name, value in (("HOT", hot), ("SPLIT", split), ("BLOCK", block)):
+        monkeypatch.setattr(S, name, value)
     texts = some_texts(seed)
-    got = {r.doc_id: r for r in S.cut_repeats(docs_of(list(enumerate(texts))).repartition(5)).collect()}
-    want = brute([(t or "").encode() for t in texts], 400)
+    got = {r.doc_id: r for r in S.cut_repeats(docs_of(list(enumerate(texts))).repartition(5), length).collect()}
+    want = brute([(t or "").encode() for t in texts], length)
     for i, w in enumerate(want):
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == w, i
