@@ -14,6 +14,8 @@ from retroscope.llm.packing import pack
 from retroscope.llm.suffix_dedup import cut_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of the shortest passage that suffix_dedup removes: fifty words of three letters and a blank.
+PASSAGE = 200
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +31,11 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated strings of 400 bytes; a text of which nothing is left goes.
+    """Texts without repeated strings of PASSAGE bytes, all copies of them; a text of which nothing is left goes.
 
     Characters that a cut breaks are left out; where something was cut, n_chars is counted anew.
     """
-    cut = cut_repeats(docs, keep="text", carry=("lang", "source", "n_chars"))
+    cut = cut_repeats(docs, PASSAGE, keep="text", carry=("lang", "source", "n_chars"))
     left = cut.where("n_removed = 0 or n_removed < n_bytes")
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
