@@ -1,31 +1,168 @@
 """Nearest past states of queries under availability, own-security, concentration and spacing rules.
 
-Queries are a block of checked size that is sent to every partition of the memory; each partition returns
-its candidates, and the rules are applied per query and security, where they are independent.
+Queries go to every partition of the memory in blocks of bounded bytes. A partition holds all distances of a
+block to a batch of its records as one matrix product, keeps the records that the rules can still need, and only
+those are shuffled; the rules are then applied per query and security, where they are independent.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a query block.
-BLOCK = 50_000
+#: Bytes of the vectors of one block of queries, as doubles.
+BLOCK_BYTES = 64 << 20
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Which records a query may use, and how many the selection needs.
+
+    mode: "exclude" the query's own security, "only" it, or "allow" all. A record counts from its time `available`
+    on (null: never; strict: after it). max_age: largest time from the record's ordinal to the query. apart_from:
+    column that must differ between query and record; where one of them has none, the record is left out.
+    least: (column, value) that a record must reach. k with cap and spacing: what `constrained` will be asked for;
+    with k alone `nearest`; without k all records are returned.
+    """
+
+    k: int | None = None
+    cap: int | None = None
+    spacing: int = 0
+    mode: str = "exclude"
+    strict: bool = False
+    max_age: int | None = None
+    max_distance: float | None = None
+    apart_from: str | None = None
+    least: tuple[str, float] | None = None
+
+    def open(self, q: dict, m: dict, row: int) -> np.ndarray:
+        """Which records of the batch m query number `row` of q may use."""
+        at = q["at"][row]
+        ok = m["available"] < at if self.strict else m["available"] <= at
+        if self.mode != "allow":
+            own = m["security"] == q["security"][row]
+            ok &= own if self.mode == "only" else ~own
+        if self.max_age is not None:
+            ok &= m["ordinal"] >= at - self.max_age
+        if self.apart_from is not None:
+            mine = q[self.apart_from][row]
+            ok &= m["has"] & (m[self.apart_from] != mine) if mine is not None else False
+        if self.least is not None:
+            ok &= np.nan_to_num(m[self.least[0]], nan=-np.inf) >= self.least[1]
+        return ok
+
+    def needed(self, distance: np.ndarray, security: np.ndarray, ordinal: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """Numbers of the records that the k taken from any union with this set can hold.
+
+        A record that is not taken in a union lies too close to a nearer taken one, and each taken one is too
+        close to two taken here at most; so once half of those taken here, counted up per security, make k,
+        what is farther is never needed.
+        """
+        if self.k is None or distance.size <= self.k:
+            return np.arange(distance.size)
+        if self.cap is None:
+            far = np.partition(distance, self.k - 1)[self.k - 1]
+            return np.flatnonzero(distance <= far + slack)
+        order = np.argsort(distance, kind="stable")
+        taken: dict = {}
+        sure = 0
+        for i in order.tolist():
+            own = taken.setdefault(security[i], [])
+            if len(own) < self.cap and all(abs(o - ordinal[i]) >= self.spacing for o in own):
+                own.append(ordinal[i])
+                sure += len(own) % 2
+                if sure >= self.k:
+                    return np.flatnonzero(distance <= distance[i] + slack)
+        return order
+
+
+def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose vector has dim numbers, and those vectors."""
+    rows = np.flatnonzero(column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim)
+    flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+    return rows, flat.astype(np.float64).reshape(rows.size, dim)
+
+
+def _plain(column: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(column.type) or pa.types.is_floating(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    return np.array(column.to_pylist(), object)
+
+
+def _matcher(block: pa.Table, dim: int, rules: Rules, carry: list[str], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    asked = [c for c in ("security", "at", rules.apart_from) if c]
+    rows, points = _vectors(block["vector"].combine_chunks(), dim)
+    block = block.take(pa.array(rows)).combine_chunks()
+    q = {c: np.array(block[c].to_pylist(), object) if c == rules.apart_from else _plain(block[c].combine_chunks()) for c in asked}
+    ids, norms = block["query_id"].combine_chunks(), (points**2).sum(axis=1)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            use, vectors = _vectors(batch.column("vector"), dim)
+            batch = batch.take(pa.array(use))
+            m = {c: _plain(batch.column(c)) for c in ("security", "ordinal", "available", *([rules.least[0]] if rules.least else []))}
+            m["available"] = np.where(batch.column("available").is_null(), np.inf, m["available"].astype(float))
+            if rules.apart_from:
+                m["has"] = np.asarray(batch.column(rules.apart_from).is_valid())
+                m[rules.apart_from] = np.array(batch.column(rules.apart_from).to_pylist(), object)
+            size = (vectors**2).sum(axis=1)
+            product = points @ vectors.T
+            parts = []
+            for row in range(points.shape[0]):
+                ok = np.flatnonzero(rules.open(q, m, row))
+                if not ok.size:
+                    continue
+                about = norms[row] + size[ok] - 2 * product[row, ok]
+                near = ok[rules.needed(about, m["security"][ok], m["ordinal"][ok], 1e-9 * (norms[row] + size[ok].max()))]
+                exact = ((points[row] - vectors[near]) ** 2).sum(axis=1)
+                if rules.max_distance is not None:
+                    near, exact = near[exact <= rules.max_distance], exact[exact <= rules.max_distance]
+                found = batch.select(carry).take(pa.array(near))
+                parts.append(pa.Table.from_arrays([pa.array(np.full(near.size, row)), *found.columns, pa.array(exact)], names=["_row", *carry, "distance"]))
+            if parts:
+                held = pa.concat_tables([*([held] if held is not None else []), *parts]).combine_chunks()
+                if rules.k is not None:
+                    held = held.take(pa.array(_again(held, rules)))
+        if held is not None and held.num_rows:
+            out = pa.Table.from_arrays([ids.take(held["_row"].combine_chunks()), *(held[c] for c in [*carry, "distance"])], names=names)
+            yield from out.to_batches(max_chunksize=10_000)
+
+    return of
 
 
-def candidates(queries: DataFrame, memory: DataFrame, block: int = BLOCK) -> DataFrame:
-    """query_id, record_id, security, ordinal, target, distance (squared) of records a query may use.
+def _again(held: pa.Table, rules: Rules) -> np.ndarray:
+    row, distance = held["_row"].to_numpy(), held["distance"].to_numpy()
+    security, ordinal = _plain(held["security"].combine_chunks()), held["ordinal"].to_numpy()
+    order = np.argsort(row, kind="stable")
+    cuts = np.flatnonzero(np.diff(row[order])) + 1
+    return np.concatenate([part[rules.needed(distance[part], security[part], ordinal[part], np.float64(0))] for part in np.split(order, cuts)])
 
-    queries: query_id, security, at, vector. memory: record_id, security, ordinal, available, target, vector.
-    A record is open to a query of another security, from the time `available` on (null: never).
+
+def candidates(queries: DataFrame, memory: DataFrame, rules: Rules = Rules(), carry: tuple[str, ...] = ("target",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """query_id, record_id, security, ordinal, the columns named in carry, distance (squared) of records a query may use.
+
+    queries: query_id, security, at, vector. memory: record_id, security, ordinal, available, vector and what is
+    carried. Rows without a vector, or with one of another length than the longest query, find nothing. The
+    queries' number and length are read first, to cut them into blocks of block_bytes.
     """
-    blocks = max(1, -(-queries.count() // block))
+    carry = ["record_id", "security", "ordinal", *carry]
+    columns = ["query_id", *carry, "distance"]
+    kinds = {f.name: f.dataType.simpleString() for f in memory.schema.fields}
+    schema = ", ".join(f"{c} {t}" for c, t in [("query_id", queries.schema["query_id"].dataType.simpleString()), *((c, kinds[c]) for c in carry), ("distance", "double")])
+    read = list(dict.fromkeys([*carry, "available", "vector", *([rules.apart_from] if rules.apart_from else []), *([rules.least[0]] if rules.least else [])]))
+    asked = queries.where("at is not null").select("query_id", "security", "at", "vector", *([rules.apart_from] if rules.apart_from else []))
+    n, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    blocks = max(1, -(-n * dim * 8 // block_bytes))
     out = None
     for b in range(blocks):
-        q = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col("security").alias("_own"), "at", F.col("vector").alias("_q"))
-        joined = memory.join(F.broadcast(q), (F.col("available") <= F.col("at")) & (F.col("security") != F.col("_own")))
-        square = F.zip_with("_q", "vector", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-        part = joined.select("query_id", "record_id", "security", "ordinal", "target", F.aggregate(square, F.lit(0.0), lambda a, x: a + x).alias("distance"))
+        block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+        part = memory.select(*read).mapInArrow(_matcher(block, dim, rules, carry, columns), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -53,6 +190,55 @@ def constrained(found: DataFrame, k: int = 25, cap: int = 3, spacing: int = 21)
     return nearest(taken.select("query_id", "security", "x.*"), k)
 
 
+def staged(found: DataFrame, own: DataFrame, k: int = 25, cap: int = 3, spacing: int = 21, share: float | None = None) -> DataFrame:
+    """Spacing first, then the cap, then at most floor(k * share) records of the query's own security, then the k nearest.
+
+    own: query_id, and _own, the query's security.
+    """
+    sorted_rows = F.array_sort(F.collect_list(F.struct("distance", "record_id", "ordinal", "target")))
+    step = lambda taken, x: F.when(F.exists(taken, lambda y: F.abs(y["ordinal"] - x["ordinal"]) < spacing), taken).otherwise(F.array_append(taken, x))
+    groups = found.groupBy("query_id", "security").agg(sorted_rows.alias("_c"))
+    kept = F.slice(F.aggregate("_c", F.filter("_c", lambda x: F.lit(False)), step), 1, cap)
+    rows = groups.select("query_id", "security", F.explode(kept).alias("x")).select("query_id", "security", "x.*").join(own, "query_id")
+    if share is not None:
+        place = F.row_number().over(Window.partitionBy("query_id", "security").orderBy("distance", "record_id"))
+        rows = rows.withColumn("_place", place).where((F.col("security") != F.col("_own")) | (F.col("_place") <= int(k * share)))
+    return nearest(rows, k)
+
+
+def acceptance_log(found: DataFrame, k: int = 25, cap: int = 3, spacing: int = 21) -> DataFrame:
+    """What `constrained` looked at, by distance: rank, status (kept or discarded) and the reason, up to the k-th kept record."""
+    sorted_rows = F.array_sort(F.collect_list(F.struct("distance", "record_id", "ordinal")))
+    taken = lambda log: F.filter(log, lambda y: y["reason"] == "none")
+
+    def step(log, x):
+        gaps = F.filter(F.transform(taken(log), lambda y: F.abs(y["ordinal"] - x["ordinal"])), lambda g: g < spacing)
+        reason = F.when(F.size(taken(log)) >= cap, f"cap_{cap}").when(F.size(gaps) > 0, F.concat(F.lit("gap_"), F.get(gaps, 0).cast("string"))).otherwise("none")
+        return F.array_append(log, F.struct(x["distance"].alias("distance"), x["record_id"].alias("record_id"), x["ordinal"].alias("ordinal"), reason.alias("reason")))
+
+    groups = found.groupBy("query_id", "security").agg(sorted_rows.alias("_c"))
+    empty = F.transform(F.filter("_c", lambda x: F.lit(False)), lambda x: F.struct(x["distance"].alias("distance"), x["record_id"].alias("record_id"), x["ordinal"].alias("ordinal"), F.lit("").alias("reason")))
+    rows = groups.select("query_id", "security", F.explode(F.aggregate("_c", empty, step)).alias("x")).select("query_id", "security", "x.*")
+    by = Window.partitionBy("query_id").orderBy("distance", "record_id")
+    rows = rows.withColumns({"rank": F.row_number().over(by), "_kept": F.sum((F.col("reason") == "none").cast("int")).over(by)})
+    rows = rows.where((F.col("_kept") < k) | ((F.col("_kept") == k) & (F.col("reason") == "none")))
+    return rows.select("query_id", "rank", "record_id", "security", "distance", F.when(F.col("reason") == "none", "kept").otherwise("discarded").alias("status"), "reason")
+
+
+def unit(column: str) -> F.Column:
+    """A vector over its length; itself where that is 0."""
+    size = F.sqrt(F.aggregate(column, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.transform(column, lambda x: x.cast("double") / F.when(size == 0, 1.0).otherwise(size))
+
+
+def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """query_id, shared, all, jaccard of the record sets that two searches (query_id, record_id) found."""
+    sets = lambda df, name: df.groupBy("query_id").agg(F.collect_set("record_id").alias(name))
+    rows = sets(left, "_l").join(sets(right, "_r"), "query_id")
+    shared, total = F.size(F.array_intersect("_l", "_r")), F.size(F.array_union("_l", "_r"))
+    return rows.select("query_id", shared.alias("shared"), total.alias("all"), (shared / total).alias("jaccard"))
+
+
 def evidence(neighbors: DataFrame, least: int = 5) -> DataFrame:
     """Per query: Gaussian weights around the median distance, weighted mean and deviation of the targets,
     quantiles, trimmed and tail means, effective sample size, agreement, diversity; null below `least` records."""

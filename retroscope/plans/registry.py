@@ -2,67 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retroscope.functions.windows import by_time, change, rounded
 from retroscope.operators import audits, calendar, features, inference, labels, ranking, recursive, retrieval, weighting
+from retroscope.plans.common import BARS, ORACLE_SQL, QUERIES, W, query
+from retroscope.plans.common import full as _full
+from retroscope.plans.common import over as _over
+from retroscope.plans.common import rank as _rank
+from retroscope.plans.common import round_sql as _round_sql
+from retroscope.plans.common import rounded_rows as _rounded
+from retroscope.plans.neighbors import DISTANCE as _DISTANCE
+from retroscope.plans.neighbors import GREEDY as _GREEDY
+from retroscope.plans.neighbors import NEAR as _NEAR
+from retroscope.plans.neighbors import constrained as _constrained
+from retroscope.plans.neighbors import memory as _memory
 from retroscope.sources import panel
 
 FLAGSHIP = "technical_features"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-BARS = """
-WITH bars AS (
-  SELECT *, row_number() OVER (PARTITION BY security ORDER BY session) - 1 AS ordinal FROM (
-    SELECT l_suppkey AS security, CAST(l_shipdate AS DATE) AS session,
-      MAX(l_extendedprice / l_quantity) AS high, MIN(l_extendedprice / l_quantity) AS low,
-      CAST(SUM(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 / CAST(SUM(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS close,
-      CAST(SUM(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS volume,
-      MIN({'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'q': l_quantity, 'p': l_extendedprice}) AS f
-    FROM lineitem GROUP BY 1, 2)),
-groups AS (
-  SELECT s_suppkey AS security, n_name AS sector, r_name AS market
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
-W = "(PARTITION BY security ORDER BY session)"
-
-
-def _over(rows: int) -> str:
-    return f"OVER (PARTITION BY security ORDER BY session ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
-
-
-def _full(what: str, x: str, rows: int, least: int | None = None) -> str:
-    return f"CASE WHEN count({x}) {_over(rows)} >= {rows if least is None else least} THEN {what}({x}) {_over(rows)} END"
-
-
-def _rank(x: str, by: str) -> str:
-    return f"(rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0::DOUBLE) / count({x}) OVER (PARTITION BY {by})"
-
-
-def _rounded(df: DataFrame, keys: list[str], columns: list[str], digits: int = 6) -> DataFrame:
-    return df.select(*keys, *(F.round(x, digits).alias(x) for x in columns))
-
-
-def _round_sql(columns: list[str], digits: int = 6) -> str:
-    return ", ".join(f"round({x}, {digits}) AS {x}" for x in columns)
-
 
 @query(BARS + " SELECT security, session, ordinal, f.p / f.q AS open, high, low, close, volume FROM bars")
 def bar_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,33 +251,14 @@ def fold_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.folds(rows, [1996, 1997, 1998])
 
 
-def _memory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = panel.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), F.col("label").alias("security"), F.col("vec_id").alias("ordinal"), (F.col("vec_id") + 63).alias("available"), F.get("embedding", 0).cast("double").alias("target"), F.col("embedding").alias("vector"))
-    queries = rows.where("record_id % 100 = 0").select(F.col("record_id").alias("query_id"), "security", F.col("ordinal").alias("at"), "vector")
-    return queries, rows
-
-
-_DISTANCE = "list_sum(list_transform(generate_series(1, len(m.embedding)), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(m.embedding[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(m.embedding[i] AS DOUBLE))))"
-_FOUND = f"""WITH c AS (SELECT q.vec_id AS query_id, m.vec_id AS record_id, m.label AS security, CAST(m.embedding[1] AS DOUBLE) AS target,
-  {_DISTANCE} AS distance
-  FROM embeddings q JOIN embeddings m ON m.vec_id + 63 <= q.vec_id AND m.label <> q.label WHERE q.vec_id % 100 = 0)"""
-_NEAR = f"{_FOUND}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) AS rank FROM c)"
-
-
 @query(f"{_NEAR} SELECT query_id, CAST(rank AS INT) AS rank, record_id, security, round(distance, 6) AS distance FROM n WHERE rank <= 25")
 def knn_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(retrieval.nearest(retrieval.candidates(*_memory(spark, sf_dir)), 25), ["query_id", "rank", "record_id", "security"], ["distance"])
-
-
-_GREEDY = f"""{_FOUND}, s AS (SELECT query_id, list([{{'d': distance, 'id': record_id, 's': security, 't': target}}] ORDER BY distance, record_id) AS c FROM c GROUP BY query_id),
-f AS (SELECT query_id, list_reduce(list_prepend(c[1][1:0], c), lambda acc, x: CASE WHEN len(acc) >= 25 OR len(list_filter(acc, lambda y: y.s = x[1].s)) >= 3
-  OR len(list_filter(acc, lambda y: y.s = x[1].s AND abs(y.id - x[1].id) < 21)) > 0 THEN acc ELSE list_concat(acc, x) END) AS taken FROM s),
-n AS (SELECT query_id, unnest(taken) AS x FROM f), k AS (SELECT query_id, x.id AS record_id, x.s AS security, x.d AS distance, x.t AS target FROM n)"""
+    return _rounded(retrieval.nearest(retrieval.candidates(*_memory(spark, sf_dir), retrieval.Rules(k=25)), 25), ["query_id", "rank", "record_id", "security"], ["distance"])
 
 
 @query(f"{_GREEDY} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) AS INT) AS rank, record_id, security, round(distance, 6) AS distance FROM k")
 def constrained_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(retrieval.constrained(retrieval.candidates(*_memory(spark, sf_dir))), ["query_id", "rank", "record_id", "security"], ["distance"])
+    return _rounded(_constrained(spark, sf_dir), ["query_id", "rank", "record_id", "security"], ["distance"])
 
 
 EVIDENCE = ["expected", "deviation", "p10", "p25", "p50", "p75", "p90", "trimmed_mean", "tail_mean", "effective_size", "agreement", "ci_low", "ci_high", "diversity"]
@@ -334,7 +274,7 @@ e AS (SELECT query_id, count(*) AS neighbors, sum(wt * target) AS expected, sqrt
 z AS (SELECT e.*, m AS securities, expected - 1.96 * deviation / sqrt(greatest(effective_size, 1)) AS ci_low, expected + 1.96 * deviation / sqrt(greatest(effective_size, 1)) AS ci_high, CASE WHEN m > 1 THEN h / log2(m) ELSE 0 END AS diversity FROM e JOIN h USING (query_id) WHERE neighbors >= 5)
 SELECT query_id, neighbors, securities, {_round_sql(EVIDENCE)} FROM z""")
 def retrieval_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.constrained(retrieval.candidates(*_memory(spark, sf_dir)))
+    found = _constrained(spark, sf_dir)
     return _rounded(retrieval.evidence(found), ["query_id", "neighbors", "securities"], EVIDENCE)
 
 
@@ -344,7 +284,7 @@ v AS (SELECT *, raw / sum(raw) OVER (PARTITION BY query_id) AS wt FROM b),
 t AS (SELECT *, coalesce(sum(wt) OVER (PARTITION BY query_id ORDER BY target, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v)
 SELECT query_id, count(*) AS neighbors, round(sum(wt * target), 6) AS expected, round(1 / sum(wt * wt), 6) AS effective_size, round(sum(greatest(0, least(wt, 0.25 - before)) * target) / 0.25, 6) AS tail_mean FROM t GROUP BY query_id""")
 def prior_weighted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.constrained(retrieval.candidates(*_memory(spark, sf_dir)))
+    found = _constrained(spark, sf_dir)
     rows = weighting.weighted_evidence(weighting.prior_weights(found, F.col("query_id") - F.col("ordinal"), 126.0))
     return _rounded(rows, ["query_id", "neighbors"], ["expected", "effective_size", "tail_mean"])
 
@@ -353,7 +293,7 @@ def prior_weighted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT query_id, scale, avg(target) AS m FROM r, (SELECT unnest([10, 15, 25]) AS scale) WHERE rank <= scale GROUP BY 1, 2)
 SELECT query_id, count(*) AS scales, round(median(m), 6) AS expected, round(abs(sum(sign(m))) / count(*), 6) AS sign_agreement, round(median(m) - 0.5 * stddev_pop(m), 6) AS penalized FROM m GROUP BY query_id""")
 def multiscale_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = weighting.multiscale(retrieval.constrained(retrieval.candidates(*_memory(spark, sf_dir))))
+    rows = weighting.multiscale(_constrained(spark, sf_dir))
     return _rounded(rows, ["query_id", "scales"], ["expected", "sign_agreement", "penalized"])
 
 
@@ -369,7 +309,7 @@ UNION ALL SELECT 'own_security', count(*), count(*) FILTER (g.security = q.label
 UNION ALL SELECT 'separation', count(*), count(*) FILTER (gap < 21) FROM g""")
 def retrieval_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, memory = _memory(spark, sf_dir)
-    return audits.retrieval_audit(retrieval.nearest(retrieval.candidates(asked, memory), 25), asked, memory)
+    return audits.retrieval_audit(retrieval.nearest(retrieval.candidates(asked, memory, retrieval.Rules(k=25)), 25), asked, memory)
 
 
 @query("""WITH s AS (SELECT l_returnflag AS seed, CAST(l_shipdate AS DATE) AS session, l_suppkey AS security, avg(l_discount) - 0.05 AS score, min(l_tax) AS downside FROM lineitem GROUP BY 1, 2, 3)
@@ -441,3 +381,6 @@ def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = features.islands(panel.bars(spark, sf_dir))
     spells = runs.select(F.col("rows").alias("duration"), (F.col("up") == 1).alias("ended"))
     return inference.kaplan_meier(spells).withColumns({"survival": F.round("survival", 6), "variance": F.round("variance", 9)})
+
+
+from retroscope.plans import evidence  # noqa: E402, F401  (it registers its queries)
