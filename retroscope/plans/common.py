@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retroscope.functions.windows import by_time, change
+from retroscope.sources import panel
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -56,3 +59,12 @@ def rounded_rows(df: DataFrame, keys: list[str], columns: list[str], digits: int
 
 def round_sql(columns: list[str], digits: int = 6) -> str:
     return ", ".join(f"round({x}, {digits}) AS {x}" for x in columns)
+
+
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with sector, market, daily_return, momentum of 21 rows and the return of the next 21."""
+    rows = panel.bars(spark, sf_dir).withColumns({"daily_return": change(F.col("close")), "momentum": change(F.col("close"), 21), "future": F.lead("close", 21).over(by_time()) / F.col("close") - 1})
+    return rows.join(panel.securities(spark, sf_dir), "security")
+
+
+RETURNS = f"{BARS}, r AS (SELECT b.*, sector, market, close / lag(close) OVER {W} - 1 AS daily_return, close / lag(close, 21) OVER {W} - 1 AS momentum, lead(close, 21) OVER {W} / close - 1 AS future FROM bars b JOIN groups USING (security))"

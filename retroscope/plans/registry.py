@@ -11,6 +11,8 @@ from retroscope.plans.common import BARS, ORACLE_SQL, QUERIES, W, query
 from retroscope.plans.common import full as _full
 from retroscope.plans.common import over as _over
 from retroscope.plans.common import rank as _rank
+from retroscope.plans.common import RETURNS as _RETURNS
+from retroscope.plans.common import returns as _returns
 from retroscope.plans.common import round_sql as _round_sql
 from retroscope.plans.common import rounded_rows as _rounded
 from retroscope.plans.neighbors import DISTANCE as _DISTANCE
@@ -109,14 +111,6 @@ def forward_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("security", "session", *(F.round(x, 6).alias(x) for x in OUTCOMES), "peak_offset", "trough_offset", F.col("up_offset").cast("bigint").alias("up_offset"), F.col("down_offset").cast("bigint").alias("down_offset"), "upside_before_drawdown", "available")
 
 
-def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = panel.bars(spark, sf_dir).withColumns({"daily_return": change(F.col("close")), "momentum": change(F.col("close"), 21), "future": F.lead("close", 21).over(by_time()) / F.col("close") - 1})
-    return rows.join(panel.securities(spark, sf_dir), "security")
-
-
-_RETURNS = f"{BARS}, r AS (SELECT b.*, sector, market, close / lag(close) OVER {W} - 1 AS daily_return, close / lag(close, 21) OVER {W} - 1 AS momentum, lead(close, 21) OVER {W} / close - 1 AS future FROM bars b JOIN groups USING (security))"
-
-
 @query(f"""{_RETURNS}, x AS (SELECT security, session, market, future, CASE WHEN count(future) OVER (PARTITION BY session, market) >= 3 THEN median(future) OVER (PARTITION BY session, market) ELSE median(future) OVER (PARTITION BY session) END AS benchmark FROM r WHERE future IS NOT NULL)
 SELECT security, session, market, round(benchmark, 6) AS benchmark, round(future - benchmark, 6) AS relative FROM x""")
 def relative_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,4 +377,4 @@ def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.kaplan_meier(spells).withColumns({"survival": F.round("survival", 6), "variance": F.round("variance", 9)})
 
 
-from retroscope.plans import evidence  # noqa: E402, F401  (it registers its queries)
+from retroscope.plans import cleaning, evidence  # noqa: E402, F401  (they register their queries)
