@@ -35,7 +35,8 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_repeats(table(spark, sf_dir, "documents"), keep=None)
+    """As its contract says, and in n_passage_bytes what repeated strings of 200 bytes cover: fifty short words."""
+    return cut_repeats(table(spark, sf_dir, "documents"), keep=None, passage=200)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

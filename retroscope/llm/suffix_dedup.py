@@ -19,6 +19,9 @@ BLOCK successive places of the anchor; all windows of a block share the bytes in
 equal windows have equal cores, and texts are dealt out by anchor, block and core. Documents that share only
 a line then fall apart. An anchor of more than HOT documents has its windows compared by 128-bit hashes,
 dealt out by hash.
+
+Two lengths can be asked for at once: windows, anchors and groups are those of the shorter one, texts go on to
+the end of their windows of the longer one, and a common prefix of that many bytes repeats the longer window.
 """
 
 from __future__ import annotations
@@ -65,7 +68,7 @@ _ROLLING: dict[int, _Rolling] = {}
 
 def _rolling(seed: int) -> _Rolling:
     if seed not in _ROLLING:
-        _ROLLING[seed] = _Rolling(seed, PIECE * 2)
+        _ROLLING[seed] = _Rolling(seed, PIECE * 3)
     return _ROLLING[seed]
 
 
@@ -81,18 +84,19 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[:n], head[w - 1 : w - 1 + n])
 
 
-def _pieces(texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
+def _pieces(texts: pa.Array, length: int, far: int | None = None) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
     """Buffers of about PIECE bytes with the (row, offset in the row's text, start, end) that they hold.
 
-    Longer texts are cut so that each window lies in exactly one piece.
+    Longer texts are cut so that each window begins in exactly one piece, which goes on for `far` bytes of it.
     """
+    far = far or length
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.empty(0, np.uint8)
     parts, held, size = [], [], 0
     for row in np.flatnonzero(np.diff(ends) >= length):
         lo, hi = int(ends[row]), int(ends[row + 1])
         for at in range(lo, hi - length + 1, PIECE):
-            part = data[at : min(hi, at + PIECE + length - 1)]
+            part = data[at : min(hi, at + PIECE + far - 1)]
             held.append((int(row), at - lo, size, size + part.size))
             parts.append(part)
             size += part.size
@@ -108,7 +112,7 @@ def _runs(data: np.ndarray, held: list, length: int) -> tuple[np.ndarray, ...]:
     h = _rolling(1)(data, GRAM)
     packed = (h & ~_LOW) | np.arange(h.size, dtype=np.uint64)
     at = (sliding_min(packed, length - GRAM + 1) & _LOW).astype(np.int64)
-    windows = [np.arange(s, e - length + 1) for _, _, s, e in held]
+    windows = [np.arange(s, min(s + PIECE, e - length + 1)) for _, _, s, e in held]
     pos = np.concatenate(windows)
     own = np.repeat(np.arange(len(held)), [w.size for w in windows])
     q = at[pos]
@@ -138,8 +142,8 @@ def _anchors(length: int):
     return of
 
 
-SEGMENTS = "doc_id bigint, _k bigint, start bigint, windows bigint, place bigint, known boolean, body binary, _key bigint, h1 bigint, h2 bigint"
-_SEGMENTS = pa.schema([("doc_id", pa.int64()), ("_k", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("place", pa.int64()), ("known", pa.bool_()), ("body", pa.binary()), ("_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+SEGMENTS = "doc_id bigint, _k bigint, start bigint, windows bigint, far bigint, place bigint, known boolean, body binary, _key bigint, h1 bigint, h2 bigint"
+_SEGMENTS = pa.schema([("doc_id", pa.int64()), ("_k", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("far", pa.int64()), ("place", pa.int64()), ("known", pa.bool_()), ("body", pa.binary()), ("_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 #: Texts and windows that a task remembers in order to know copies without moving them.
 REMEMBERED = 200_000
 
@@ -170,23 +174,27 @@ class _Out:
         self.times[mark] = seen + 1
         return seen
 
-    def add(self, row: int, doc, k, start: int, windows: int, place: int, mark: bytes, key: int | None, body: bytes | None) -> None:
-        """One text, in the order of texts and starts. row: number of its document in the batch; key: None for that of the mark."""
+    def add(self, name: tuple, start: int, windows: int, far: int, place: int, mark: bytes, key: int | None, body: bytes | None) -> None:
+        """One text, in the order of texts and starts: so many windows and longer windows from start on.
+
+        name: number of its document in the batch, doc_id, _k. key: None for that of the mark.
+        """
         seen = self.met(mark)
         if seen > 1:
-            if self.run and self.run[0] == row and self.run[3] + self.run[4] == start:
-                self.run[4] += windows
+            run = self.run
+            if run and run[0] == name and run[1] + max(run[2], run[3]) == start and (windows > 0) == (run[2] > 0) and (far > 0) <= (run[3] > 0):
+                run[2], run[3] = run[2] + windows, run[3] + far
             else:
                 self.end_run()
-                self.run = [row, doc, k, start, windows]
+                self.run = [name, start, windows, far]
             return
         h1, h2 = int.from_bytes(mark[:8], "little", signed=True), int.from_bytes(mark[8:], "little", signed=True)
-        self.rows.append((doc, k, start, windows, place, False, None if seen else body, h1 if key is None else key, h1, h2))
+        self.rows.append((*name[1:], start, windows, far, place, False, None if seen else body, h1 if key is None else key, h1, h2))
 
     def end_run(self) -> None:
         if self.run:
-            _, doc, k, start, windows = self.run
-            self.rows.append((doc, k, start, windows, 0, True, None, start ^ (k or 0), 0, 0))
+            name, start, windows, far = self.run
+            self.rows.append((*name[1:], start, windows, far, 0, True, None, start ^ (name[2] or 0), 0, 0))
             self.run = None
 
     def flush(self) -> pa.RecordBatch:
@@ -207,29 +215,32 @@ def _blocks(run: tuple[int, int, int], data: np.ndarray, length: int, block: int
         at = end
 
 
-def _segments(length: int, block: int):
+def _segments(length: int, far: int, block: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Out()
         for batch in batches:
             ids, keys = batch.column("doc_id").to_pylist(), batch.column("_k").to_pylist()
-            for data, held in _pieces(bytes_of(batch.column("text")), length):
+            for data, held in _pieces(bytes_of(batch.column("text")), length, far):
                 own, first, n, q, anchor = _runs(data, held, length)
                 rows = np.array([row for row, *_ in held])[own]
                 use = np.flatnonzero(_member(rows, anchor, batch.column("anchors")))
                 hot = _member(rows[use], anchor[use], batch.column("hot"))
                 split = _member(rows[use], anchor[use], batch.column("split"))
-                both = np.stack([_rolling(2)(data, length), _rolling(3)(data, length)], axis=1) if hot.any() else None
+                sizes = [length] if far == length else [length, far]
+                hashes = [np.stack([_rolling(2)(data, size), _rolling(3)(data, size)], axis=1) for size in sizes] if hot.any() else []
                 for i, is_hot, is_split in zip(use.tolist(), hot.tolist(), split.tolist(), strict=True):
-                    row, offset, start, _ = held[own[i]]
+                    row, offset, start, end = held[own[i]]
                     name = row, ids[row], keys[row]
                     run, gram, move = (int(first[i]), int(n[i]), int(q[i])), int(anchor[i]), offset - start
+                    longer = lambda at, many: max(0, min(many, end - far + 1 - at)) if far > length else 0  # noqa: B023, E731
                     if is_hot:
-                        for at in range(run[0], run[0] + run[1]):
-                            out.add(*name, at + move, 1, 0, both[at].tobytes(), None, None)
+                        for k, both in enumerate(hashes):
+                            for at in range(run[0], run[0] + (longer(*run[:2]) if k else run[1])):
+                                out.add(name, at + move, 1 - k, k, 0, both[at].tobytes(), None, None)
                     else:
                         for at, many, key in _blocks(run, data, length, block, gram) if is_split else ((run[0], run[1], gram),):
-                            body, place = data[at : at + many - 1 + length].tobytes(), at - run[2]
-                            out.add(*name, at + move, many, place, xxhash.xxh3_128_digest(body, seed=place + length), key, body)
+                            body, place = data[at : min(end, at + many - 1 + far)].tobytes(), at - run[2]
+                            out.add(name, at + move, many, longer(at, many), place, xxhash.xxh3_128_digest(body, seed=place + length), key, body)
                     if len(out.rows) >= 5000:
                         yield out.flush()
             out.end_run()
@@ -238,8 +249,8 @@ def _segments(length: int, block: int):
     return of
 
 
-def repeated_windows(group: np.ndarray, place: np.ndarray, windows: np.ndarray, bodies: list[bytes], length: int) -> np.ndarray:
-    """For all windows of the texts, text by text: whether another text of the group has it at the same place.
+def repeated_windows(group: np.ndarray, place: np.ndarray, windows: np.ndarray, bodies: list[bytes], lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each length, for all windows of the texts, text by text: whether another text of the group has it at the same place.
 
     place: column of a text's first byte. One symbol of each text is inserted per column, from the last.
     """
@@ -247,7 +258,7 @@ def repeated_windows(group: np.ndarray, place: np.ndarray, windows: np.ndarray,
     data = np.frombuffer(b"".join(bodies), np.uint8)
     base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     mark_at = np.concatenate(([0], np.cumsum(windows)))
-    out = np.zeros(int(mark_at[-1]), bool)
+    out = [np.zeros(int(mark_at[-1]), bool) for _ in lengths]
     last, group = place + sizes - 1, np.unique(group, return_inverse=True)[1]
     enter: dict[int, np.ndarray] = {}
     by_last = np.argsort(last, kind="stable")
@@ -283,28 +294,42 @@ def repeated_windows(group: np.ndarray, place: np.ndarray, windows: np.ndarray,
                 value[far] = np.minimum.reduceat(np.append(common, 0), span)[::2]
             fresh[same] = value + 1
         common = fresh
-        twin = common >= length
-        twin[:-1] |= twin[1:]
-        if twin.any():
-            found = order[twin]
-            inside = column - place[found]
-            ok = inside < windows[found]
-            out[mark_at[found[ok]] + inside[ok]] = True
+        for length, found_at in zip(lengths, out, strict=True):
+            twin = common >= length
+            twin[:-1] |= twin[1:]
+            if twin.any():
+                found = order[twin]
+                inside = column - place[found]
+                ok = inside < windows[found]
+                found_at[mark_at[found[ok]] + inside[ok]] = True
     return out
 
 
-RUNS = "doc_id bigint, _k bigint, start bigint, windows bigint"
+def _stretches(found: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Stretches of found windows: number of the text, first and last window but one. ends: of the texts' windows."""
+    step = np.diff(np.concatenate(([0], found.astype(np.int8), [0])))
+    cut = np.zeros(found.size + 1, bool)
+    cut[ends[:-1]] = True
+    inner = np.flatnonzero(cut[:-1] & found & np.concatenate(([False], found[:-1])))
+    lo = np.sort(np.concatenate((np.flatnonzero(step == 1), inner)))
+    hi = np.sort(np.concatenate((np.flatnonzero(step == -1), inner)))
+    return zip(np.searchsorted(ends, lo, side="right").tolist(), lo.tolist(), hi.tolist(), strict=True)
+
+
+RUNS = "doc_id bigint, _k bigint, start bigint, windows bigint, longer boolean"
 
 
-def _repeats(length: int):
+def _repeats(length: int, far: int):
+    lengths = (length,) if far == length else (length, far)
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in whole_groups(batches, "_key"):
             doc, k, body = (block.column(c).to_pylist() for c in ("doc_id", "_k", "body"))
-            start, windows, place, key, h1, h2 = (block.column(c).to_numpy() for c in ("start", "windows", "place", "_key", "h1", "h2"))
+            start, windows, more, place, key, h1, h2 = (block.column(c).to_numpy() for c in ("start", "windows", "far", "place", "_key", "h1", "h2"))
             known = block.column("known").to_numpy()
             asked = np.flatnonzero(~known)
             whole = known.copy()
-            runs: list[tuple[int, int, int]] = []
+            runs: list[tuple[int, int, int, bool]] = []
             if asked.size:
                 order = asked[np.lexsort((h2[asked], h1[asked], key[asked]))]
                 differs = (key[order][1:] != key[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
@@ -317,21 +342,15 @@ def _repeats(length: int):
                 alone = np.concatenate(([True], key[texts][1:] != key[texts][:-1])) & np.concatenate((key[texts][1:] != key[texts][:-1], [True])) if texts.size else np.empty(0, bool)
                 texts = texts[~alone]
                 if texts.size:
-                    found = repeated_windows(key[texts], place[texts], windows[texts], [body[i] for i in texts], length)
                     ends = np.cumsum(windows[texts])
-                    step = np.diff(np.concatenate(([0], found.astype(np.int8), [0])))
-                    cut = np.zeros(found.size + 1, bool)
-                    cut[ends[:-1]] = True
-                    inner = np.flatnonzero(cut[:-1] & found & np.concatenate(([False], found[:-1])))
-                    lo = np.sort(np.concatenate((np.flatnonzero(step == 1), inner)))
-                    hi = np.sort(np.concatenate((np.flatnonzero(step == -1), inner)))
-                    text = np.searchsorted(ends, lo, side="right")
-                    for t, x, y in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                        i = int(texts[t])
-                        if not whole[i]:
-                            runs.append((i, int(start[i]) + x - int(ends[t] - windows[i]), y - x))
-            runs.extend((i, int(start[i]), int(windows[i])) for i in np.flatnonzero(whole).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array([doc[i] for i, _, _ in runs], pa.int64()), pa.array([k[i] for i, _, _ in runs], pa.int64()), pa.array([s for _, s, _ in runs], pa.int64()), pa.array([n for _, _, n in runs], pa.int64())], names=["doc_id", "_k", "start", "windows"])
+                    for longer, found in enumerate(repeated_windows(key[texts], place[texts], windows[texts], [body[i] for i in texts], lengths)):
+                        for t, x, y in _stretches(found, ends):
+                            i = int(texts[t])
+                            if not whole[i]:
+                                runs.append((i, int(start[i]) + x - int(ends[t] - windows[i]), y - x, bool(longer)))
+            for i in np.flatnonzero(whole).tolist():
+                runs += [(i, int(start[i]), int(w), longer) for longer, w in ((False, windows[i]), (True, more[i])) if w]
+            yield pa.RecordBatch.from_arrays([pa.array([doc[i] for i, *_ in runs], pa.int64()), pa.array([k[i] for i, *_ in runs], pa.int64()), pa.array([s for _, s, _, _ in runs], pa.int64()), pa.array([n for _, _, n, _ in runs], pa.int64()), pa.array([f for *_, f in runs], pa.bool_())], names=["doc_id", "_k", "start", "windows", "longer"])
 
     return of
 
@@ -347,16 +366,22 @@ def spans_of(starts: np.ndarray, windows: np.ndarray, length: int) -> list[tuple
     return list(zip(lo[top].tolist(), hi[np.append(top[1:] - 1, lo.size - 1)].tolist(), strict=True))
 
 
-def _cut(length: int, keep: str | None, carry: tuple[str, ...]):
-    kinds = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([KINDS[keep]] if keep else [])]
+def _cut(length: int, passage: int, keep: str | None, carry: tuple[str, ...]):
+    short = passage < length
+    kinds = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *([("n_passage_bytes", pa.int64())] if short else []), *([KINDS[keep]] if keep else [])]
+
+    def covered(runs: list, longer: bool, size: int) -> list[tuple[int, int]]:
+        own = [r for r in runs if r["longer"] == longer]
+        return spans_of(np.array([r["start"] for r in own]), np.array([r["windows"] for r in own]), size) if own else []
 
     def one(text: bytes, runs: list | None) -> tuple:
-        kept, spans = text, []
-        if runs:
-            spans = spans_of(np.array([r["start"] for r in runs]), np.array([r["windows"] for r in runs]), length)
+        kept, spans = text, covered(runs or [], short, length)
+        if spans:
             edges = [0, *(x for s in spans for x in s), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
         out = len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
+        if short:
+            out += (sum(b - a for a, b in covered(runs or [], False, passage)),)
         return (*out, kept.decode(errors="ignore") if keep == "text" else kept) if keep else out
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,14 +395,18 @@ def _cut(length: int, keep: str | None, carry: tuple[str, ...]):
     return of
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, _k, start, windows): runs of windows of docs (doc_id, _k, text) whose bytes also start elsewhere."""
+def repeated_runs(docs: DataFrame, length: int = LENGTH, longer: int | None = None) -> DataFrame:
+    """(doc_id, _k, start, windows, longer): runs of windows of docs (doc_id, _k, text) whose bytes also start elsewhere.
+
+    longer: a second length; its runs are the rows with longer = true.
+    """
+    far = longer or length
     found = store(docs.mapInArrow(_anchors(length), ANCHORS), "anchors")
     repeated = found.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("texts")).where("total > 1")
     pick = lambda c: F.collect_list(F.when(c, F.col("anchor")))
     lists = F.collect_list("anchor").alias("anchors"), pick((F.col("texts") > SPLIT) & (F.col("texts") <= HOT)).alias("split"), pick(F.col("texts") > HOT).alias("hot")
     asked = found.join(repeated, "anchor").groupBy("doc_id", "_k").agg(*lists)
-    return grouped(_by_row(docs, asked, "inner").mapInArrow(_segments(length, min(BLOCK, length - GRAM)), SEGMENTS), "_key").mapInArrow(_repeats(length), RUNS)
+    return grouped(_by_row(docs, asked, "inner").mapInArrow(_segments(length, far, min(BLOCK, length - GRAM)), SEGMENTS), "_key").mapInArrow(_repeats(length, far), RUNS)
 
 
 def _by_row(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -385,7 +414,7 @@ def _by_row(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
     return docs.join(other, docs["doc_id"].eqNullSafe(other["_doc"]) & (docs["_k"] == other["_key"]), how).drop("_doc", "_key")
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: str | None = "bytes", carry: tuple[str, ...] = ()) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: str | None = "bytes", carry: tuple[str, ...] = (), passage: int | None = None) -> DataFrame:
     """docs (doc_id, text) without the bytes that a repeated string of `length` bytes covers.
 
     One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, then what stays: with keep "bytes" the
@@ -393,12 +422,14 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: str | None = "bytes
     characters), with None neither; then the columns of docs named in carry. Matches never cross texts;
     overlaps count; strings are judged on the input. Null texts count as empty; texts of fewer than `length`
     bytes are left alone. Rows repeated with the same doc_id and text are texts of their own, so they repeat
-    each other. A null doc_id is an id like others. Other columns are ignored; an empty table gives an empty
+    each other. With passage, a shorter length, the column n_passage_bytes (after kept_sha256) says how many
+    bytes repeated strings of that length cover; they stay. A null doc_id is an id like others. Other columns are ignored; an empty table gives an empty
     table.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     docs = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    runs = repeated_runs(docs.select("doc_id", "text", "_k"), length).groupBy("doc_id", "_k").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + {"bytes": ", kept binary", "text": ", text string", None: ""}[keep]
+    found = repeated_runs(docs.select("doc_id", "text", "_k"), passage or length, length)
+    runs = found.groupBy("doc_id", "_k").agg(F.collect_list(F.struct("start", "windows", "longer")).alias("runs"))
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", n_passage_bytes bigint" if passage else "") + {"bytes": ", kept binary", "text": ", text string", None: ""}[keep]
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return _by_row(docs, runs, "left").select("doc_id", "text", "runs", *carry).mapInArrow(_cut(length, keep, carry), schema)
+    return _by_row(docs, runs, "left").select("doc_id", "text", "runs", *carry).mapInArrow(_cut(length, passage or length, keep, carry), schema)

@@ -51,6 +51,30 @@ def test_equals_brute_force(spark, docs_of, monkeypatch, seed, hot, split, block
         assert hashlib.sha256(r.kept).hexdigest() == w[3]
 
 
+def covered(texts, length):
+    count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if count[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append(int(gone.sum()))
+    return out
+
+
+@pytest.mark.parametrize("seed, hot, split, piece", [(11, 20_000, 300, 1 << 20), (12, 4, 2, 1 << 20), (13, 20_000, 1, 1 << 20), (14, 20_000, 300, 1500)])
+def test_two_lengths(spark, docs_of, monkeypatch, seed, hot, split, piece):
+    for name, value in (("HOT", hot), ("SPLIT", split), ("PIECE", piece)):
+        monkeypatch.setattr(S, name, value)
+    texts = some_texts(seed)
+    got = {r.doc_id: r for r in S.cut_repeats(docs_of(list(enumerate(texts))).repartition(5), 400, passage=200).collect()}
+    plain = [(t or "").encode() for t in texts]
+    for i, (w, n) in enumerate(zip(brute(plain, 400), covered(plain, 200), strict=True)):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_bytes) == (*w, n), i
+
+
 def test_pieces_of_long_texts(spark, docs_of, monkeypatch):
     monkeypatch.setattr(S, "PIECE", 1500)
     texts = some_texts(4)
