@@ -121,13 +121,13 @@ def _runs(data: np.ndarray, held: list, length: int) -> tuple[np.ndarray, ...]:
     return own[first], pos[first], n, q[first], h[q[first]].view(np.int64)
 
 
-ANCHORS = "doc_id bigint, _k bigint, anchor bigint, n bigint"
+ANCHORS = "_k bigint, anchor bigint, n bigint"
 
 
 def _anchors(length: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column("doc_id"), batch.column("_k")
+            keys = batch.column("_k")
             for data, held in _pieces(bytes_of(batch.column("text")), length):
                 own, _, _, q, anchor = _runs(data, held, length)
                 new = np.concatenate(([True], q[1:] != q[:-1]))
@@ -137,7 +137,7 @@ def _anchors(length: int):
                 top = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (a[1:] != a[:-1]))))
                 n = np.diff(np.append(top, r.size))
                 take = pa.array(r[top])
-                yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array(a[top]), pa.array(n)], names=["doc_id", "_k", "anchor", "n"])
+                yield pa.RecordBatch.from_arrays([keys.take(take), pa.array(a[top]), pa.array(n)], names=["_k", "anchor", "n"])
 
     return of
 
@@ -149,11 +149,13 @@ REMEMBERED = 200_000
 
 
 def _member(rows: np.ndarray, values: np.ndarray, lists: pa.Array) -> np.ndarray:
-    """Whether each value lies in the list of its row."""
+    """Whether each value lies in the list of its row; in lists of int, whether its low half does."""
     sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    key = lambda r, v: mix(v + (r.astype(np.uint64) + np.uint64(1)) * GOLD)
-    return np.isin(key(rows, values.view(np.uint64)), key(np.repeat(np.arange(len(lists)), sizes), flat))
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if pa.types.is_int32(lists.type.value_type):
+        values = values.astype(np.int32)  # the low half
+    key = lambda r, v: mix(v.astype(np.int64).view(np.uint64) + (r.astype(np.uint64) + np.uint64(1)) * GOLD)
+    return np.isin(key(rows, values), key(np.repeat(np.arange(len(lists)), sizes), flat))
 
 
 class _Out:
@@ -374,21 +376,22 @@ def _cut(length: int, passage: int, keep: str | None, carry: tuple[str, ...]):
         own = [r for r in runs if r["longer"] == longer]
         return spans_of(np.array([r["start"] for r in own]), np.array([r["windows"] for r in own]), size) if own else []
 
-    def one(text: bytes, runs: list | None) -> tuple:
-        kept, spans = text, covered(runs or [], short, length)
+    def one(doc: int | None, text: bytes, runs: list | None) -> tuple:
+        runs = [r for r in runs or [] if r["doc_id"] == doc]
+        kept, spans = text, covered(runs, short, length)
         if spans:
             edges = [0, *(x for s in spans for x in s), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
         out = len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()
         if short:
-            out += (sum(b - a for a, b in covered(runs or [], False, passage)),)
+            out += (sum(b - a for a, b in covered(runs, False, passage)),)
         return (*out, kept.decode(errors="ignore") if keep == "text" else kept) if keep else out
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                rows = [one(t.as_py(), r.as_py()) for t, r in zip(bytes_of(part.column("text")), part.column("runs"), strict=True)]
+                rows = [one(d.as_py(), t.as_py(), r.as_py()) for d, t, r in zip(part.column("doc_id"), bytes_of(part.column("text")), part.column("runs"), strict=True)]
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, *map(part.column, carry)], names=["doc_id", *(n for n, _ in kinds), *carry])
 
@@ -403,15 +406,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, longer: int | None = No
     far = longer or length
     found = store(docs.mapInArrow(_anchors(length), ANCHORS), "anchors")
     repeated = found.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("texts")).where("total > 1")
+    half = F.shiftright(F.shiftleft("anchor", 32), 32).cast("int")  # two anchors of a text with one half only send more
     pick = lambda c: F.collect_list(F.when(c, F.col("anchor")))
-    lists = F.collect_list("anchor").alias("anchors"), pick((F.col("texts") > SPLIT) & (F.col("texts") <= HOT)).alias("split"), pick(F.col("texts") > HOT).alias("hot")
-    asked = found.join(repeated, "anchor").groupBy("doc_id", "_k").agg(*lists)
-    return grouped(_by_row(docs, asked, "inner").mapInArrow(_segments(length, far, min(BLOCK, length - GRAM)), SEGMENTS), "_key").mapInArrow(_repeats(length, far), RUNS)
-
-
-def _by_row(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    other = other.withColumnsRenamed({"doc_id": "_doc", "_k": "_key"})
-    return docs.join(other, docs["doc_id"].eqNullSafe(other["_doc"]) & (docs["_k"] == other["_key"]), how).drop("_doc", "_key")
+    lists = F.collect_list(half).alias("anchors"), pick((F.col("texts") > SPLIT) & (F.col("texts") <= HOT)).alias("split"), pick(F.col("texts") > HOT).alias("hot")
+    asked = found.join(repeated, "anchor").groupBy("_k").agg(*lists)
+    return grouped(docs.join(asked, "_k").mapInArrow(_segments(length, far, min(BLOCK, length - GRAM)), SEGMENTS), "_key").mapInArrow(_repeats(length, far), RUNS)
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: str | None = "bytes", carry: tuple[str, ...] = (), passage: int | None = None) -> DataFrame:
@@ -429,7 +428,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: str | None = "bytes
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     docs = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
     found = repeated_runs(docs.select("doc_id", "text", "_k"), passage or length, length)
-    runs = found.groupBy("doc_id", "_k").agg(F.collect_list(F.struct("start", "windows", "longer")).alias("runs"))
+    runs = found.groupBy("_k").agg(F.collect_list(F.struct("doc_id", "start", "windows", "longer")).alias("runs"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", n_passage_bytes bigint" if passage else "") + {"bytes": ", kept binary", "text": ", text string", None: ""}[keep]
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return _by_row(docs, runs, "left").select("doc_id", "text", "runs", *carry).mapInArrow(_cut(length, passage or length, keep, carry), schema)
+    return docs.join(runs, "_k", "left").select("doc_id", "text", "runs", *carry).mapInArrow(_cut(length, passage or length, keep, carry), schema)
