@@ -47,3 +47,9 @@ def percent_rank(x: Column, *by: str) -> Column:
 
 def rounded(digits: int, **columns: Column) -> dict[str, Column]:
     return {k: F.round(v, digits) for k, v in columns.items()}
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation of the rows that have both, as an aggregate; null where one side is constant."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retroscope.functions.windows import EPS, by_time, change, deviation, full, mean, slope
@@ -76,3 +76,17 @@ def islands(bars: DataFrame) -> DataFrame:
     rows = rows.withColumn("_new", F.coalesce((F.col("up") != F.lag("up", 1).over(by_time())).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("_new").over(by_time()))
     return rows.groupBy("security", "run").agg(F.min("session").alias("first"), F.max("session").alias("last"), F.count("*").alias("rows"), F.min("up").alias("up"))
+
+
+def transitions(rows: DataFrame, state: str, outcome: str, steps: tuple[int, ...], tolerance: float) -> DataFrame:
+    """step, state, to_state, count, probability, mean_outcome (at arrival) of states that many rows apart; pairs whose
+    days differ by more than tolerance from step times the median gap of rows are left out."""
+    gap = F.datediff("session", F.lag("session", 1).over(by_time()))
+    usual = rows.withColumn("_g", gap).groupBy("_g").agg(F.count("*").alias("_n")).where("_g is not null")  # a row per gap
+    usual = usual.agg(F.percentile("_g", 0.5, F.col("_n")).alias("_usual"))
+    later = F.array(*(F.struct(F.lit(k).alias("step"), F.lead(state, k).over(by_time()).alias("to_state"), F.lead(outcome, k).over(by_time()).alias("_o"), F.datediff(F.lead("session", k).over(by_time()), "session").alias("_days"), (F.lead("ordinal", k).over(by_time()) - F.col("ordinal")).alias("_rows")) for k in steps))
+    pairs = rows.withColumn("_p", later).select(F.col(state).alias("state"), F.explode("_p").alias("p")).select("state", "p.*").where(F.col("_rows") == F.col("step"))
+    span = F.col("step") * F.col("_usual")
+    kept = pairs.crossJoin(F.broadcast(usual)).where(F.col("_days").between(span * (1 - tolerance), span * (1 + tolerance)))
+    counts = kept.groupBy("step", "state", "to_state").agg(F.count("*").alias("count"), F.avg("_o").alias("mean_outcome"))
+    return counts.withColumn("probability", F.col("count") / F.sum("count").over(Window.partitionBy("step", "state")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from retroscope.functions.windows import percent_rank
+from retroscope.functions.windows import correlation, percent_rank
 
 
 def opportunity_ranks(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def rank_ic(rows: DataFrame, score: str, outcome: str, by: str = "session", leas
     whole = rows.where(F.col(score).isNotNull() & F.col(outcome).isNotNull())
     ranked = whole.withColumns({"_a": percent_rank(F.col(score), by), "_b": percent_rank(F.col(outcome), by)})
     varied = (F.count("*") >= least) & (F.min("_a") < F.max("_a")) & (F.min("_b") < F.max("_b"))
-    return ranked.groupBy(by).agg(F.count("*").alias("assets"), F.when(varied, F.corr("_a", "_b")).alias("rank_ic"))
+    return ranked.groupBy(by).agg(F.count("*").alias("assets"), F.when(varied, correlation("_a", "_b")).alias("rank_ic"))
 
 
 def daily_slots(rows: DataFrame, score: str, k: int = 3) -> DataFrame:
@@ -90,3 +90,21 @@ def portfolio_metrics(returns: DataFrame, key: str, value: str, order: str) -> D
         F.when(vol > 0, mean / vol * F.sqrt(F.lit(252.0))).alias("sharpe"),
         F.min("_down").alias("max_drawdown"),
     )
+
+
+def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Per market, means over its sessions of at least two securities: Spearman, Kendall, same first, Jaccard of first three."""
+    day = Window.partitionBy("market", "session")
+    place = lambda c: F.row_number().over(day.orderBy(F.col(c).desc(), "security"))
+    ranked = rows.withColumns({"_a": place(a), "_b": place(b), "_ra": percent_rank(F.col(a), "market", "session"), "_rb": percent_rank(F.col(b), "market", "session")})
+    listed = F.collect_list(F.struct(F.col(a).alias("x"), F.col(b).alias("y")))
+    varied = (F.count("*") >= 3) & (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
+    both, either = (F.col("_a") <= 3) & (F.col("_b") <= 3), (F.col("_a") <= 3) | (F.col("_b") <= 3)
+    daily = ranked.groupBy("market", "session").agg(
+        F.count("*").alias("_n"), F.when(varied, correlation("_ra", "_rb")).alias("spearman"), F.max(((F.col("_a") == 1) & (F.col("_b") == 1)).cast("int")).alias("top_hit"),
+        (F.sum(both.cast("int")) / F.sum(either.cast("int"))).alias("top3"), listed.alias("_l"),
+    ).where("_n >= 2")
+    pairs = lambda f: F.aggregate("_l", F.lit(0.0), lambda acc, x: F.aggregate("_l", acc, lambda s, y: s + f(x, y)))  # noqa: E731  all ordered pairs of a session's securities
+    concord = pairs(lambda x, y: F.signum(x["x"] - y["x"]) * F.signum(x["y"] - y["y"]))
+    daily = daily.withColumn("kendall", concord / (F.col("_n") * (F.col("_n") - 1)))
+    return daily.groupBy("market").agg(F.count("*").alias("sessions"), F.avg("spearman").alias("spearman"), F.avg("kendall").alias("kendall"), F.avg("top_hit").alias("top_hit"), F.avg("top3").alias("top3_jaccard"))

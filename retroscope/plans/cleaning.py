@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retroscope.functions.windows import by_time, mean
+from retroscope.functions.windows import by_time, correlation, mean
 from retroscope.operators import calendar, cleaning
 from retroscope.plans.common import BARS, RETURNS, W, query, returns, round_sql, rounded_rows
 from retroscope.sources import panel
@@ -249,7 +249,7 @@ def aligned_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = daily.join(pairs, "market")
     right = other.join(pairs, "other")
     both = left.join(right, ["market", "other", "session"], "full_outer")
-    return both.groupBy("market", "other").agg(F.count("*").alias("either"), F.count(F.when(F.col("v").isNotNull() & F.col("w").isNotNull(), 1)).alias("common"), F.round(F.avg(F.col("v") - F.col("w")), 6).alias("mean_difference"), F.round(F.corr("v", "w"), 6).alias("correlation")).where("common > 0")
+    return both.groupBy("market", "other").agg(F.count("*").alias("either"), F.count(F.when(F.col("v").isNotNull() & F.col("w").isNotNull(), 1)).alias("common"), F.round(F.avg(F.col("v") - F.col("w")), 6).alias("mean_difference"), F.round(correlation("v", "w"), 6).alias("correlation")).where("common > 0")
 
 
 @query("""WITH s AS (SELECT s_nationkey AS nation, sha256(concat_ws('|', s_suppkey, s_name, CAST(round(s_acctbal * 100) AS BIGINT))) AS h FROM supplier) SELECT nation, count(*) AS rows, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM s GROUP BY 1""")
