@@ -13,8 +13,8 @@ inside it (its anchor). Equal windows have equal anchors at the same place, so
    updated by range minima. Columns are read one after the other and only the last one is kept. A window
    whose suffix shares `length` bytes with a neighbour is repeated.
 
-Texts that a task has met before are known to be repeated and leave it without their bytes. Groups are kept
-small in two steps that lose nothing. An anchor of more than SPLIT documents has its runs cut into blocks of
+Runs are first known by hashes of their texts: equal ones are repeated as a whole, and bytes are moved only where
+one anchor has different texts, once for each of them. Groups are kept small in two steps that lose nothing. An anchor of more than SPLIT documents has its runs cut into blocks of
 BLOCK successive places of the anchor; all windows of a block share the bytes in the middle (the core), so
 equal windows have equal cores, and texts are dealt out by anchor, block and core. Documents that share only
 a line then fall apart. An anchor of more than HOT documents has its windows compared by 128-bit hashes,
@@ -142,8 +142,8 @@ def _anchors(length: int):
     return of
 
 
-SEGMENTS = "doc_id bigint, _k bigint, start bigint, windows bigint, far bigint, place bigint, known boolean, body binary, _key bigint, h1 bigint, h2 bigint"
-_SEGMENTS = pa.schema([("doc_id", pa.int64()), ("_k", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("far", pa.int64()), ("place", pa.int64()), ("known", pa.bool_()), ("body", pa.binary()), ("_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+SEGMENTS = "doc_id bigint, _k bigint, start bigint, windows bigint, far bigint, place bigint, known boolean, _key bigint, h1 bigint, h2 bigint"
+_SEGMENTS = pa.schema([("doc_id", pa.int64()), ("_k", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("far", pa.int64()), ("place", pa.int64()), ("known", pa.bool_()), ("_key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 #: Texts and windows that a task remembers in order to know copies without moving them.
 REMEMBERED = 200_000
 
@@ -159,7 +159,7 @@ def _member(rows: np.ndarray, values: np.ndarray, lists: pa.Array) -> np.ndarray
 
 
 class _Out:
-    """Rows of SEGMENTS. The second time a task meets a text it says so, later ones are known copies.
+    """Rows of SEGMENTS. The third time that a task meets a text it is a known copy.
 
     Known copies that follow each other in a text are one row.
     """
@@ -176,10 +176,11 @@ class _Out:
         self.times[mark] = seen + 1
         return seen
 
-    def add(self, name: tuple, start: int, windows: int, far: int, place: int, mark: bytes, key: int | None, body: bytes | None) -> None:
+    def add(self, name: tuple, start: int, windows: int, far: int, place: int | None, mark: bytes, key: int | None) -> None:
         """One text, in the order of texts and starts: so many windows and longer windows from start on.
 
-        name: number of its document in the batch, doc_id, _k. key: None for that of the mark.
+        name: number of its document in the batch, doc_id, _k. place: null for a window that its hashes stand for.
+        key: None for that of the mark.
         """
         seen = self.met(mark)
         if seen > 1:
@@ -191,12 +192,12 @@ class _Out:
                 self.run = [name, start, windows, far]
             return
         h1, h2 = int.from_bytes(mark[:8], "little", signed=True), int.from_bytes(mark[8:], "little", signed=True)
-        self.rows.append((*name[1:], start, windows, far, place, False, None if seen else body, h1 if key is None else key, h1, h2))
+        self.rows.append((*name[1:], start, windows, far, place, False, h1 if key is None else key, h1, h2))
 
     def end_run(self) -> None:
         if self.run:
             name, start, windows, far = self.run
-            self.rows.append((*name[1:], start, windows, far, 0, True, None, start ^ (name[2] or 0), 0, 0))
+            self.rows.append((*name[1:], start, windows, far, None, True, start ^ (name[2] or 0), 0, 0))
             self.run = None
 
     def flush(self) -> pa.RecordBatch:
@@ -238,11 +239,11 @@ def _segments(length: int, far: int, block: int):
                     if is_hot:
                         for k, both in enumerate(hashes):
                             for at in range(run[0], run[0] + (longer(*run[:2]) if k else run[1])):
-                                out.add(name, at + move, 1 - k, k, 0, both[at].tobytes(), None, None)
+                                out.add(name, at + move, 1 - k, k, None, both[at].tobytes(), None)
                     else:
                         for at, many, key in _blocks(run, data, length, block, gram) if is_split else ((run[0], run[1], gram),):
                             body, place = data[at : min(end, at + many - 1 + far)].tobytes(), at - run[2]
-                            out.add(name, at + move, many, longer(at, many), place, xxhash.xxh3_128_digest(body, seed=place + length), key, body)
+                            out.add(name, at + move, many, longer(at, many), place, xxhash.xxh3_128_digest(body, seed=place + length), key)
                     if len(out.rows) >= 5000:
                         yield out.flush()
             out.end_run()
@@ -251,6 +252,64 @@ def _segments(length: int, far: int, block: int):
     return of
 
 
+PARTS = "doc_id bigint, _k bigint, start bigint, windows bigint, far bigint, place bigint, known boolean, ask boolean, _key bigint"
+_NAMES = [c.split()[0] for c in PARTS.split(", ")]
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """known: the run's text is there twice. ask: the bytes are needed, as the anchor has different texts; once for each."""
+    for block in whole_groups(batches, "_key"):
+        block = block.combine_chunks()
+        key, h1, h2 = (block.column(c).to_numpy() for c in ("_key", "h1", "h2"))
+        known, plain = block.column("known").to_numpy().copy(), block.column("place").is_valid().to_numpy()
+        fresh = np.flatnonzero(~known)
+        ask = np.zeros(known.size, bool)
+        if fresh.size:
+            order = fresh[np.lexsort((h2[fresh], h1[fresh], key[fresh]))]
+            new_key = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+            new = new_key | np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])))
+            times = np.diff(np.append(np.flatnonzero(new), order.size))
+            known[order] = np.repeat(times > 1, times)
+            texts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key))  # different ones of each key
+            several = np.repeat(texts > 1, np.diff(np.append(np.flatnonzero(new_key), order.size)))
+            ask[order[new & several]] = True
+            ask &= plain
+        rows = np.flatnonzero(known | ask)
+        out = block.take(pa.array(rows)).select(["doc_id", "_k", "start", "windows", "far", "place"])
+        columns = [*(c.combine_chunks() for c in out.columns), pa.array(known[rows]), pa.array(ask[rows]), pa.array(key[rows])]
+        yield from pa.Table.from_arrays(columns, names=_NAMES).to_batches(max_chunksize=20_000)
+
+
+BODIES = "doc_id bigint, _k bigint, start bigint, windows bigint, far bigint, place bigint, known boolean, _key bigint, body binary"
+_BODIES = pa.schema([("doc_id", pa.int64()), ("_k", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("far", pa.int64()), ("place", pa.int64()), ("known", pa.bool_()), ("_key", pa.int64()), ("body", pa.binary())])
+
+
+def _fetch(longest: int):
+    """The parts of each text, with their bytes where they were asked for."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BODIES, strict=True)], schema=_BODIES)
+        for batch in batches:
+            for doc, k, text, parts in zip(batch.column("doc_id").to_pylist(), batch.column("_k").to_pylist(), bytes_of(batch.column("text")), batch.column("parts"), strict=True):
+                text, own = text.as_py(), {}
+                for p in parts.as_py():  # those of rows that repeat this one are met again there
+                    if p["doc_id"] == doc:
+                        at = p["start"], p["windows"], p["far"], p["_key"]
+                        own[at] = p if at not in own or p["ask"] else own[at]
+                for p in own.values():
+                    body = text[p["start"] : p["start"] + p["windows"] - 1 + longest] if p["ask"] else None
+                    key = p["_key"] if p["ask"] else p["_key"] ^ p["start"] ^ k
+                    rows.append((doc, k, p["start"], p["windows"], p["far"], p["place"], p["known"], key, body))
+                if len(rows) >= 5000:
+                    yield flush()
+                    rows.clear()
+        if rows:
+            yield flush()
+
+    return of
+
+
 def repeated_windows(group: np.ndarray, place: np.ndarray, windows: np.ndarray, bodies: list[bytes], lengths: tuple[int, ...]) -> list[np.ndarray]:
     """For each length, for all windows of the texts, text by text: whether another text of the group has it at the same place.
 
@@ -327,30 +386,18 @@ def _repeats(length: int, far: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in whole_groups(batches, "_key"):
             doc, k, body = (block.column(c).to_pylist() for c in ("doc_id", "_k", "body"))
-            start, windows, more, place, key, h1, h2 = (block.column(c).to_numpy() for c in ("start", "windows", "far", "place", "_key", "h1", "h2"))
-            known = block.column("known").to_numpy()
-            asked = np.flatnonzero(~known)
-            whole = known.copy()
+            start, windows, more, key = (block.column(c).to_numpy() for c in ("start", "windows", "far", "_key"))
+            place, known = block.column("place").to_pylist(), block.column("known").to_numpy()
             runs: list[tuple[int, int, int, bool]] = []
-            if asked.size:
-                order = asked[np.lexsort((h2[asked], h1[asked], key[asked]))]
-                differs = (key[order][1:] != key[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-                bounds = np.concatenate(([0], np.flatnonzero(differs) + 1, [order.size]))
-                times = np.diff(bounds)
-                whole[order] = np.repeat(times > 1, times)
-                texts = [next((i for i in order[lo:hi] if body[i] is not None), None) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-                texts = np.array([i for i in texts if i is not None], np.int64)
-                texts = texts[np.argsort(key[texts], kind="stable")]
-                alone = np.concatenate(([True], key[texts][1:] != key[texts][:-1])) & np.concatenate((key[texts][1:] != key[texts][:-1], [True])) if texts.size else np.empty(0, bool)
-                texts = texts[~alone]
-                if texts.size:
-                    ends = np.cumsum(windows[texts])
-                    for longer, found in enumerate(repeated_windows(key[texts], place[texts], windows[texts], [body[i] for i in texts], lengths)):
-                        for t, x, y in _stretches(found, ends):
-                            i = int(texts[t])
-                            if not whole[i]:
-                                runs.append((i, int(start[i]) + x - int(ends[t] - windows[i]), y - x, bool(longer)))
-            for i in np.flatnonzero(whole).tolist():
+            texts = np.array([i for i, b in enumerate(body) if b is not None], np.int64)
+            if texts.size:
+                ends = np.cumsum(windows[texts])
+                for longer, found in enumerate(repeated_windows(key[texts], np.array([place[i] for i in texts]), windows[texts], [body[i] for i in texts], lengths)):
+                    for t, x, y in _stretches(found, ends):
+                        i = int(texts[t])
+                        if not known[i]:
+                            runs.append((i, int(start[i]) + x - int(ends[t] - windows[i]), y - x, bool(longer)))
+            for i in np.flatnonzero(known).tolist():
                 runs += [(i, int(start[i]), int(w), longer) for longer, w in ((False, windows[i]), (True, more[i])) if w]
             yield pa.RecordBatch.from_arrays([pa.array([doc[i] for i, *_ in runs], pa.int64()), pa.array([k[i] for i, *_ in runs], pa.int64()), pa.array([s for _, s, _, _ in runs], pa.int64()), pa.array([n for _, _, n, _ in runs], pa.int64()), pa.array([f for *_, f in runs], pa.bool_())], names=["doc_id", "_k", "start", "windows", "longer"])
 
@@ -410,7 +457,9 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, longer: int | None = No
     pick = lambda c: F.collect_list(F.when(c, F.col("anchor")))
     lists = F.collect_list(half).alias("anchors"), pick((F.col("texts") > SPLIT) & (F.col("texts") <= HOT)).alias("split"), pick(F.col("texts") > HOT).alias("hot")
     asked = found.join(repeated, "anchor").groupBy("_k").agg(*lists)
-    return grouped(docs.join(asked, "_k").mapInArrow(_segments(length, far, min(BLOCK, length - GRAM)), SEGMENTS), "_key").mapInArrow(_repeats(length, far), RUNS)
+    runs = grouped(docs.join(asked, "_k").mapInArrow(_segments(length, far, min(BLOCK, length - GRAM)), SEGMENTS), "_key").mapInArrow(_decide, PARTS)
+    parts = runs.groupBy("_k").agg(F.collect_list(F.struct(*(c for c in _NAMES if c != "_k"))).alias("parts"))
+    return grouped(docs.join(parts, "_k").mapInArrow(_fetch(far), BODIES), "_key").mapInArrow(_repeats(length, far), RUNS)
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: str | None = "bytes", carry: tuple[str, ...] = (), passage: int | None = None) -> DataFrame:
