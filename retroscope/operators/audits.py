@@ -21,3 +21,38 @@ def retrieval_audit(neighbors: DataFrame, queries: DataFrame, memory: DataFrame,
     rules = {"maturity": F.coalesce(F.col("available") > F.col("at"), F.lit(True)), "own_security": name("security") == name("_own"), "separation": F.coalesce(F.col("_gap") < spacing, F.lit(False))}
     judged = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), test.alias("broken")) for k, test in rules.items()))).alias("x"))
     return judged.groupBy("x.rule").agg(F.count("*").alias("rows"), F.count_if("x.broken").alias("violations"))
+
+
+def _rule(name: str, rows: DataFrame, broken: F.Column) -> DataFrame:
+    return rows.agg(F.lit(name).alias("rule"), F.count("*").alias("evaluated"), F.coalesce(F.sum(F.coalesce(broken, F.lit(False)).cast("bigint")), F.lit(0)).alias("violations"))
+
+
+def weights(neighbors: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """Queries whose weights are negative, not finite, or don't add up to 1."""
+    sums = neighbors.groupBy("query_id").agg(F.sum("weight").alias("_s"), F.min("weight").alias("_low"))
+    return _rule("weights", sums, F.col("_s").isNull() | F.isnan("_s") | (F.abs(F.col("_s") - 1) >= tolerance) | (F.col("_low") < 0))
+
+
+def fills(rows: DataFrame) -> DataFrame:
+    """Fills (filled) that are not after their signal (session)."""
+    return _rule("fill_after_signal", rows, F.col("filled") <= F.col("session"))
+
+
+def maturity(rows: DataFrame, cutoff: F.Column) -> DataFrame:
+    """Labels that are not known (available) by the cut-off."""
+    return _rule("label_maturity", rows, F.col("available").isNull() | (F.col("available") > cutoff))
+
+
+def isolation(train: DataFrame, fitted: DataFrame, evaluated: DataFrame) -> DataFrame:
+    """Sessions that a scaler was fitted on and that are no training sessions, or that are evaluated."""
+    outside = fitted.join(train, "session", "left_anti").agg(F.count("*").alias("_a"))
+    shared = fitted.join(evaluated, "session", "left_semi").agg(F.count("*").alias("_b"))
+    total = fitted.agg(F.count("*").alias("evaluated"))
+    return total.crossJoin(outside).crossJoin(shared).select(F.lit("scaler_isolation").alias("rule"), "evaluated", (F.col("_a") + F.col("_b")).alias("violations"))
+
+
+def grid(expected: DataFrame, there: DataFrame) -> DataFrame:
+    """Expected cells without a row."""
+    keys = expected.columns
+    rows = expected.join(there.select(*keys).distinct().withColumn("_there", F.lit(True)), keys, "left")
+    return _rule("expected_grid", rows, F.col("_there").isNull())

@@ -156,3 +156,32 @@ def utc_visible(left: DataFrame, right: DataFrame) -> DataFrame:
     other = right.select(F.col("market").alias("other"), "session", F.col("close_utc").alias("_other"))
     both = left.join(other, "session").where("market <> other")
     return both.groupBy("market", "other").agg(F.count("*").alias("sessions"), F.sum((F.col("_other") <= F.col("close_utc")).cast("bigint")).alias("visible"))
+
+
+def fold_manifest(rows: DataFrame) -> DataFrame:
+    """Rows per role of the fold of each year in rows (session, available, matures: when 63 and 126 rows on are known).
+
+    For year y: train lies and is known before y - 2, validation in y - 2, development in y - 1 (each known by its end),
+    evaluation in y whatever becomes of it, bank lies and is mature before y - 2.
+    """
+    years = rows.select(F.year("session").alias("fold")).distinct()  # a handful
+    at = lambda k: F.make_date(F.col("fold") + k, F.lit(1), F.lit(1))
+    s, a, m = F.col("session"), F.col("available"), F.col("matures")
+    inside = lambda k: (s >= at(k)) & (s < at(k + 1)) & (a < at(k + 1))
+    roles = {"train": (s < at(-2)) & (a < at(-2)), "validation": inside(-2), "development": inside(-1), "evaluation": F.year(s) == F.col("fold"), "bank": (s < at(-2)) & (m < at(-2))}
+    return rows.crossJoin(F.broadcast(years)).groupBy("fold").agg(*(F.count(F.when(test, 1)).alias(role) for role, test in roles.items()))
+
+
+def walk_forward(rows: DataFrame, train: int, validation: int, test: int, step: int) -> DataFrame:
+    """train_from, train_to, validation_to, test_to: years of rolling splits within the years there are."""
+    span = rows.agg(F.min(F.year("session")).alias("a"), F.max(F.year("session")).alias("b"))
+    starts = span.where("a is not null").select(F.explode(F.sequence("a", "b", F.lit(step))).alias("train_from"), "b")
+    ends = starts.select("train_from", (F.col("train_from") + train - 1).alias("train_to"), (F.col("train_from") + train + validation - 1).alias("validation_to"), (F.col("train_from") + train + validation + test - 1).alias("test_to"), "b")
+    return ends.where(F.col("test_to") <= F.col("b")).drop("b")
+
+
+def admitted(rows: DataFrame, whole_input: Column, known_target: Column, evaluated: Column) -> DataFrame:
+    """rows with reason: short_history without a whole input window, no_target where the target is not known; rows that are
+    evaluated need no target. Null: admitted."""
+    reason = F.when(~whole_input, "short_history").when(~known_target & ~evaluated, "no_target")
+    return rows.withColumn("reason", reason)
