@@ -377,4 +377,4 @@ def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.kaplan_meier(spells).withColumns({"survival": F.round("survival", 6), "variance": F.round("variance", 9)})
 
 
-from retroscope.plans import cleaning, cycles, evidence, metrics, resampling  # noqa: E402, F401  (they register their queries)
+from retroscope.plans import cleaning, cycles, decisions, evidence, metrics, resampling  # noqa: E402, F401  (they register their queries)
