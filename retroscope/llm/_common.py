@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run in one process."""
     return spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark)
 
 
@@ -28,6 +28,8 @@ _OWN: dict[str, str] = {}
 
 
 def _own_dir(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='retroscope-')}")
 
 
@@ -125,20 +127,37 @@ def tiles(df: DataFrame, key: str, member: Column, blocks: Column) -> DataFrame:
     return df.withColumn("_tile", F.xxhash64(F.col(key), F.when(blocks <= 1, F.lit(0).cast("bigint")).otherwise(many))).drop("_b", "_o")
 
 
+#: Rows of a group up to which it is shuffled as a whole, and the number of larger groups that are broadcast at most.
+WHOLE, BROADCAST = 1000, 50_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows with the columns of groups, which has a row for each value of key, and how many of the rows have it (size).
+
+    The rows of a large group are not shuffled: what belongs to it is broadcast. Of total rows no more than
+    BROADCAST groups can be that large.
+    """
+    bound = max(WHOLE, total // BROADCAST)
+    large = F.broadcast(groups.where(F.col(size) > bound))
+    rest = rows.join(F.broadcast(groups.where(F.col(size) > bound).select(key)), key, "left_anti").join(groups.where(F.col(size) <= bound), key)
+    return rows.join(large, key).unionByName(rest)
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) for the nodes of edges (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star rounds; each round's edges are a table in shared storage, and
-    what is compared on the driver between rounds is a count and a checksum.
+    what is compared on the driver between rounds is a count and a checksum. The edges of a hub are not
+    gathered: its smallest neighbour comes from partial minima and is broadcast to them.
     """
     now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = _sum_of(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select("a", "b", "m")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("_n"))
+        large = join_groups(both, low, "a", "_n", 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+        small = join_groups(large, low, "a", "_n", 2 * seen[0]).select("a", "b", "m")
         after = small.select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         after = store(after, name)
         release(now)
@@ -149,6 +168,37 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def representatives(member: str) -> Column:
+    """An aggregate: up to four members of a group, those of the smallest hash under four seeds."""
+    return F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(member, F.lit(s)).alias("h"), F.col(member).alias("v")))["v"] for s in range(4))))
+
+
+def linked_in_blocks(rows: DataFrame, key: str, columns: list[str], links: Callable, schema: str, name: str) -> DataFrame:
+    """Edges that `links` finds between the rows of each group of key, so that every group falls into the same
+    components as if all its rows had met.
+
+    rows: key, doc_id, `_blocks`, `_reps` (representatives of the group), and columns. A group with one block meets as a
+    whole. Others are cut by a hash of the member, and the representatives are in each block; where that leaves
+    a group in several components, all pairs of its blocks meet (`tiles`).
+    """
+    at = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("_blocks"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)
+    place = F.when(F.col("_blocks") <= 1, F.array(F.lit(0).cast("bigint"))).when(F.array_contains("_reps", F.col("doc_id")), every).otherwise(F.array(at.cast("bigint")))
+    first = rows.withColumn("_at", F.explode(place)).withColumn("_tile", F.xxhash64(key, "_at")).select("_tile", "doc_id", *columns)
+    found = store(grouped(first, "_tile").mapInArrow(links, schema), name)
+    cut = rows.where("_blocks > 1").select(key, "doc_id")
+    if cut.isEmpty():
+        return found
+    cut = store(cut, name)
+    parts = connected_components(found.join(cut.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi"), name)
+    apart = cut.join(parts.select(F.col("node").alias("doc_id"), F.col("component").alias("_c")), "doc_id", "left").withColumn("_c", F.coalesce("_c", "doc_id"))
+    apart = store(apart.groupBy(key).agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a <> _b").select(key), name)
+    if apart.isEmpty():
+        return found
+    again = tiles(rows.join(apart, key, "left_semi"), key, F.col("doc_id"), F.col("_blocks")).select("_tile", "doc_id", *columns)
+    return found.unionByName(grouped(again, "_tile").mapInArrow(links, schema))
+
+
 def _sum_of(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
     return row["n"], row["s"]

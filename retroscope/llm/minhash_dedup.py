@@ -5,7 +5,9 @@
 2. Rows that share a band key meet; inside a bucket only rows whose sketches agree in half of their
    values stay together. Each cluster gives a star of candidate edges, never all pairs.
 3. The components of these edges are small neighbourhoods that hold every link. Their texts meet in one
-   task (or, for a large one, in tiles of two blocks), which explores the exact links breadth first.
+   task, which explores the exact links breadth first. A large one is cut into blocks that share a few
+   representatives; only where that leaves it in several parts do all pairs of its blocks meet. Large
+   buckets are cut in the same way.
 4. Connected components of the exact links give the groups.
 
 With 24 bands of 3 values, a pair at similarity 0.75 fails to share a bucket with probability 2e-6, and
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retroscope.llm._common import GOLD, bytes_of, connected_components, group_bounds, grouped, mix, store, tiles, whole_groups
+from retroscope.llm._common import GOLD, bytes_of, connected_components, group_bounds, join_groups, linked_in_blocks, mix, representatives, store, whole_groups
 
 BANDS, ROWS, WORDS, PERCENT = 24, 3, 5, 75
 SIZE = BANDS * ROWS
@@ -213,16 +215,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = store(reps, "reps")
     copied = reps.where("copies > 1").select(*equal, F.col("doc_id").alias("b"))
     same = named.select("doc_id", *equal).join(copied, equal).select(F.col("doc_id").alias("a"), "b")
+    n_reps = reps.count()
     rows = reps.select("doc_id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(shared, "band").join(reps.select("doc_id", "sketch"), "doc_id")
-    met = tiles(met, "band", F.col("doc_id"), F.ceil(F.col("n") / BUCKET_BLOCK).cast("bigint")).select("_tile", "doc_id", "sketch")
-    near = connected_components(grouped(met, "_tile").mapInArrow(_sketch_clusters, EDGES), "near")
-    sized = near.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    members = near.join(sized, "component").join(docs.withColumnRenamed("doc_id", "node"), "node")
+    shared = rows.groupBy("band").agg(F.count("*").alias("n"), representatives("doc_id").alias("_reps")).where("n > 1")
+    met = join_groups(rows, shared, "band", "n", n_reps * BANDS).withColumn("_blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("bigint"))
+    met = met.join(reps.select("doc_id", "sketch"), "doc_id").select("band", "doc_id", "_blocks", "_reps", "sketch")
+    near = store(connected_components(linked_in_blocks(met, "band", ["sketch"], _sketch_clusters, EDGES, "near"), "near"), "near")
+    sized = near.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), representatives("node").alias("_reps"))
     blocks = F.greatest(F.ceil(F.col("n") / LINK_BLOCK), F.ceil(F.col("s") / LINK_SHINGLES)).cast("bigint")
-    members = tiles(members, "component", F.col("node"), blocks).select("_tile", F.col("node").alias("doc_id"), "text")
-    links = grouped(members, "_tile").mapInArrow(_links, EDGES)
+    members = join_groups(near, sized, "component", "n", near.count()).withColumn("_blocks", blocks).withColumnRenamed("node", "doc_id").join(docs, "doc_id")
+    links = linked_in_blocks(members.select("component", "doc_id", "_blocks", "_reps", "text"), "component", ["text"], _links, EDGES, "links")
     groups = connected_components(links.unionByName(same), "groups")
     out = signed.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     top = F.coalesce("component", "doc_id")

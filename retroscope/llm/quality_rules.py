@@ -7,7 +7,8 @@ smaller determinant judges all rows by Mahalanobis distance.
 
 Vectors are kept in units of 1/1024, so sums are exact and do not depend on how rows are dealt out. The
 distance that holds three quarters of a group is read from a histogram of a fixed number of bins, whose
-counts add up like other sums. No group is gathered in one place.
+counts add up like other sums. No group is gathered in one place: a row per group and start is sent to all
+rows, as long as there are no more than FEW groups.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ UNIT = 1024
 FLOORS = {"word_length": 0.35, "symbols": 0.045, "dup_lines": 0.15, "repeats": 0.09, "upper": 0.06}
 KEYS = list(FLOORS)
 #: Distance beyond which a row is an outlier (chi-square with 5 degrees of freedom: 1 - 1e-9), its median,
-#: the share of rows that an estimate rests on, steps, and the rows that a group needs for its own estimate.
-CUTOFF, MEDIAN, SHARE, STEPS, LEAST = 50.7, 4.351, 0.75, 4, 200
+#: the share of rows that an estimate rests on, the most steps, the change of the log determinant below which they
+#: end, the rows that a group needs for its own estimate, and the groups up to which estimates are broadcast.
+CUTOFF, MEDIAN, SHARE, STEPS, SETTLED, LEAST, FEW = 50.7, 4.351, 0.75, 10, 0.01, 30, 20_000
 #: Bins of the distance's histogram: equal steps of its logarithm.
 PER_OCTAVE, BINS = 64, 4096
 PAIRS = [(i, j) for i in range(len(KEYS)) for j in range(i + 1)]
@@ -89,18 +91,23 @@ def _estimate(rows: DataFrame) -> DataFrame:
     return _factor(est.withColumns({f"c_{i}_{j}": F.col(f"p_{i}_{j}") / n - F.col(f"m_{i}") * F.col(f"m_{j}") + floor(i, j) for i, j in PAIRS}))
 
 
-def _first(rows: DataFrame) -> DataFrame:
+def _few(small: DataFrame, groups: int) -> DataFrame:
+    """A table with a row per group (and start), to be joined to rows: by broadcast where the groups are few."""
+    return F.broadcast(small) if groups <= FEW else small
+
+
+def _first(rows: DataFrame, groups: int) -> DataFrame:
     """The two starts of each group: medians (from the statistics' own histograms), and all rows."""
     medians = rows.groupBy("grp").agg(*(F.percentile_approx(k, 0.5, 1000).alias(f"m_{i}") for i, k in enumerate(KEYS)))
-    away = rows.join(medians, "grp").groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(k) - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i, k in enumerate(KEYS)))
+    away = rows.join(_few(medians, groups), "grp").groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(k) - F.col(f"m_{i}")), 0.5, 1000).alias(f"d_{i}") for i, k in enumerate(KEYS)))
     spread = {f"c_{i}_{j}": F.pow(F.col(f"d_{i}") * 1.4826, F.lit(2.0)) + (FLOORS[KEYS[i]] * UNIT) ** 2 if i == j else F.lit(0.0) for i, j in PAIRS}
     robust = medians.join(away, "grp").withColumns({f"m_{i}": F.col(f"m_{i}").cast("double") for i in range(len(KEYS))} | spread).withColumn("start", F.lit(0))
     return _factor(robust).unionByName(_estimate(rows.withColumn("start", F.lit(1))))
 
 
-def _distance(rows: DataFrame, est: DataFrame, on: list[str]) -> DataFrame:
+def _distance(rows: DataFrame, est: DataFrame, on: list[str], groups: int) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance to the row's estimate, and its bin."""
-    rows = rows.join(est, on)
+    rows = rows.join(_few(est, groups), on)
     for i in range(len(KEYS)):
         z = (F.col(KEYS[i]) - F.col(f"m_{i}") - sum((F.col(f"l_{i}_{k}") * F.col(f"z_{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l_{i}_{i}")
         rows = rows.withColumn(f"z_{i}", z)
@@ -116,24 +123,28 @@ def _quantile(rows: DataFrame, by: list[str], share: float) -> DataFrame:
     return counts.withColumns({"c": so_far, "t": total}).where(F.col("c") >= F.col("t") * share).groupBy(*by).agg(F.min("bin").alias("limit"))
 
 
-def outliers(samples: DataFrame, rows: DataFrame, steps: int = STEPS) -> DataFrame:
+def outliers(samples: DataFrame, rows: DataFrame, groups: int, steps: int = STEPS) -> DataFrame:
     """rows with d2, the squared robust distance to what samples of the same grp give.
 
-    Both have grp and the vector's columns. d2 is scaled so that a group's median is not above that of
-    chi-square.
+    Both have grp and the vector's columns; groups: how many there are. Steps end when no group's log
+    determinant changes by SETTLED. d2 is scaled so that a group's median is not above that of chi-square.
     """
-    est = store(_first(samples), "mcd")
+    est = store(_first(samples, groups), "mcd")
     both = samples.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     for _ in range(steps):
-        near = _distance(both, est, ["grp", "start"])
-        close = near.join(_quantile(near, ["grp", "start"], SHARE), ["grp", "start"]).where("bin <= limit")
+        near = _distance(both, est, ["grp", "start"], groups)
+        close = near.join(_few(_quantile(near, ["grp", "start"], SHARE), groups), ["grp", "start"]).where("bin <= limit")
         last, est = est, store(_estimate(close.select("grp", "start", *KEYS)), "mcd")
+        moved = est.join(last.select("grp", "start", F.col("log_det").alias("_was")), ["grp", "start"]).agg(F.max(F.abs(F.col("log_det") - F.col("_was")))).first()[0]
         release(last)
+        if moved is None or moved < SETTLED:
+            break
     best = est.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
     chosen = est.join(best, ["grp", "start"]).drop("start")
-    middle = _quantile(_distance(samples, chosen, ["grp"]), ["grp"], 0.5)
+    middle = _quantile(_distance(samples, chosen, ["grp"], groups), ["grp"], 0.5)
     at_limit = (F.pow(F.lit(2.0), (F.col("limit") + 1) / PER_OCTAVE) - 1) / 1024
-    judged = _distance(rows, chosen, ["grp"]).join(middle.withColumn("scale", F.greatest(at_limit / MEDIAN, F.lit(1.0))), "grp")
+    middle = middle.withColumn("scale", F.greatest(at_limit / MEDIAN, F.lit(1.0)))
+    judged = _distance(rows, chosen, ["grp"], groups).join(_few(middle, groups), "grp")
     return judged.withColumn("d2", F.col("d2") / F.col("scale")).select(*rows.columns, "d2")
 
 
@@ -155,11 +166,13 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("of_lang"))
     grp = F.when(F.col("n") >= LEAST, F.concat_ws("\x1f", F.lit("s"), "lang", "source")).when(F.col("of_lang") >= LEAST, F.concat_ws("\x1f", F.lit("l"), "lang")).otherwise(F.lit("all"))
     names = sizes.join(by_lang, "lang").select("lang", "source", grp.alias("grp"))
+    names = store(names, "groups")
+    groups = names.count()
     # groups that use a wider estimate: its rows are all those of that width
-    rows = passed.join(names, ["lang", "source"])
-    wide = names.select("grp").distinct()
+    rows = passed.join(_few(names, groups), ["lang", "source"])
+    wide = _few(names.select("grp").distinct(), groups)
     samples = rows.select("lang", "source", *KEYS).withColumn("grp", F.explode(F.array(F.concat_ws("\x1f", F.lit("s"), "lang", "source"), F.concat_ws("\x1f", F.lit("l"), "lang"), F.lit("all")))).join(wide, "grp", "left_semi")
-    judged = outliers(samples.select("grp", *KEYS), rows).drop("grp", "n", "of_lang")
+    judged = outliers(samples.select("grp", *KEYS), rows, groups).drop("grp", "n", "of_lang")
     bad = stats.where("base_failed").withColumn("d2", F.lit(None).cast("double"))
     out = bad.unionByName(judged, allowMissingColumns=True)
     kept = ~F.col("base_failed") & (F.col("d2") <= cutoff)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from retroscope.llm._common import GOLD, bytes_of, grouped, mix, store, whole_groups
 
-LENGTH, GRAM, SPLIT, BLOCK, HOT, PIECE = 400, 64, 300, 64, 20_000, 1 << 20
+LENGTH, GRAM, SPLIT, BLOCK, HOT, PIECE = 400, 64, 300, 64, 20_000, 1 << 18
 _BITS = 22
 _LOW = np.uint64((1 << _BITS) - 1)
 
