@@ -2,46 +2,46 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retroscope.functions import frames
 from retroscope.functions.windows import EPS, by_time, change, deviation, full, mean, slope
 
 
+_TECH = ["return_1", "momentum_3", "momentum_10", "momentum_21", "vol_21", "avg_volume_21", "volume_change_1", "intraday_range", "drawdown", "trend_slope", "sma_50", "sma_150", "sma_200", "52w_low", "52w_high", "up_down_volume_ratio_50", "volume_ratio", "close_vs_sma_50", "close_vs_sma_150", "close_vs_sma_200", "sma_200_trend_20", "pct_above_52w_low", "pct_from_52w_high"]
+_SCORES = ["minervini_template_score", "minervini_gate"]
+
+
+def _technical(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    c, v = x["close"], x["volume"]
+    r, move = frames.change(c), c - frames.before(c)
+    low, high = (frames.full(c, 252, lambda w, f=f: f(w, axis=1)) for f in (np.min, np.max))
+    sma = {k: frames.mean(c, k) for k in (50, 150, 200)}
+    volume = frames.total(v, 21, 21) / 21
+    weights = (np.arange(10) - 4.5) / 82.5
+    trend = sma[200] / frames.before(sma[200], 20) - 1
+    out = {
+        "return_1": r, **{f"momentum_{k}": frames.change(c, k) for k in (3, 10, 21)}, "vol_21": frames.deviation(r, 21), "avg_volume_21": volume, "volume_change_1": frames.change(v),
+        "intraday_range": (x["high"] - x["low"]) / (c + EPS), "drawdown": c / frames.highest(c, 252) - 1, "trend_slope": frames.full(c, 10, lambda w: w @ weights),
+        **{f"sma_{k}": m for k, m in sma.items()}, "52w_low": low, "52w_high": high,
+        "up_down_volume_ratio_50": frames.total(np.where(move > 0, v, 0.0), 50, 20) / (frames.total(np.where(move < 0, v, 0.0), 50, 20) + EPS),
+        "volume_ratio": v / (volume + EPS), **{f"close_vs_sma_{k}": c / (m + EPS) - 1 for k, m in sma.items()}, "sma_200_trend_20": trend, "pct_above_52w_low": c / low - 1, "pct_from_52w_high": c / high - 1,
+    }
+    tests = [(c > sma[150]) & (c > sma[200]), sma[150] > sma[200], trend > 0, (sma[50] > sma[150]) & (sma[50] > sma[200]), c > sma[50], out["pct_above_52w_low"] > 0.3, out["pct_from_52w_high"] > -0.25]
+    score = np.sum(tests, axis=0).astype(np.int32)
+    out |= {"minervini_template_score": score, "minervini_gate": (score >= 6).astype(np.int32)}
+    return {f"tech_{k}": value for k, value in out.items()}
+
+
 def technical_features(bars: DataFrame) -> DataFrame:
     """bars (security, session, open, high, low, close, volume) with the tech_ columns.
 
     Frames are full but for tech_drawdown (from the first row) and the up-down volume ratio (20 rows of 50).
     """
-    c, v = F.col("close"), F.col("volume")
-    diff = c - F.lag(c, 1).over(by_time())
-    bars = bars.withColumns({"_r": change(c), "_up": F.when(diff > 0, v).otherwise(0.0), "_down": F.when(diff < 0, v).otherwise(0.0)})
-    out = bars.withColumns({
-        "tech_return_1": F.col("_r"),
-        **{f"tech_momentum_{k}": change(c, k) for k in (3, 10, 21)},
-        "tech_vol_21": deviation(F.col("_r"), 21),
-        "tech_avg_volume_21": mean(v, 21),
-        "tech_volume_change_1": change(v),
-        "tech_intraday_range": (F.col("high") - F.col("low")) / (c + EPS),
-        "tech_drawdown": c / full(F.max, c, 252, 1) - 1,
-        "tech_trend_slope": slope(c, 10),
-        **{f"tech_sma_{k}": mean(c, k) for k in (50, 150, 200)},
-        "tech_52w_low": full(F.min, c, 252),
-        "tech_52w_high": full(F.max, c, 252),
-        "tech_up_down_volume_ratio_50": full(F.sum, F.col("_up"), 50, 20) / (full(F.sum, F.col("_down"), 50, 20) + EPS),
-    })
-    s50, s150, s200 = (F.col(f"tech_sma_{k}") for k in (50, 150, 200))
-    out = out.withColumns({
-        "tech_volume_ratio": v / (F.col("tech_avg_volume_21") + EPS),
-        **{f"tech_close_vs_sma_{k}": c / (F.col(f"tech_sma_{k}") + EPS) - 1 for k in (50, 150, 200)},
-        "tech_sma_200_trend_20": s200 / F.lag(s200, 20).over(by_time()) - 1,
-        "tech_pct_above_52w_low": c / F.col("tech_52w_low") - 1,
-        "tech_pct_from_52w_high": c / F.col("tech_52w_high") - 1,
-    })
-    tests = [(c > s150) & (c > s200), s150 > s200, F.col("tech_sma_200_trend_20") > 0, (s50 > s150) & (s50 > s200), c > s50, F.col("tech_pct_above_52w_low") > 0.3, F.col("tech_pct_from_52w_high") > -0.25]
-    score = sum((F.coalesce(t.cast("int"), F.lit(0)) for t in tests), F.lit(0))
-    out = out.withColumn("tech_minervini_template_score", score)
-    return out.withColumn("tech_minervini_gate", (F.col("tech_minervini_template_score") >= 6).cast("int")).drop("_r", "_up", "_down")
+    added = ", ".join([*(f"`tech_{c}` double" for c in _TECH), *(f"tech_{c} int" for c in _SCORES)])
+    return frames.per_security(bars, _technical, ["high", "low", "close", "volume"], added)
 
 
 def oscillators(bars: DataFrame) -> DataFrame:

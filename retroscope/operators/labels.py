@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retroscope.functions import frames
 from retroscope.functions.windows import by_time, percent_rank
 
 
@@ -13,22 +15,29 @@ def forward_outcomes(bars: DataFrame, horizons: tuple[int, ...] = (21, 63), upsi
 
     available: the session at which the longest horizon is over, null before that has come.
     """
-    c, far = F.col("close"), max(horizons)
-    ahead = by_time().rowsBetween(1, far)
-    out = bars.withColumns({f"future_return_{h}": F.lead(c, h).over(by_time()) / c - 1 for h in horizons})
-    out = out.withColumns({
-        "future_max_return": F.max(c).over(ahead) / c - 1,
-        "future_min_return": F.min(c).over(ahead) / c - 1,
-        "peak_offset": F.max_by("ordinal", F.struct(c, -F.col("ordinal"))).over(ahead) - F.col("ordinal"),
-        "trough_offset": F.min_by("ordinal", F.struct(c, F.col("ordinal"))).over(ahead) - F.col("ordinal"),
-        "_ahead": F.collect_list(c).over(ahead),
-        "available": F.lead("session", far).over(by_time()),
-    })
-    hit = lambda test: F.array_position(F.transform("_ahead", test), True)
-    out = out.withColumns({"up_offset": F.nullif(hit(lambda x: x / c - 1 >= upside), F.lit(0)), "down_offset": F.nullif(hit(lambda x: x / c - 1 <= downside), F.lit(0))})
-    first = F.coalesce(F.col("up_offset") < F.col("down_offset"), F.col("up_offset").isNotNull())
-    quality = F.greatest("future_max_return", F.lit(0.0)) / (F.greatest("future_max_return", F.lit(0.0)) + F.greatest(-F.col("future_min_return"), F.lit(0.0)) + 1e-9)
-    return out.withColumns({"upside_before_drawdown": first.cast("int"), "path_quality": quality}).drop("_ahead")
+    far = max(horizons)
+
+    def of(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        c = x["close"]
+        paths = frames.ahead(c, far)
+        some = ~np.isnan(paths[:, 0])
+        gains = paths / c[:, None] - 1
+        top, bottom = (np.where(some, g.max(axis=1), np.nan) for g in (np.where(np.isnan(gains), -np.inf, gains), -np.where(np.isnan(gains), np.inf, gains)))
+        bottom = -bottom
+        place = lambda found, at: np.where(found, at + 1.0, np.nan)
+        hit = lambda test: place(test.any(axis=1), test.argmax(axis=1))
+        up, down = hit(gains >= upside), hit(gains <= downside)
+        rise, fall = np.where(top > 0, top, 0.0), np.where(bottom < 0, -bottom, 0.0)
+        out = {f"future_return_{h}": gains[:, h - 1] for h in horizons}
+        return out | {
+            "future_max_return": top, "future_min_return": bottom, "_peak": place(some, np.where(np.isnan(paths), -np.inf, paths).argmax(axis=1)), "_trough": place(some, np.where(np.isnan(paths), np.inf, paths).argmin(axis=1)),
+            "_up": up, "_down": down, "upside_before_drawdown": np.where(np.isnan(up) | np.isnan(down), ~np.isnan(up), up < down).astype(np.int32), "path_quality": rise / (rise + fall + 1e-9),
+        }
+
+    added = ", ".join([*(f"future_return_{h} double" for h in horizons), *(f"{n} double" for n in ("future_max_return", "future_min_return", "_peak", "_trough", "_up", "_down")), "upside_before_drawdown int", "path_quality double"])
+    out = frames.per_security(bars.withColumn("available", F.lead("session", far).over(by_time())), of, ["close"], added)
+    offsets = {"peak_offset": "_peak", "trough_offset": "_trough", "up_offset": "_up", "down_offset": "_down"}
+    return out.withColumns({k: F.col(v).cast("bigint") for k, v in offsets.items()}).drop(*offsets.values())
 
 
 def relative_outcomes(outcomes: DataFrame, groups: DataFrame, column: str, least: int = 3) -> DataFrame:

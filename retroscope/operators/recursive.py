@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import DataFrame
 
-EMA = "security bigint, session date, ordinal bigint, ema_12 double, ema_26 double, macd double, macd_signal double"
-
-
-def _ema(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Recursive averages over rows sorted by security and session; only the last state is kept."""
-    now, state = None, (0.0, 0.0, 0.0)
-    for batch in batches:
-        rows = []
-        for security, session, ordinal, x in zip(*(batch.column(k).to_pylist() for k in ("security", "session", "ordinal", "close")), strict=True):
-            if security != now:
-                now, fast, slow = security, x, x
-                signal = 0.0
-            else:
-                fast, slow, signal = state
-                fast, slow = fast + 2 / 13 * (x - fast), slow + 2 / 27 * (x - slow)
-                signal += 2 / 10 * (fast - slow - signal)
-            state = fast, slow, signal
-            rows.append((security, session, ordinal, fast, slow, fast - slow, signal))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        kinds = (pa.int64(), pa.date32(), pa.int64(), *[pa.float64()] * 4)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in EMA.split(", ")])
+from retroscope.functions import frames
+
+EMA = "ema_12 double, ema_26 double, macd double, macd_signal double"
+
+
+def average(x: np.ndarray, span: int, first: float) -> np.ndarray:
+    """Exponential average of that span, each value a step of 2 / (span + 1) from the one before, which is first at first."""
+    out, now, step = np.empty(x.size), first, 2 / (span + 1)
+    for i, value in enumerate(x.tolist()):
+        now += step * (value - now)
+        out[i] = now
+    return out
+
+
+def _macd(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    close = x["close"]
+    fast, slow = average(close, 12, close[0]), average(close, 26, close[0])
+    return {"ema_12": fast, "ema_26": slow, "macd": fast - slow, "macd_signal": average(fast - slow, 9, 0.0)}
 
 
 def macd(bars: DataFrame) -> DataFrame:
     """Exponential averages of spans 12 and 26, seeded by the first close, their difference and its span-9 average."""
-    rows = bars.select("security", "session", "ordinal", "close").repartition("security").sortWithinPartitions("security", "session")
-    return rows.mapInArrow(_ema, EMA)
+    return frames.per_security(bars.select("security", "session", "ordinal", "close"), _macd, ["close"], EMA).drop("close")
