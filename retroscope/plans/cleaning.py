@@ -92,9 +92,9 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
   greatest(open, close, low) - high AS over, low - least(open, close, high) AS under, 4 * 2.0::DOUBLE ** -52 * greatest(open, close, high, low) AS slack FROM more),
 s AS (SELECT security, session, row, CASE WHEN missing THEN 'not_finite' WHEN lowest THEN 'not_positive' WHEN volume < 0 THEN 'volume' WHEN conflict THEN 'conflict' WHEN copy THEN 'duplicate' END AS fault,
   CASE WHEN missing OR lowest THEN 'OTHER_INVALID' WHEN over <= 0 AND under <= 0 THEN 'ALREADY_VALID' WHEN over <= slack AND under <= slack THEN 'ROUNDOFF_ONLY' ELSE 'MATERIAL_DISCREPANCY' END AS ordering, over, under, high, low, open, close FROM g)
-SELECT security, session, row, fault, ordering, round(CASE WHEN ordering = 'ROUNDOFF_ONLY' THEN greatest(high, open, close, low) ELSE high END, 6) AS mended_high, round(CASE WHEN ordering = 'ROUNDOFF_ONLY' THEN least(low, open, close, high) ELSE low END, 6) AS mended_low FROM s""")
+SELECT security, session, row, fault, ordering, CASE WHEN ordering = 'ROUNDOFF_ONLY' THEN greatest(high, open, close, low) ELSE high END AS mended_high, CASE WHEN ordering = 'ROUNDOFF_ONLY' THEN least(low, open, close, high) ELSE low END AS mended_low FROM s""")
 def bar_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_rows(cleaning.bar_status(_raw(spark, sf_dir)), ["security", "session", "row", "fault", "ordering"], ["mended_high", "mended_low"])
+    return cleaning.bar_status(_raw(spark, sf_dir)).select("security", "session", "row", "fault", "ordering", "mended_high", "mended_low")
 
 
 _SEEDS = """WITH s AS (SELECT l_returnflag AS seed, CAST(l_shipdate AS DATE) AS session, l_suppkey AS security, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 - 0.05 AS score, CAST(min(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / 100 AS downside,

@@ -53,6 +53,18 @@ def rank(x: str, by: str) -> str:
     return f"(rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0::DOUBLE) / count({x}) OVER (PARTITION BY {by})"
 
 
+#: Added before values are rounded that may lie half-way, where noise in the last place would decide.
+BIAS = 3e-11
+
+
+def steady_rows(df: DataFrame, keys: list[str], columns: list[str], digits: int = 6) -> DataFrame:
+    return df.select(*keys, *(F.round(F.col(x) + BIAS, digits).alias(x) for x in columns))
+
+
+def steady_sql(columns: list[str], digits: int = 6) -> str:
+    return ", ".join(f"round({x} + {BIAS}, {digits}) AS {x}" for x in columns)
+
+
 def rounded_rows(df: DataFrame, keys: list[str], columns: list[str], digits: int = 6) -> DataFrame:
     return df.select(*keys, *(F.round(x, digits).alias(x) for x in columns))
 

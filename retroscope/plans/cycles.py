@@ -178,7 +178,7 @@ def score_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_EXITS}, mn AS (SELECT *, median(exit_return) OVER (PARTITION BY session) AS benchmark, coalesce(list_min(list_transform(ahead, lambda x: x.p / price - 1)), 0) AS adverse FROM rt),
 na AS (SELECT *, exit_return - benchmark - 0.002 AS net_alpha FROM mn), ut AS (SELECT *, round(net_alpha - 0.35 * abs(adverse) - 0.0001 * holding, 9) AS utility FROM na)
-SELECT security, session, round(net_alpha, 6) AS net_alpha, round(utility, 6) AS utility, round({rank('utility', 'session')}, 6) AS same_date_rank, n >= 63 AS mature FROM ut""")
+SELECT security, session, round(net_alpha, 6) AS net_alpha, utility, round({rank('utility', 'session')}, 6) AS same_date_rank, n >= 63 AS mature FROM ut""")
 def decision_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     ahead = by_time().rowsBetween(1, 63)
     rows = _exits(spark, sf_dir).withColumns({"adverse": F.coalesce(F.min("price").over(ahead) / F.col("price") - 1, F.lit(0.0)), "mature": F.count("*").over(ahead) >= 63})
@@ -186,7 +186,7 @@ def decision_utilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labels.utilities(rows, "exit_return", "benchmark", "adverse", "holding")
     rows = rows.withColumn("utility", F.round("utility", 9))
     rows = rows.withColumn("same_date_rank", labels.percent_rank(F.col("utility"), "session"))
-    return rounded_rows(rows, ["security", "session", "mature"], ["net_alpha", "utility", "same_date_rank"])
+    return rounded_rows(rows, ["security", "session", "mature", "utility"], ["net_alpha", "same_date_rank"])
 
 
 @query(f"""{WALK}, g AS (SELECT *, volume > 20 AS ok, coalesce(CAST(session - lag(session) OVER {W} > 20 AS INT), 0) AS gap FROM walk), s AS (SELECT *, sum(gap) OVER {W} AS segment FROM g),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from retroscope.functions.windows import percent_rank
 from retroscope.operators import confidence, decisions
 from retroscope.plans.cleaning import SEEDS, seeds
-from retroscope.plans.common import RETURNS, query, rank, returns, round_sql, rounded_rows
+from retroscope.plans.common import BIAS, RETURNS, query, rank, returns, rounded_rows, steady_rows, steady_sql
 
 _VOTE = "score >= 0 AND confidence >= 0.4 AND abs(downside) <= 0.05"
 
@@ -25,10 +25,11 @@ _CS = ["score", "entry_rank", "rank_spread", "exit_raw", "score_spread", "score_
 
 @query(f"""{_CONSENSUS}, nr AS (SELECT *, row_number() OVER (PARTITION BY security ORDER BY session) AS place FROM cs),
 ew AS (SELECT security, session, place, exit_raw AS e FROM nr WHERE place = 1 UNION ALL SELECT n.security, n.session, n.place, 0.5::DOUBLE * ew.e + 0.5::DOUBLE * n.exit_raw FROM ew JOIN nr n ON n.security = ew.security AND n.place = ew.place + 1)
-SELECT session, security, seeds, votes, seed_votes, {", ".join(f"round({c}, 6) AS {c}" for c in _CS[:-2])}, round(e, 6) AS exit_score, round(e / (abs(score) + 1e-6), 3) AS persistence FROM nr JOIN ew USING (security, session)""")
+SELECT session, security, seeds, votes, seed_votes, {steady_sql(_CS[:-2])}, round(e + {BIAS}, 6) AS exit_score, round(e / (abs(score) + 1e-6) + {BIAS}, 3) AS persistence FROM nr JOIN ew USING (security, session)""")
 def consensus_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decisions.smoothed_exits(_consensus(spark, sf_dir))
-    return rows.select("session", "security", "seeds", "votes", "seed_votes", *(F.round(c, 6).alias(c) for c in _CS[:-1]), F.round("persistence", 3).alias("persistence"))
+    rows = rows.withColumn("persistence", F.round(F.col("persistence") + BIAS, 3))
+    return steady_rows(rows, ["session", "security", "seeds", "votes", "seed_votes", "persistence"], _CS[:-1])
 
 
 @query(f"""{RETURNS}, {SEEDS.removeprefix("WITH ")}, p AS (SELECT market, future AS realized, -max(downside) AS predicted FROM s JOIN r USING (security, session) WHERE future IS NOT NULL GROUP BY market, security, session, future),
@@ -65,9 +66,9 @@ sf AS (SELECT *, 0.25 * rank_lcb + 0.20 * rank_expected + 0.20 * rank_safety + 0
   {_U.format(f"({_U.format('confidence')} + agreement + vote_share + stability + size_share + ood_pass) / 6")} AS evidence_support FROM ft)"""
 
 
-@query(f"{_FEATURES} SELECT session, security, {round_sql(_F)} FROM sf")
+@query(f"{_FEATURES} SELECT session, security, {steady_sql(_F)} FROM sf")
 def opportunity_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_rows(_evidence(spark, sf_dir), ["session", "security"], _F)
+    return steady_rows(_evidence(spark, sf_dir), ["session", "security"], _F)
 
 
 _LEVELS, _STEPS = (0.0, 0.25, 0.5, 0.75, 1.0), (0.3, 0.5, 0.7, 0.9)
@@ -127,12 +128,12 @@ def top_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CL = "greatest(-0.05, least(0.05, daily_return))"
-_MD = f"{RETURNS}, md AS (SELECT market, session, avg({_CL}) AS v FROM r WHERE daily_return IS NOT NULL GROUP BY 1, 2)"
+_MD = f"{RETURNS}, md AS (SELECT market, session, round(avg({_CL}), 10) AS v FROM r WHERE daily_return IS NOT NULL GROUP BY 1, 2)"
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.greatest(F.lit(-0.05), F.least(F.lit(0.05), F.col("daily_return")))
-    return returns(spark, sf_dir).where("daily_return is not null").groupBy("market", "session").agg(F.avg(v).alias("v"))
+    return returns(spark, sf_dir).where("daily_return is not null").groupBy("market", "session").agg(F.round(F.avg(v), 10).alias("v"))
 
 
 @query(f"{_MD} SELECT market, session, concat_ws('|', market, year(session), ntile(3) OVER (PARTITION BY market ORDER BY round(v, 9), session)) AS environment FROM md")
@@ -145,9 +146,9 @@ _MB = "(PARTITION BY market ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRE
 
 @query(f"""{_MD}, l AS (SELECT *, sum(ln(1 + v)) OVER (PARTITION BY market ORDER BY session) AS s FROM md), d AS (SELECT *, exp(s - greatest(max(s) OVER (PARTITION BY market ORDER BY session), 0)) - 1 AS down FROM l),
 p AS (SELECT market, session, coalesce(least(1, 0.01 / nullif(CASE WHEN count(v) OVER {_MB} >= 5 THEN stddev_samp(v) OVER {_MB} END, 0)), 1) AS calm, coalesce(greatest(0, 1 + lag(down) OVER (PARTITION BY market ORDER BY session) / 0.1), 1) AS whole, coalesce(avg(CAST(v > 0 AS INT)) OVER {_MB}, 0.5) + 0.5 AS sure FROM d)
-SELECT market, session, round(calm, 6) AS calm, round(whole, 6) AS whole, round(sure, 6) AS sure, round(greatest(0.2, least(1, calm * whole * sure)), 6) AS exposure FROM p""")
+SELECT market, session, {steady_sql(['calm', 'whole', 'sure'])}, round(greatest(0.2, least(1, calm * whole * sure)) + {BIAS}, 6) AS exposure FROM p""")
 def exposure_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_rows(decisions.exposure(_daily(spark, sf_dir)), ["market", "session"], ["calm", "whole", "sure", "exposure"])
+    return steady_rows(decisions.exposure(_daily(spark, sf_dir)), ["market", "session"], ["calm", "whole", "sure", "exposure"])
 
 
 @query(f"""{_ENTRY}, w AS (SELECT date_trunc('week', session)::DATE AS week, security, future, momentum, volume, row_number() OVER (PARTITION BY date_trunc('week', session), security ORDER BY session DESC) AS l FROM e WHERE future IS NOT NULL),

@@ -51,10 +51,10 @@ PORTFOLIO = ["total_return", "annualized", "sharpe", "sortino", "max_drawdown",
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.greatest(F.lit(-0.05), F.least(F.lit(0.05), F.col("daily_return"))) / 10
-    return returns(spark, sf_dir).where("daily_return is not null").groupBy("market", "session").agg(F.avg(r).alias("v"))
+    return returns(spark, sf_dir).where("daily_return is not null").groupBy("market", "session").agg(F.round(F.avg(r), 10).alias("v"))
 
 
-_DAILY = "daily AS (SELECT market, session, avg(greatest(-0.05, least(0.05, daily_return)) / 10) AS v FROM r WHERE daily_return IS NOT NULL GROUP BY 1, 2)"
+_DAILY = "daily AS (SELECT market, session, round(avg(greatest(-0.05, least(0.05, daily_return)) / 10), 10) AS v FROM r WHERE daily_return IS NOT NULL GROUP BY 1, 2)"
 
 
 @query(f"""{RETURNS}, {_DAILY}, {_TRADES},
