@@ -168,22 +168,30 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+SEEDS = range(4)
+
+
 def representatives(member: str) -> Column:
-    """An aggregate: up to four members of a group, those of the smallest hash under four seeds."""
-    return F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(member, F.lit(s)).alias("h"), F.col(member).alias("v")))["v"] for s in range(4))))
+    """An aggregate: the smallest hash of a group's members under each of four seeds, which names up to four of them."""
+    return F.array(*(F.min(F.xxhash64(member, F.lit(s))) for s in SEEDS))
+
+
+def _represents(member: str, reps: str) -> Column:
+    tests = [F.xxhash64(member, F.lit(s)) == F.get(reps, s) for s in SEEDS]
+    return tests[0] | tests[1] | tests[2] | tests[3]
 
 
 def linked_in_blocks(rows: DataFrame, key: str, columns: list[str], links: Callable, schema: str, name: str) -> DataFrame:
     """Edges that `links` finds between the rows of each group of key, so that every group falls into the same
     components as if all its rows had met.
 
-    rows: key, doc_id, `_blocks`, `_reps` (representatives of the group), and columns. A group with one block meets as a
+    rows: key, doc_id, `_blocks`, `_reps` (`representatives` of the group), and columns. A group with one block meets as a
     whole. Others are cut by a hash of the member, and the representatives are in each block; where that leaves
     a group in several components, all pairs of its blocks meet (`tiles`).
     """
     at = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("_blocks"))
     every = F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1)
-    place = F.when(F.col("_blocks") <= 1, F.array(F.lit(0).cast("bigint"))).when(F.array_contains("_reps", F.col("doc_id")), every).otherwise(F.array(at.cast("bigint")))
+    place = F.when(F.col("_blocks") <= 1, F.array(F.lit(0).cast("bigint"))).when(_represents("doc_id", "_reps"), every).otherwise(F.array(at.cast("bigint")))
     first = rows.withColumn("_at", F.explode(place)).withColumn("_tile", F.xxhash64(key, "_at")).select("_tile", "doc_id", *columns)
     found = store(grouped(first, "_tile").mapInArrow(links, schema), name)
     cut = rows.where("_blocks > 1").select(key, "doc_id")
