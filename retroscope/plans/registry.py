@@ -21,6 +21,7 @@ from retroscope.plans.neighbors import NEAR as _NEAR
 from retroscope.plans.neighbors import constrained as _constrained
 from retroscope.plans.neighbors import memory as _memory
 from retroscope.sources import panel
+from retroscope.streaming.windows import activity
 
 FLAGSHIP = "technical_features"
 
@@ -377,4 +378,10 @@ def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.kaplan_meier(spells).withColumns({"survival": F.round("survival", 6), "variance": F.round("variance", 9)})
 
 
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS rows, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS hundredths FROM events GROUP BY 1, 2""")
+def event_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream of events gives once all of them have come."""
+    return activity(panel.table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 from retroscope.plans import cleaning, cycles, decisions, evidence, metrics, resampling  # noqa: E402, F401  (they register their queries)

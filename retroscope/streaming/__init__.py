@@ -1 +1 @@
-
+"""Streams of events."""
