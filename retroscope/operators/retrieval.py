@@ -84,8 +84,8 @@ class Rules:
 def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows whose vector has dim numbers, and those vectors."""
     rows = np.flatnonzero(column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim)
-    flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-    return rows, flat.astype(np.float64).reshape(rows.size, dim)
+    flat = (column if rows.size == len(column) else column.take(pa.array(rows))).flatten().to_numpy(zero_copy_only=False)
+    return rows, flat.astype(np.float64, copy=False).reshape(rows.size, dim)
 
 
 def _plain(column: pa.Array) -> np.ndarray:
@@ -105,13 +105,13 @@ def _matcher(block: pa.Table, dim: int, rules: Rules, carry: list[str], names: l
         held: pa.Table | None = None
         for batch in batches:
             use, vectors = _vectors(batch.column("vector"), dim)
-            batch = batch.take(pa.array(use))
+            batch = batch.select([c for c in batch.schema.names if c != "vector"]).take(pa.array(use))
             m = {c: _plain(batch.column(c)) for c in ("security", "ordinal", "available", *([rules.least[0]] if rules.least else []))}
             m["available"] = np.where(batch.column("available").is_null(), np.inf, m["available"].astype(float))
             if rules.apart_from:
                 m["has"] = np.asarray(batch.column(rules.apart_from).is_valid())
                 m[rules.apart_from] = np.array(batch.column(rules.apart_from).to_pylist(), object)
-            size = (vectors**2).sum(axis=1)
+            size = np.einsum("ij,ij->i", vectors, vectors)
             product = points @ vectors.T
             parts = []
             for row in range(points.shape[0]):
