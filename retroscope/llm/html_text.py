@@ -2,7 +2,8 @@
 
 The tree builder closes elements that the next tag ends without saying so (p before a block, li before li,
 cells and rows of tables, options) and ignores end tags that match nothing. The renderer leaves out what is
-not shown (head, scripts, styles, templates, hidden elements, comments), collapses white space outside
+not shown (head, scripts, styles, templates, comments, elements hidden by attribute, by style, or by a rule of a
+style element for a tag, class or id), collapses white space outside
 pre and textarea, puts blocks on lines of their own and paragraphs apart by an empty line, numbers and
 indents lists, and pads the cells of a table's column to one width.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -32,12 +34,16 @@ TABLE = {"table", "template"}
 SECTIONS = {"thead", "tbody", "tfoot"}
 # The open elements of a table that its parts go into; what else is open above them ends.
 INTO = {"td": {"tr", "table", *SECTIONS}, "th": {"tr", "table", *SECTIONS}, "tr": {"table", *SECTIONS}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-#: Elements open at once; deeper ones become siblings.
-DEEPEST = 200
+#: Elements open at once; deeper ones become siblings, as in browsers. Largest spans of the HTML standard.
+DEEPEST, WIDEST, TALLEST = 512, 1000, 65534
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\s*/*\s*([^\s=>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_WHOLE = re.compile(r"\s*([+-]?\d{1,400})")
+_RULE = re.compile(r"/\*.*?\*/|([^{}]*)([{}])", re.S)
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
+_SHOWS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 
 
@@ -106,22 +112,37 @@ def tokens(source: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 
 
 def tree(source: str) -> Node:
-    """The elements of a page below a root without a name."""
+    """The elements of a page below a root without a name.
+
+    From DEEPEST open elements on, elements are siblings of the last open one, and their end tags end nothing else;
+    what is not seen there is still an element of its own, so its text stays unseen.
+    """
     root = Node("", {})
     stack = [root]
+    over: list[str] = []  # open elements that were not pushed
 
     def close(tags: set[str], stops: set[str]) -> None:
         """Close down to the outermost open element of `tags` above the innermost of `stops`."""
         lowest = None
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in stops:
+            if stack[k].tag in stops or stack[k].tag == "template":
                 break
             if stack[k].tag in tags:
                 lowest = k
         if lowest is not None:
             del stack[lowest:]
 
+    def push(node: Node) -> None:
+        if len(stack) < DEEPEST or (len(stack) == DEEPEST and unseen(node)):
+            stack.append(node)
+            over.clear()
+        else:
+            over.append(node.tag)
+
     for kind, name, attributes in tokens(source):
+        if kind == "end" and name in over:
+            del over[len(over) - 1 - over[::-1].index(name) :]
+            continue
         if kind == "text":
             stack[-1].children.append(name)
         elif kind == "start":
@@ -139,13 +160,13 @@ def tree(source: str) -> Node:
                 if name in ("td", "th") and stack[-1].tag != "tr" and len(stack) < DEEPEST:
                     row = Node("tr", {})
                     stack[-1].children.append(row)
-                    stack.append(row)
+                    push(row)
             node = Node(name, attributes)
             stack[-1].children.append(node)
             if name == "form" and stack[-1].tag in INTO["td"]:  # its rows and cells are the table's
                 continue
-            if name not in VOID and len(stack) < DEEPEST:
-                stack.append(node)
+            if name not in VOID:
+                push(node)
         elif name == "p" and not any(x.tag == "p" for x in stack):
             stack[-1].children.append(Node("p", {}))
         elif name == "br":
@@ -161,22 +182,87 @@ def tree(source: str) -> Node:
                 if stack[k].tag == name:
                     del stack[k:]
                     break
-                if stack[k].tag in walls:
+                if stack[k].tag in walls or stack[k].tag == "template":
                     break
     return root
 
 
-def unseen(node: Node) -> bool:
+def unseen(node: Node, rules: Rules | None = None) -> bool:
+    """Whether a node is not shown: by its element, its attributes, its style, or the page's rules."""
     a = node.attributes
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") or (node.tag == "dialog" and "open" not in a):
         return True
-    return "style" in a and _HIDDEN.search(a["style"]) is not None
+    if "style" in a and _SHOWS.search(a["style"]):
+        if _HIDDEN.search(a["style"]):
+            return True
+        own = {k.lower() for k, _ in _SHOWS.findall(a["style"])}
+    else:
+        own = set()
+    return rules is not None and any(k not in own and v for k, v in rules.of(node).items())
+
+
+class Rules:
+    """What the style elements of a page hide: rules outside of at-rules whose selector is a tag, classes and an id.
+
+    Of several rules for display (or visibility) that fit, the most specific counts, the last of equal ones.
+    """
+
+    def __init__(self, root: Node):
+        self.found: dict[str, list[tuple]] = {}
+        order, todo = 0, [root]
+        while todo:
+            node = todo.pop()
+            todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+            if node.tag != "style":
+                continue
+            depth, heads = 0, [""]
+            for part in _RULE.finditer("".join(c for c in node.children if isinstance(c, str))):
+                if part[2] == "{":
+                    heads.append(part[1].strip())
+                    depth += 1
+                elif part[2] == "}" and depth:
+                    depth -= 1
+                    head = heads.pop()
+                    shows = {k.lower(): v.lower() in (("none",) if k.lower() == "display" else ("hidden", "collapse")) for k, v in _SHOWS.findall(part[1])}
+                    if depth or head.startswith("@") or not shows:
+                        continue
+                    for one in head.split(","):
+                        m = _SELECTOR.match(one.strip())
+                        if m and (m[1] or m[2]):
+                            order += 1
+                            self.add((m[1] or "*").lower(), m[2], order, shows)
+
+    def add(self, tag: str, rest: str, order: int, shows: dict[str, bool]) -> None:
+        classes, ids = frozenset(re.findall(r"\.([\w-]+)", rest)), frozenset(re.findall(r"#([\w-]+)", rest))
+        name = next((f"#{i}" for i in ids), next((f".{c}" for c in classes), tag))
+        self.found.setdefault(name, []).append((tag, classes, ids, (len(ids), len(classes), tag != "*", order), shows))
+
+    def of(self, node: Node) -> dict[str, bool]:
+        """display and visibility, where a rule says something: whether it hides the node."""
+        if not self.found:
+            return {}
+        classes, own = set(node.attributes.get("class", "").split()), node.attributes.get("id", "")
+        best: dict[str, tuple] = {}
+        for name in (node.tag, "*", f"#{own}", *(f".{c}" for c in classes)):
+            for tag, wanted, ids, weight, shows in self.found.get(name, ()):
+                if tag in ("*", node.tag) and wanted <= classes and ids <= {own}:
+                    for k, v in shows.items():
+                        if k not in best or best[k][0] < weight:
+                            best[k] = weight, v
+        return {k: v for k, (_, v) in best.items()}
+
+
+def whole(text: str, other: int) -> int:
+    """The whole number at the begin of an attribute, within 32 bits."""
+    m = _WHOLE.match(text)
+    return max(-(2**31), min(2**31 - 1, int(m[1]))) if m else other
 
 
 class Page:
     """Lines of text. `gap` is the number of line ends that the next text needs before it."""
 
-    def __init__(self):
+    def __init__(self, rules: Rules):
+        self.rules = rules
         self.lines: list[str] = [""]
         self.gap, self.blank, self.fresh = 0, False, True
         self.indent = ""
@@ -246,11 +332,11 @@ def width(text: str) -> int:
 
 
 def render(node: Node, page: Page, kept: bool = False) -> None:
-    counter = [int(node.attributes["start"]) if re.fullmatch(r"-?\d{1,9}", node.attributes.get("start", "")) else 1]
+    counter = [whole(node.attributes.get("start", ""), 1)]
     for child in node.children:
         if isinstance(child, str):
             page.write(child, kept)
-        elif not unseen(child):
+        elif not unseen(child, page.rules):
             element(child, page, kept, node.tag, counter)
 
 
@@ -276,6 +362,7 @@ def element(node: Node, page: Page, kept: bool, parent: str, counter: list[int])
     elif tag == "li":
         page.apart(1)
         before, mark = page.indent, page.mark
+        counter[0] = whole(node.attributes.get("value", ""), counter[0])
         page.mark = f"{counter[0]}. " if parent == "ol" else "- "
         page.indent += "  " if mark else ""
         counter[0] += 1
@@ -311,13 +398,13 @@ def element(node: Node, page: Page, kept: bool, parent: str, counter: list[int])
         render(node, page, kept or tag == "textarea")
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _rows(node: Node, rules: Rules) -> Iterator[Node]:
     for child in node.children:
-        if isinstance(child, Node) and not unseen(child):
+        if isinstance(child, Node) and not unseen(child, rules):
             if child.tag == "tr":
                 yield child
             elif child.tag in SECTIONS:
-                yield from _rows(child)
+                yield from _rows(child, rules)
 
 
 def _loose(node: Node, page: Page) -> None:
@@ -326,7 +413,7 @@ def _loose(node: Node, page: Page) -> None:
         if isinstance(child, str):
             if child.strip():
                 page.write(child)
-        elif unseen(child):
+        elif unseen(child, page.rules):
             continue
         elif child.tag in SECTIONS:
             _loose(child, page)
@@ -334,9 +421,11 @@ def _loose(node: Node, page: Page) -> None:
             element(child, page, False, "table", [1])
 
 
-def _span(node: Node, name: str) -> int:
-    value = node.attributes.get(name, "")
-    return min(50, max(1, int(value))) if re.fullmatch(r"\d{1,9}", value) else 1
+def _span(node: Node, name: str, most: int) -> int:
+    value = whole(node.attributes.get(name, ""), 1)
+    if value == 0 and name == "rowspan":  # to the end
+        return most
+    return min(most, max(1, value))
 
 
 def table(node: Node, page: Page) -> None:
@@ -344,27 +433,27 @@ def table(node: Node, page: Page) -> None:
     _loose(node, page)
     page.apart(1)
     grid: list[list[list[str]]] = []
-    taken: dict[tuple[int, int], bool] = {}
+    until: dict[int, int] = {}  # the last row that a cell of the column reaches into
     single: dict[int, int] = {}
-    for r, row in enumerate(_rows(node)):
+    for r, row in enumerate(_rows(node, page.rules)):
         line: list[list[str]] = []
         for cell in row.children:
-            if not isinstance(cell, Node) or cell.tag not in ("td", "th") or unseen(cell):
-                if isinstance(cell, Node) and not unseen(cell) or isinstance(cell, str) and cell.strip():
-                    loose = Page()
+            hidden = isinstance(cell, Node) and unseen(cell, page.rules)
+            if not isinstance(cell, Node) or cell.tag not in ("td", "th") or hidden:
+                if isinstance(cell, Node) and not hidden or isinstance(cell, str) and cell.strip():
+                    loose = Page(page.rules)
                     render(cell, loose) if isinstance(cell, Node) else loose.write(cell)
                     line.append(loose.text().split("\n"))
                 continue
-            while (r, len(line)) in taken:
+            while until.get(len(line), -1) >= r:
                 line.append([""])
-            inner = Page()
+            inner = Page(page.rules)
             render(cell, inner)
             body = inner.text().split("\n")
-            wide = _span(cell, "colspan")
+            wide, last = _span(cell, "colspan", WIDEST), r + _span(cell, "rowspan", TALLEST) - 1
             at = len(line)
-            for down in range(_span(cell, "rowspan")):
-                for k in range(wide):
-                    taken[r + down, at + k] = True
+            for k in range(wide):
+                until[at + k] = max(until.get(at + k, -1), last)
             line.append(body)
             line.extend([""] for _ in range(wide - 1))
             if wide == 1:
@@ -386,8 +475,11 @@ def table(node: Node, page: Page) -> None:
 
 def visible_text(source: str) -> str:
     """The text that a reader of the page sees."""
-    page = Page()
-    render(tree(source), page)
+    if sys.getrecursionlimit() < 20 * DEEPEST:
+        sys.setrecursionlimit(20 * DEEPEST)
+    root = tree(source)
+    page = Page(Rules(root))
+    render(root, page)
     return page.text()
 
 
