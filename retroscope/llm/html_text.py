@@ -142,6 +142,8 @@ def tree(source: str) -> Node:
     for kind, name, attributes in tokens(source):
         if kind == "end" and name in over:
             del over[len(over) - 1 - over[::-1].index(name) :]
+            if name in BLOCK or name in APART:  # what follows is on a line of its own
+                stack[-1].children.append(Node("div", {}))
             continue
         if kind == "text":
             stack[-1].children.append(name)
