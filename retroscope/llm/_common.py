@@ -147,20 +147,20 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) for the nodes of edges (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star rounds; each round's edges are a table in shared storage, and
-    what is compared on the driver between rounds is a count and a checksum. The edges of a hub are not
-    gathered: its smallest neighbour comes from partial minima and is broadcast to them.
+    what is compared on the driver between rounds is a count and a checksum. Smallest neighbours come from
+    partial minima and are a table too, so that both sides of a join with them are plain shuffles and adaptive
+    execution splits the edges of a hub.
     """
     now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = _sum_of(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("_n"))
-        large = join_groups(both, low, "a", "_n", 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
-        small = join_groups(large, low, "a", "_n", 2 * seen[0]).select("a", "b", "m")
-        after = small.select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        after = store(after, name)
-        release(now)
+        low = store(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), name)
+        large = store(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
+        least = store(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        after = store(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        release(now, low, large, least)
         now, last, seen = after, seen, _sum_of(after)
         if seen == last:
             break

@@ -108,14 +108,14 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, rate: flo
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), 0.0 if not labels else 5.0 if labels[0] else -5.0)
     rows = []
-    for at in range(0, len(texts), 100):
-        part = texts[at : at + 100]
+    for at in range(0, len(texts), 50):
+        part = texts[at : at + 50]
         text, bucket, weight = features(part)
         # sums by text and bucket
         key, where = np.unique(text * BUCKETS + bucket, return_inverse=True)
         total = np.bincount(where, weight, minlength=key.size).astype(np.float32)
-        bounds = np.searchsorted(key, np.arange(len(part) + 1) * BUCKETS)
-        rows.extend(((key[lo:hi] % BUCKETS).astype(np.int32), total[lo:hi, None]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True))
+        bounds, place = np.searchsorted(key, np.arange(len(part) + 1) * BUCKETS), (key % BUCKETS).astype(np.int32)
+        rows.extend((place[lo:hi], total[lo:hi, None]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True))  # views of few arrays
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1.0 / DIMS, 1.0 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
     layer, bias = np.zeros((2, DIMS), np.float32), np.zeros(2, np.float32)

@@ -71,9 +71,7 @@ def test_nulls_repeated_ids_and_clashing_columns(spark):
     assert got == sorted([(3, 3, True), (3, 3, True), (None, None, True), (7, 3, False), (9, 9, True)], key=str)
 
 
-@pytest.mark.parametrize("whole", [1, 1000])
-def test_components_of_hubs(spark, monkeypatch, whole):
-    monkeypatch.setattr(_common, "WHOLE", whole)
+def test_components_of_hubs(spark):
     edges = [(100, i) for i in range(1, 40)] + [(200, i) for i in range(201, 230)] + [(229, 100), (300, 301), (302, 301)]
     got = dict(_common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == {n: 1 for n in [*range(1, 40), 100, *range(200, 230)]} | {300: 300, 301: 300, 302: 300}
