@@ -384,4 +384,4 @@ def event_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity(panel.table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from retroscope.plans import cleaning, cycles, decisions, evidence, metrics, resampling  # noqa: E402, F401  (they register their queries)
+from retroscope.plans import analytics, cleaning, cycles, decisions, evidence, metrics, resampling  # noqa: E402, F401  (they register their queries)
