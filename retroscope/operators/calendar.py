@@ -65,13 +65,13 @@ def report_features(reports: DataFrame) -> DataFrame:
     return rows.withColumn("revenue_acceleration", F.col("revenue_mean_growth") - F.lag("revenue_mean_growth", 1).over(own))
 
 
-def folds(rows: DataFrame, years: list[int]) -> DataFrame:
-    """Roles of origins in yearly folds, by the maturity of their outcomes.
+def folds(rows: DataFrame) -> DataFrame:
+    """Roles of origins in the fold of each year there is, by the maturity of their outcomes.
 
     rows: security, session, available. For fold year y: train is known before y - 1, validation lies in
     y - 1 and is known before y, evaluation lies in y, the bank holds all that is known before y.
     """
-    years = rows.sparkSession.createDataFrame([(y,) for y in years], "fold int")
+    years = rows.select(F.year("session").alias("fold")).distinct()  # a handful
     start = lambda back: F.make_date(F.col("fold") - back, F.lit(1), F.lit(1))
     s, a = F.col("session"), F.col("available")
     roles = {"train": a < start(1), "validation": (s >= start(1)) & (s < start(0)) & (a < start(0)), "evaluation": (F.year(s) == F.col("fold")), "bank": a < start(0)}

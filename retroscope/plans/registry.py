@@ -237,13 +237,13 @@ def report_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(calendar.report_features(panel.reports(spark, sf_dir)), ["security", "report_date"], REPORTED)
 
 
-@query(f"""{BARS}, x AS (SELECT security, session, lead(session, 63) OVER {W} AS available FROM bars), y AS (SELECT unnest([1996, 1997, 1998]) AS fold),
+@query(f"""{BARS}, x AS (SELECT security, session, lead(session, 63) OVER {W} AS available FROM bars), y AS (SELECT DISTINCT year(session) AS fold FROM bars),
 p AS (SELECT fold, security, session, make_date(fold, 1, 1) AS d, make_date(fold - 1, 1, 1) AS e, available FROM x, y)
 SELECT CAST(fold AS INT) AS fold, security, session, 'train' AS role FROM p WHERE available < e UNION ALL SELECT CAST(fold AS INT), security, session, 'validation' FROM p WHERE session >= e AND session < d AND available < d
 UNION ALL SELECT CAST(fold AS INT), security, session, 'evaluation' FROM p WHERE year(session) = fold UNION ALL SELECT CAST(fold AS INT), security, session, 'bank' FROM p WHERE available < d""")
 def fold_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel.bars(spark, sf_dir).withColumn("available", F.lead("session", 63).over(by_time()))
-    return calendar.folds(rows, [1996, 1997, 1998])
+    return calendar.folds(rows)
 
 
 @query(f"{_NEAR} SELECT query_id, CAST(rank AS INT) AS rank, record_id, security, round(distance, 6) AS distance FROM n WHERE rank <= 25")
@@ -334,37 +334,31 @@ def weekly_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(inference.weekly_statistics(_returns(spark, sf_dir), "market"), ["market", "week", "rows"], ["total", "squares", "logs"])
 
 
-@query(f"""{_RETURNS}, w AS (SELECT row_number() OVER (ORDER BY week) - 1 AS week_number, rows, total FROM (SELECT date_trunc('week', session) AS week, count(*) AS rows, sum(daily_return) AS total FROM r WHERE daily_return IS NOT NULL GROUP BY 1)),
-grid AS (SELECT d.draw, p.place, CAST(('0x' || substr(sha256(d.draw || ':' || p.place), 1, 8)) AS BIGINT) % 97 AS start FROM (SELECT unnest(range(200)) AS draw) d, (SELECT unnest(range(25)) AS place) p),
-b AS (SELECT draw, start + k AS week_number FROM grid, (SELECT unnest(range(4)) AS k) WHERE place * 4 + k < 100),
-e AS (SELECT sum(total) / sum(rows) AS estimate FROM w WHERE week_number < 100), v AS (SELECT draw, sum(total) / sum(rows) AS value FROM b JOIN w USING (week_number) GROUP BY draw),
-a AS (SELECT estimate, value, abs(value - estimate) AS away FROM v, e)
-SELECT round(estimate, 6) AS estimate, count(*) AS draws, round(stddev_samp(value), 6) AS error, round(estimate - quantile_cont(away, 0.95), 6) AS low, round(estimate + quantile_cont(away, 0.95), 6) AS high,
-  round((1 + count(*) FILTER (away >= abs(estimate))) / (1 + count(*)), 6) AS p FROM a GROUP BY estimate""")
-def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weekly = inference.weekly_statistics(_returns(spark, sf_dir).withColumn("all", F.lit(0)), "all")
-    weekly = weekly.withColumn("week_number", (F.row_number().over(Window.orderBy("week")) - 1).cast("bigint")).where("week_number < 100")
-    found = inference.block_bootstrap(weekly, inference.block_draws(100, 4, 200, spark))
-    return _rounded(found, ["draws"], ["estimate", "error", "low", "high", "p"])
-
-
-@query(f"""{_RETURNS}, w AS (SELECT row_number() OVER (ORDER BY week) - 1 AS week_number, rows, total FROM (SELECT date_trunc('week', session) AS week, count(*) AS rows, sum(daily_return) AS total FROM r WHERE daily_return IS NOT NULL GROUP BY 1)),
+_BOOTSTRAP = f"""{_RETURNS}, w AS (SELECT row_number() OVER (ORDER BY week) - 1 AS week_number, rows, total FROM (SELECT date_trunc('week', session) AS week, count(*) AS rows, sum(daily_return) AS total FROM r WHERE daily_return IS NOT NULL GROUP BY 1)),
 n AS (SELECT count(*) AS weeks, least(count(*), 4) AS block FROM w),
 grid AS (SELECT d.draw, p.place, CAST(('0x' || substr(sha256(d.draw || ':' || p.place), 1, 8)) AS BIGINT) % (weeks - block + 1) AS start FROM n, (SELECT unnest(range(200)) AS draw) d, (SELECT unnest(range(CAST(ceil(weeks / block) AS BIGINT))) AS place FROM n) p),
 b AS (SELECT draw, start + k AS week_number FROM grid, n, (SELECT unnest(range(4)) AS k) WHERE k < block AND place * block + k < weeks),
 e AS (SELECT sum(total) / sum(rows) AS estimate FROM w), v AS (SELECT draw, sum(total) / sum(rows) AS value FROM b JOIN w USING (week_number) GROUP BY draw),
 a AS (SELECT estimate, value, abs(value - estimate) AS away FROM v, e)
 SELECT round(estimate, 6) AS estimate, count(*) AS draws, round(stddev_samp(value), 6) AS error, round(estimate - quantile_cont(away, 0.95), 6) AS low, round(estimate + quantile_cont(away, 0.95), 6) AS high,
-  round((1 + count(*) FILTER (away >= abs(estimate))) / (1 + count(*)), 6) AS p FROM a GROUP BY estimate""")
-def block_bootstrap_all_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """block_bootstrap without its limit of 100 weeks, which its SQL has too."""
+  round((1 + count(*) FILTER (away >= abs(estimate))) / (1 + count(*)), 6) AS p FROM a GROUP BY estimate"""
+
+
+@query(_BOOTSTRAP)
+def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     weekly = inference.weekly_statistics(_returns(spark, sf_dir).withColumn("all", F.lit(0)), "all")
-    weekly = weekly.withColumn("week_number", (F.row_number().over(Window.orderBy("week")) - 1).cast("bigint"))
+    weekly = weekly.withColumn("week_number", (F.row_number().over(Window.orderBy("week")) - 1).cast("bigint"))  # a row per week
     weeks = weekly.count()
     found = inference.block_bootstrap(weekly, inference.block_draws(weeks, max(1, min(4, weeks)), 200, spark))
     return _rounded(found, ["draws"], ["estimate", "error", "low", "high", "p"])
 
 
+@query(_BOOTSTRAP)
+def block_bootstrap_all_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """block_bootstrap by the name that it had while that one stopped at 100 weeks."""
+    return block_bootstrap(spark, sf_dir)
+
+
 @query(f"""{BARS}, u AS (SELECT *, CAST(close > lag(close) OVER {W} AS INT) AS up FROM bars),
 m AS (SELECT *, CASE WHEN up = lag(up) OVER {W} THEN 0 ELSE 1 END AS n FROM u WHERE up IS NOT NULL), r AS (SELECT *, sum(n) OVER {W} AS run FROM m),
 s AS (SELECT count(*) AS duration, min(up) = 1 AS ended FROM r GROUP BY security, run), t AS (SELECT duration, count(*) AS leaving, count(*) FILTER (ended) AS events FROM s GROUP BY 1),
