@@ -143,24 +143,30 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(large, key).unionByName(rest)
 
 
+def _led(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges with the m of their a. Both are joined by a turned key, so the minima, a row per node, are shuffled once more
+    and the edges of one node need not lie in one task."""
+    turned = lambda df: df.withColumn("_k", F.col("a").bitwiseXOR(F.lit(1)))
+    return turned(edges).join(turned(low).drop("a"), "_k").drop("_k")
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) for the nodes of edges (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star rounds; each round's edges are a table in shared storage, and
     what is compared on the driver between rounds is a count and a checksum. Smallest neighbours come from
-    partial minima and are a table too, so that both sides of a join with them are plain shuffles and adaptive
-    execution splits the edges of a hub.
+    partial minima; adaptive execution can split the edges of a hub that are joined with them (`_led`).
     """
     now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = _sum_of(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = store(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), name)
-        large = store(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
-        least = store(large.groupBy("a").agg(F.min("b").alias("m")), name)
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        after = store(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
-        release(now, low, large, least)
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = _led(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = _led(large, low).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        after = store(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        release(now)
         now, last, seen = after, seen, _sum_of(after)
         if seen == last:
             break
