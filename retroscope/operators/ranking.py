@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from retroscope.functions.orders import cumulative
 from retroscope.functions.windows import correlation, percent_rank
 
 
@@ -45,15 +46,13 @@ def market_index(returns: DataFrame) -> DataFrame:
 def reliability_deciles(rows: DataFrame, confidence: str, outcome: str, key: list[str]) -> DataFrame:
     """Mean confidence and outcome in tenths of all rows by confidence, ties by key.
 
-    Places come from counts of values, so that no task has to sort all rows.
+    Places come from counts of values, so that no task has to sort all rows; only equal values are numbered together.
     """
     whole = rows.where(F.col(confidence).isNotNull() & F.col(outcome).isNotNull())
-    bucket = F.floor(F.col(confidence) * 1000)
-    counts = whole.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
-    starts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy())})
-    placed = whole.withColumn("_b", bucket).join(F.broadcast(starts), "_b")
-    place = F.row_number().over(Window.partitionBy("_b").orderBy(confidence, *key)) - 1 + F.col("_before")
+    starts = cumulative(whole, confidence, []).select(confidence, "before")
+    total = whole.agg(F.count("*").alias("_all"))
+    placed = whole.join(starts, confidence).crossJoin(F.broadcast(total))
+    place = F.row_number().over(Window.partitionBy(confidence).orderBy(*key)) - 1 + F.col("before")
     tenth = F.floor(place * 10 / F.col("_all")).cast("int")
     return placed.withColumn("decile", tenth).groupBy("decile").agg(F.count("*").alias("rows"), F.avg(confidence).alias("mean_confidence"), F.avg(outcome).alias("mean_outcome"))
 
