@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,16 +87,28 @@ def allocations(rows: DataFrame, score: str, levels: tuple[float, ...], steps: t
     return rows.withColumn("allocation", F.coalesce(F.get(F.array(*map(F.lit, levels)), place), F.lit(0.0)))
 
 
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks: list[list[float]] = []  # weight, sum, bins
+    names: list = []
+    for batch in batches:
+        for name, mean, weight in zip(*(batch.column(c).to_pylist() for c in ("bin", "mean", "weight")), strict=True):
+            names.append(name)
+            blocks.append([weight, mean * weight, 1])
+            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+                weight_, sum_, bins_ = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + weight_, blocks[-1][1] + sum_, blocks[-1][2] + bins_]
+    values = [s / w for w, s, n in blocks for _ in range(int(n))]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.float64())], names=["bin", "value"])
+
+
 def monotone_blocks(points: DataFrame) -> DataFrame:
-    """bin, value: the increasing step function nearest to the means of points (bin, mean, weight), by least squares: at
-    each bin the largest over starts up to it of the least over ends from it on of the weighted mean between. A row per bin."""
-    p = points.select("bin", "mean", "weight")
-    sums = p.withColumns({"_w": F.sum("weight").over(Window.orderBy("bin")), "_s": F.sum(F.col("mean") * F.col("weight")).over(Window.orderBy("bin"))})
-    start = sums.select(F.col("bin").alias("a"), (F.col("_w") - F.col("weight")).alias("_w0"), (F.col("_s") - F.col("mean") * F.col("weight")).alias("_s0"))
-    end = sums.select(F.col("bin").alias("b"), F.col("_w").alias("_w1"), F.col("_s").alias("_s1"))
-    between = start.join(F.broadcast(end), F.col("a") <= F.col("b")).withColumn("_m", (F.col("_s1") - F.col("_s0")) / (F.col("_w1") - F.col("_w0")))
-    least = between.join(F.broadcast(p.select("bin")), (F.col("a") <= F.col("bin")) & (F.col("b") >= F.col("bin"))).groupBy("bin", "a").agg(F.min("_m").alias("_l"))
-    return least.groupBy("bin").agg(F.max("_l").alias("value"))
+    """bin, value: the increasing step function nearest to the means of points (bin, mean, weight), by least squares.
+
+    Neighbouring blocks that violate the order are pooled in one pass over the bins in order. A row per bin: points are a
+    table of bounded size, and one task reads it. Weights are above 0.
+    """
+    p = points.select(F.col("bin").cast("bigint").alias("bin"), F.col("mean").cast("double").alias("mean"), F.col("weight").cast("double").alias("weight"))
+    return p.repartition(1).sortWithinPartitions("bin").mapInArrow(_pooled, "bin bigint, value double")
 
 
 def daily_context(rows: DataFrame, score: str, k: int = 3) -> DataFrame:
