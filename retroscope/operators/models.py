@@ -30,7 +30,7 @@ def _scale(low: float, high: float) -> float:
 def shift_score(features: list[str], spread: dict[str, list[float]], most: float = 10.0) -> Column:
     """How far a row lies from where rows were fitted: the mean over its features of the distance to the median in units of the
     quartiles' distance, at most `most` each; that too where all features are missing."""
-    z = {f: F.least(F.abs(F.col(f) - m) / _scale(a, b), F.lit(most)) for f, (a, m, b) in spread.items()}
+    z = {f: F.when(F.col(f).isNotNull(), F.least(F.abs(F.col(f) - m) / _scale(a, b), F.lit(most))) for f, (a, m, b) in spread.items()}
     count = sum((F.col(f).isNotNull().cast("int") for f in features[1:]), F.col(features[0]).isNotNull().cast("int"))
     return F.coalesce(F.try_divide(sum((F.coalesce(z[f], F.lit(0.0)) for f in features[1:]), F.coalesce(z[features[0]], F.lit(0.0))), count), F.lit(most))
 

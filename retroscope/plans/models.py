@@ -42,7 +42,7 @@ def _stats_sql(source: str, columns: list[str], keep: str = "fit") -> str:
     return f"SELECT {', '.join(f'm_{c}, CASE WHEN w_{c} > 1e-9 THEN w_{c} ELSE 1 END AS s_{c}' for c in columns)} FROM (SELECT {', '.join(map(one, columns))} FROM {source})"
 
 
-_Z = lambda c: f"least(abs({c} - m_{c}) / s_{c}, 10)"
+_Z = lambda c: f"CASE WHEN {c} IS NOT NULL THEN least(abs({c} - m_{c}) / s_{c}, 10) END"
 _READY = f"""{_X}, q1 AS ({_stats_sql('raw', FEATURES)}),
 moved AS (SELECT raw.* EXCLUDE ({', '.join(FEATURES)}), coalesce(({' + '.join(f'coalesce({_Z(c)}, 0)' for c in FEATURES)}) / nullif({' + '.join(f'CAST({c} IS NOT NULL AS INT)' for c in FEATURES)}, 0), 10) AS shift, {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in FEATURES)} FROM raw, q1),
 q2 AS ({_stats_sql('moved', ALL)}), z AS MATERIALIZED (SELECT * EXCLUDE ({', '.join(ALL)}), CAST(1 AS DOUBLE) AS f0, {', '.join(f'({c} - m_{c}) / s_{c} AS f{i + 1}' for i, c in enumerate(ALL))} FROM moved, q2)"""
