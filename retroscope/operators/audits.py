@@ -56,3 +56,39 @@ def grid(expected: DataFrame, there: DataFrame) -> DataFrame:
     keys = expected.columns
     rows = expected.join(there.select(*keys).distinct().withColumn("_there", F.lit(True)), keys, "left")
     return _rule("expected_grid", rows, F.col("_there").isNull())
+
+
+def reconciled(expected: DataFrame, coverage: DataFrame, exclusions: DataFrame, forecasts: DataFrame, permitted: list[str]) -> DataFrame:
+    """rule, the keys of expected, found, wanted, broken: every rule of every account that is expected or reported.
+
+    expected: the accounts' keys. coverage: keys, candidates, decisions, admitted, expected, stated (the sum of its forecasts).
+    exclusions: keys, reason, excluded. forecasts: keys, id, value. An account is reported once and only where expected; it decides
+    on every candidate; candidates are admitted or excluded for a permitted reason; forecasts are expected for what is
+    admitted, there once each, and add up to what is stated. Both sides are counted apart and compared in one
+    full outer join.
+    """
+    keys = expected.columns
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    told = coverage.groupBy(*keys).agg(F.count("*").alias("_reports"), *(F.max(c).alias(c) for c in ("candidates", "decisions", "admitted", "expected", "stated")))
+    left_out = exclusions.groupBy(*keys).agg(F.sum("excluded").alias("_excluded"), F.coalesce(F.sum(F.when(~F.col("reason").isin(permitted) | F.col("reason").isNull(), F.col("excluded"))), F.lit(0)).alias("_forbidden"))
+    made = forecasts.groupBy(*keys, "id").agg(F.count("*").alias("_n"), F.max("value").alias("value")).groupBy(*keys).agg(F.count("*").alias("_sealed"), F.sum(F.col("_n") - 1).alias("_again"), F.sum("value").alias("_sum"))
+    rows = expected.distinct().withColumn("_wanted", F.lit(1)).join(told, keys, "full").join(left_out, keys, "full").join(made, keys, "full")
+    near = F.abs(F.coalesce("_sum", F.lit(0.0)) - F.coalesce("stated", F.lit(0.0))) <= 1e-6 * (1 + F.abs(F.coalesce("stated", F.lit(0.0))))
+    number = lambda c: c.cast("double")
+    rules = [
+        ("reports", zero("_reports"), zero("_wanted"), None), ("decisions", zero("decisions"), zero("candidates"), None), ("candidates", zero("admitted") + zero("_excluded"), zero("candidates"), None), ("forbidden_reasons", zero("_forbidden"), F.lit(0), None),
+        ("expected", zero("expected"), zero("admitted"), None), ("sealed", zero("_sealed"), zero("expected"), None), ("repeated_forecasts", zero("_again"), F.lit(0), None), ("forecast_sum", F.coalesce("_sum", F.lit(0.0)), F.coalesce("stated", F.lit(0.0)), ~near),
+    ]
+    judged = F.array(*(F.struct(F.lit(name).alias("rule"), number(a).alias("found"), number(b).alias("wanted"), (a != b if broken is None else broken).alias("broken")) for name, a, b, broken in rules))
+    return rows.select(*keys, F.explode(judged).alias("x")).select("x.rule", *keys, "x.found", "x.wanted", "x.broken")
+
+
+def sealed(labels: DataFrame, expected: DataFrame, predictions: DataFrame, keys: list[str], key: str = "id") -> DataFrame:
+    """The labels of those groups (keys) in which every expected id has a prediction; no row of any other group.
+
+    labels, expected and predictions hold keys and the id. What is missing is found by an anti-join, so no list of ids is
+    gathered; a group without expected ids stays sealed.
+    """
+    missing = expected.select(*keys, key).distinct().join(predictions.where("prediction is not null").select(*keys, key).distinct(), [*keys, key], "left_anti").select(*keys).distinct()
+    complete = expected.select(*keys).distinct().join(missing, keys, "left_anti")
+    return labels.join(complete, keys, "left_semi")

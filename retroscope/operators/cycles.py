@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATES = "security bigint, start_idx bigint, peak_idx bigint, end_idx bigint, peak_return double, end_return double, required double, drawdown double, volatility double, score double"
@@ -205,3 +205,26 @@ def match_quality(predicted: DataFrame, true: DataFrame, pairs: DataFrame, late:
     part = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     out = out.withColumns({"precision": part("matched", "predicted"), "recall": part("matched", "true_spans"), "exit_error": F.coalesce("exit_error", F.lit(1.0))})
     return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+
+
+def backfill(rows: DataFrame) -> DataFrame:
+    """rows (security, ordinal, price, cycle, action, start_idx, end_idx, peak_idx) with every row's metadata filled in.
+
+    A cycle's start, end and peak are the first that one of its rows states (null and below 0: not stated); else its first row, its
+    last, and the first row of its highest price. duration, entry, exit, progress (even steps from 0 to 1 over
+    its rows) and lead_to_peak follow. Rows outside of cycles (cycle below 0 or null) keep -1, 0 and null. Rows of a cycle meet
+    once, whichever way a gap is filled.
+    """
+    own = Window.partitionBy("security", "cycle")
+    inside = F.coalesce(F.col("cycle") >= 0, F.lit(False))
+    stated = lambda c: F.min_by(c, F.when(F.col(c) >= 0, F.col("ordinal"))).over(own)
+    highest = F.min_by("ordinal", F.struct(-F.col("price"), F.col("ordinal"))).over(own)
+    found = {"start_idx": F.coalesce(stated("start_idx"), F.min("ordinal").over(own)), "end_idx": F.coalesce(stated("end_idx"), F.max("ordinal").over(own)), "peak_idx": F.coalesce(stated("peak_idx"), highest)}
+    filled = {k: F.when(inside, v).otherwise(-1) for k, v in found.items()}
+    place, count = F.row_number().over(own.orderBy("ordinal")) - 1, F.count("*").over(own)
+    filled["progress"] = F.when(inside & (count > 1), place / (count - 1)).otherwise(0.0)
+    rows = rows.withColumns(filled)
+    return rows.withColumns({
+        "duration": F.when(inside, F.greatest(F.col("end_idx") - F.col("start_idx") + 1, F.lit(1))).otherwise(0),
+        "lead_to_peak": F.when(inside, F.col("peak_idx") - F.col("ordinal")), "entry": F.coalesce(F.col("action") == 1, F.lit(False)), "exit": F.coalesce(F.col("action") == 3, F.lit(False)),
+    })

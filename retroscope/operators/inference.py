@@ -61,3 +61,32 @@ def kaplan_meier(spells: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_log": F.sum(F.when(left > 0, F.ln(left / F.col("at_risk")))).over(so_far), "_dead": F.max((left == 0).cast("int")).over(so_far), "_g": F.sum(F.try_divide(F.col("events"), F.col("at_risk") * left)).over(so_far)})
     survival = F.when(F.col("_dead") == 1, 0.0).otherwise(F.exp("_log"))
     return rows.select("duration", "at_risk", "events", survival.alias("survival"), (survival * survival * F.coalesce("_g", F.lit(0.0))).alias("variance"))
+
+
+def cluster_rmst(spells: DataFrame, cluster: str, horizon: int, draws: int, seed: int) -> DataFrame:
+    """One row: clusters, rmst (the mean time survived within `horizon`), and over draws of as many clusters with replacement its error and
+    95 % interval. spells: duration (from 1), ended, cluster.
+
+    Spells are counted once per cluster and duration. A draw is a weight per cluster, by a hash of draw and place, so no row
+    is copied: a draw's curve comes from clusters * horizon counts at most.
+    """
+    last = F.least(F.col("duration"), F.lit(horizon + 1)).cast("int")
+    counts = spells.groupBy(cluster, last.alias("duration")).agg(F.count("*").alias("leaving"), F.sum((F.col("ended") & (F.col("duration") <= horizon)).cast("bigint")).alias("events"))
+    numbers = counts.select(cluster).distinct().withColumn("_c", (F.row_number().over(Window.orderBy(cluster)) - 1).cast("bigint"))  # a row per cluster
+    counts = counts.join(F.broadcast(numbers), cluster).select("_c", "duration", "leaving", "events")
+    size = numbers.agg(F.count("*").alias("_n"))
+    grid = spells.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(size)).where("_n > 0").withColumn("place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    pick = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "draw", "place"), 256), 1, 8), 16, 10).cast("bigint") % F.col("_n")
+    weights = grid.groupBy("draw", pick.alias("_c")).agg(F.count("*").alias("w")).unionByName(numbers.select(F.lit(-1).cast("bigint").alias("draw"), "_c", F.lit(1).cast("bigint").alias("w")))
+    each = weights.join(counts, "_c").groupBy("draw", "duration").agg(F.sum(F.col("w") * F.col("leaving")).alias("leaving"), F.sum(F.col("w") * F.col("events")).alias("events"))
+    own = Window.partitionBy("draw")  # horizon + 1 rows
+    risk = F.sum("leaving").over(own.orderBy(F.col("duration").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    rows = each.withColumn("_r", risk).withColumn("_h", 1 - F.col("events") / F.col("_r"))
+    so_far = own.orderBy("duration").rowsBetween(Window.unboundedPreceding, 0)
+    alive = F.when(F.min("_h").over(so_far) <= 0, 0.0).otherwise(F.exp(F.sum(F.when(F.col("_h") > 0, F.ln("_h"))).over(so_far)))
+    width = F.coalesce(F.lead("duration").over(own.orderBy("duration")), F.lit(horizon + 1)) - F.col("duration")
+    rows = rows.withColumns({"_s": alive, "_w": F.greatest(width, F.lit(0))})
+    areas = rows.groupBy("draw").agg((F.min("duration") - 1 + F.sum(F.col("_s") * F.col("_w"))).alias("v"))
+    drawn = F.when(F.col("draw") >= 0, F.col("v"))
+    out = areas.agg(F.max(F.when(F.col("draw") < 0, F.col("v"))).alias("rmst"), F.stddev_pop(drawn).alias("error"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"))
+    return out.crossJoin(F.broadcast(size.withColumnRenamed("_n", "clusters")))

@@ -26,7 +26,8 @@ class Rules:
     mode: "exclude" the query's own security, "only" it, or "allow" all. A record counts from its time `available`
     on (null: never; strict: after it). max_age: largest time from the record's ordinal to the query. apart_from:
     column that must differ between query and record; where one of them has none, the record is left out.
-    least: (column, value) that a record must reach. k with cap and spacing: what `constrained` will be asked for;
+    least: (column, value) that a record must reach. until: column with the time from which a record counts no more (null:
+    it always does). k with cap and spacing: what `constrained` will be asked for;
     with k alone `nearest`; without k all records are returned.
     """
 
@@ -39,11 +40,14 @@ class Rules:
     max_distance: float | None = None
     apart_from: str | None = None
     least: tuple[str, float] | None = None
+    until: str | None = None
 
     def open(self, q: dict, m: dict, row: int) -> np.ndarray:
         """Which records of the batch m query number `row` of q may use."""
         at = q["at"][row]
         ok = m["available"] < at if self.strict else m["available"] <= at
+        if self.until is not None:
+            ok &= m[self.until] > at
         if self.mode != "allow":
             own = m["security"] == q["security"][row]
             ok &= own if self.mode == "only" else ~own
@@ -107,7 +111,8 @@ def _matcher(block: pa.Table, dim: int, rules: Rules, carry: list[str], names: l
             use, vectors = _vectors(batch.column("vector"), dim)
             batch = batch.select([c for c in batch.schema.names if c != "vector"]).take(pa.array(use))
             m = {c: _plain(batch.column(c)) for c in ("security", "ordinal", "available", *([rules.least[0]] if rules.least else []))}
-            m["available"] = np.where(batch.column("available").is_null(), np.inf, m["available"].astype(float))
+            for c in ("available", *([rules.until] if rules.until else [])):
+                m[c] = np.where(batch.column(c).is_null(), np.inf, _plain(batch.column(c)).astype(float))
             if rules.apart_from:
                 m["has"] = np.asarray(batch.column(rules.apart_from).is_valid())
                 m[rules.apart_from] = np.array(batch.column(rules.apart_from).to_pylist(), object)
@@ -155,7 +160,7 @@ def candidates(queries: DataFrame, memory: DataFrame, rules: Rules = Rules(), ca
     columns = ["query_id", *carry, "distance"]
     kinds = {f.name: f.dataType.simpleString() for f in memory.schema.fields}
     schema = ", ".join(f"{c} {t}" for c, t in [("query_id", queries.schema["query_id"].dataType.simpleString()), *((c, kinds[c]) for c in carry), ("distance", "double")])
-    read = list(dict.fromkeys([*carry, "available", "vector", *([rules.apart_from] if rules.apart_from else []), *([rules.least[0]] if rules.least else [])]))
+    read = list(dict.fromkeys([*carry, "available", "vector", *([rules.apart_from] if rules.apart_from else []), *([rules.least[0]] if rules.least else []), *([rules.until] if rules.until else [])]))
     asked = queries.where("at is not null").select("query_id", "security", "at", "vector", *([rules.apart_from] if rules.apart_from else []))
     n, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     blocks = max(1, -(-n * dim * 8 // block_bytes))

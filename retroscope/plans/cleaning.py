@@ -52,10 +52,13 @@ _Z = ["momentum_z", "momentum_std", "volume_z", "volume_std"]
 @query(f"""{RETURNS}, x AS (SELECT * FROM r WHERE momentum IS NOT NULL), t AS (SELECT * FROM x WHERE session < DATE '1997-01-01'),
 s AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS p_{c}, stddev_samp({c}) AS s_{c}" for c in ("momentum", "volume"))} FROM t),
 z AS (SELECT security, session, {", ".join(f"greatest(-5, least(5, ({c} - m_{c}) / greatest(p_{c}, 1e-4))) AS {c}_z, ({c} - m_{c}) / CASE WHEN s_{c} < 1e-6 THEN 1 ELSE s_{c} END AS {c}_std" for c in ("momentum", "volume"))} FROM x, s)
-SELECT security, session, {round_sql(_Z)} FROM z""")
+SELECT security, year(session) AS year, count(*) AS rows, {", ".join(f"round(avg({c}), 6) AS {c}" for c in _Z)}, count(*) FILTER (abs(momentum_z) >= 5 OR abs(volume_z) >= 5) AS clipped FROM z GROUP BY 1, 2""")
 def frozen_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled values of a security and year, by the numbers of the training sessions; `operators.cleaning.scaled` gives each row's."""
     rows = cleaning.scaled(returns(spark, sf_dir).where("momentum is not null"), ["momentum", "volume"], F.col("session") < F.lit("1997-01-01").cast("date"))
-    return rounded_rows(rows, ["security", "session"], _Z)
+    clipped = (F.abs("momentum_z") >= 5) | (F.abs("volume_z") >= 5)
+    years = rows.groupBy("security", F.year("session").alias("year")).agg(F.count("*").alias("rows"), *(F.avg(c).alias(c) for c in _Z), F.count_if(clipped).alias("clipped"))
+    return rounded_rows(years, ["security", "year", "rows", "clipped"], _Z)
 
 
 @query("""WITH m AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM (SELECT unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 250) GROUP BY i),
@@ -226,14 +229,15 @@ def utc_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{RETURNS}, w AS (SELECT security, session, close, CASE WHEN ordinal % 5 = 0 THEN NULL ELSE volume END AS volume FROM r), v AS (SELECT security, session, volume, sector FROM r WHERE ordinal % 3 = 0)
-SELECT w.security, w.session, w.close, coalesce(w.volume, v.volume) AS volume, v.sector, v.security IS NOT NULL AS matched FROM w LEFT JOIN v USING (security, session)""")
+SELECT w.security, year(w.session) AS year, count(*) AS rows, count(v.security) AS matched, count(coalesce(w.volume, v.volume)) AS known, CAST(sum(coalesce(w.volume, v.volume)) AS BIGINT) AS volume, round(sum(w.close), 4) AS close, count(v.sector) AS sectors FROM w LEFT JOIN v USING (security, session) GROUP BY 1, 2""")
 def coalesced_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Left join on unique keys whose shared column takes the right side's value where the left has none."""
+    """Left join on unique keys whose shared column takes the right side's value where the left has none, summed per year."""
     rows = returns(spark, sf_dir)
     left = rows.select("security", "session", "close", F.when(F.col("ordinal") % 5 != 0, F.col("volume")).alias("volume"))
     right = rows.where("ordinal % 3 = 0").select("security", "session", F.col("volume").alias("_volume"), "sector", F.lit(True).alias("_there"))
     both = cleaning.checked_join(left, right, ["security", "session"], "left", one_left=True)
-    return both.select("security", "session", "close", F.coalesce("volume", "_volume").alias("volume"), "sector", F.coalesce("_there", F.lit(False)).alias("matched"))
+    volume = F.coalesce("volume", "_volume")
+    return both.groupBy("security", F.year("session").alias("year")).agg(F.count("*").alias("rows"), F.count("_there").alias("matched"), F.count(volume).alias("known"), F.sum(volume).cast("bigint").alias("volume"), F.round(F.sum("close"), 4).alias("close"), F.count("sector").alias("sectors"))
 
 
 @query(f"""{RETURNS}, m AS (SELECT market, session, avg(daily_return) AS v FROM r WHERE daily_return IS NOT NULL GROUP BY 1, 2), p AS (SELECT DISTINCT a.market AS a, b.market AS b FROM m a, m b WHERE a.market < b.market),

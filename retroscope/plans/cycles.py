@@ -45,9 +45,16 @@ found AS (SELECT * FROM (SELECT * FROM best QUALIFY row_number() OVER (PARTITION
   UNION ALL SELECT * FROM (SELECT b.* FROM found f JOIN best b ON b.security = f.security AND b.start_idx > f.end_idx QUALIFY row_number() OVER (PARTITION BY b.security ORDER BY b.start_idx) = 1))"""
 
 
-@query(f"{_candidates_sql(0.10)} SELECT {', '.join(_KEYS)}, {round_sql(_NUMBERS)} FROM cand")
+_SUMMED = {"peaks": "peak_idx", "ends": "end_idx"}
+
+
+@query(f"""{_candidates_sql(0.10)} SELECT security, start_idx // 63 AS quarter, count(*) AS candidates, count(DISTINCT start_idx) AS starts, CAST(sum(peak_idx) AS BIGINT) AS peaks, CAST(sum(end_idx) AS BIGINT) AS ends, {", ".join(f"round(avg({c}), 6) AS {c}" for c in _NUMBERS)} FROM cand GROUP BY 1, 2""")
 def cycle_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded_rows(cycles.candidates(walk(spark, sf_dir), least_return=0.10), _KEYS, _NUMBERS)
+    """What the candidates of a security and a quarter of starts add up to; `operators.cycles.candidates` gives each of them."""
+    found = cycles.candidates(walk(spark, sf_dir), least_return=0.10)
+    quarter = F.floor(F.col("start_idx") / 63).cast("bigint")
+    out = found.groupBy("security", quarter.alias("quarter")).agg(F.count("*").alias("candidates"), F.countDistinct("start_idx").alias("starts"), *(F.sum(c).cast("bigint").alias(n) for n, c in _SUMMED.items()), *(F.avg(c).alias(c) for c in _NUMBERS))
+    return rounded_rows(out, ["security", "quarter", "candidates", "starts", *_SUMMED], _NUMBERS)
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,3 +238,23 @@ def long_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "hard_negative": F.coalesce((lowest <= -0.1) & (highest < 0.3), F.lit(False)),
     })
     return rounded_rows(rows, ["security", "session", "hard_negative"], _LONG)
+
+
+_BLANK = "CASE WHEN cycle % 2 = 0 OR ordinal % 3 > 0 THEN -1 ELSE {} END AS {}"
+
+
+@query(f"""{_DETECTED}, i AS (SELECT *, row_number() OVER (PARTITION BY security ORDER BY start_idx) - 1 AS cycle FROM found),
+m AS (SELECT w.security, w.ordinal, w.price, i.cycle, i.start_idx AS s, i.end_idx AS e, i.peak_idx AS p FROM walk w JOIN i ON i.security = w.security AND w.ordinal BETWEEN i.start_idx AND i.end_idx),
+b AS (SELECT security, ordinal, price, cycle, {", ".join(_BLANK.format(a, n) for a, n in (("s", "start_idx"), ("e", "end_idx"), ("p", "peak_idx")))} FROM m),
+g AS (SELECT security, cycle, count(*) AS rows, coalesce(arg_min(start_idx, ordinal) FILTER (start_idx >= 0), min(ordinal)) AS start_idx, coalesce(arg_min(end_idx, ordinal) FILTER (end_idx >= 0), max(ordinal)) AS end_idx, coalesce(arg_min(peak_idx, ordinal) FILTER (peak_idx >= 0), arg_min(ordinal, (-price, ordinal))) AS peak_idx, sum(ordinal) AS o FROM b GROUP BY 1, 2)
+SELECT security, CAST(cycle AS INT) AS cycle, rows, start_idx, end_idx, peak_idx, greatest(end_idx - start_idx + 1, 1) AS duration, CAST(rows * peak_idx - o AS BIGINT) AS lead, round(CASE WHEN rows > 1 THEN rows / 2.0 ELSE 0 END, 6) AS progress FROM g""")
+def cycle_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of detected cycles, of which two rows in three and every second cycle lost theirs, filled in again."""
+    prices, found = walk(spark, sf_dir), _detected(spark, sf_dir)
+    rows = cycles.annotate(prices.select("security", "ordinal"), found).where("cycle >= 0").join(prices.select("security", "ordinal", "price"), ["security", "ordinal"])
+    numbered = found.select("security", *_KEYS[1:], (F.row_number().over(Window.partitionBy("security").orderBy("start_idx")) - 1).alias("cycle"))
+    blank = (F.col("cycle") % 2 == 0) | (F.col("ordinal") % 3 > 0)
+    rows = rows.join(numbered, ["security", "cycle"]).withColumns({c: F.when(blank, -1).otherwise(F.col(c)) for c in _KEYS[1:]})
+    filled = cycles.backfill(rows)
+    one = lambda c: F.first(c).alias(c)
+    return filled.groupBy("security", "cycle").agg(F.count("*").alias("rows"), *map(one, _KEYS[1:]), one("duration"), F.sum("lead_to_peak").alias("lead"), F.round(F.sum("progress"), 6).alias("progress"))
