@@ -45,6 +45,6 @@ def quantiles(rows: DataFrame, column: str, by: list[str], shares: list[float])
     asked = total.crossJoin(F.broadcast(asked)).withColumn("_place", place)
     low, high = F.floor("_place"), F.ceil("_place")
     holds = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
-    near = (values.join(F.broadcast(asked), by) if by else values.crossJoin(F.broadcast(asked))).where(holds(low) | holds(high))
+    near = (values.join(asked, by) if by else values.crossJoin(F.broadcast(asked))).where(holds(low) | holds(high))
     near = near.groupBy(*by, "share", "_place").agg(F.min(column).alias("_a"), F.max(column).alias("_b"))
     return near.select(*by, "share", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_place") - F.floor("_place"))).alias("value"))

@@ -68,10 +68,10 @@ def ridge(rows: DataFrame, x: tuple[str, str], y: str, weight: str, penalty: flo
     return s.select("rows", (((F.col("bb") + penalty) * F.col("at") - F.col("ab") * F.col("bt")) / det).alias("b0"), (((F.col("aa") + penalty) * F.col("bt") - F.col("ab") * F.col("at")) / det).alias("b1"))
 
 
-def alignment(vectors: DataFrame, a: str, b: str) -> DataFrame:
-    """Linear centred kernel alignment of two sets of vectors of the same rows: one row. The cross products, a row per pair
+def alignment(vectors: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Linear centred kernel alignment of two sets of vectors of the same rows, which key tells apart: one row. The cross products, a row per pair
     of numbers, are summed where the rows are."""
-    long = vectors.select(F.monotonically_increasing_id().alias("_r"), a, b)
+    long = vectors.select(F.col(key).alias("_r"), a, b)
     left = long.select("_r", F.posexplode(F.col(a).cast("array<double>")).alias("i", "x"))
     right = long.select("_r", F.posexplode(F.col(b).cast("array<double>")).alias("j", "y"))
     n = vectors.agg(F.count("*").alias("n"))

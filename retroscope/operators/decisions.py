@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retroscope.functions import frames
 from retroscope.functions.orders import quantiles
 from retroscope.functions.windows import percent_rank
+from retroscope.operators import recursive
 
 
 def _unit(x: Column) -> Column:
@@ -31,12 +33,8 @@ def consensus(signals: DataFrame, vote: Column, exit_share: float = 0.35) -> Dat
 def smoothed_exits(rows: DataFrame, span: int = 3) -> DataFrame:
     """rows with exit_score: the exit_raw of a security averaged with weights that fall by 1 - 2 / (span + 1) per row, from
     its first row on; and persistence, its ratio to the size of the score."""
-    keep = 1 - 2 / (span + 1)
-    own = Window.partitionBy("security").orderBy("session")
-    listed = F.collect_list("exit_raw").over(own.rowsBetween(-60, 0))  # older rows weigh less than 1e-18
-    place = F.row_number().over(own)
-    x = F.when(place <= 61, F.aggregate(F.slice(listed, 2, 61), F.get(listed, 0), lambda a, v: keep * a + (1 - keep) * v)).otherwise(F.aggregate(listed, F.lit(0.0), lambda a, v: keep * a + (1 - keep) * v))
-    rows = rows.withColumn("exit_score", x)
+    average = lambda x: {"exit_score": recursive.average(x["exit_raw"], span, float(x["exit_raw"][0]))}
+    rows = frames.per_security(rows, average, ["exit_raw"], "exit_score double")
     return rows.withColumn("persistence", F.col("exit_score") / (F.abs("score") + 1e-6))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retroscope.functions import frames
+from retroscope.functions.orders import quantiles
 from retroscope.functions.windows import by_time, percent_rank
 
 
@@ -43,10 +44,30 @@ def forward_outcomes(bars: DataFrame, horizons: tuple[int, ...] = (21, 63), upsi
 def relative_outcomes(outcomes: DataFrame, groups: DataFrame, column: str, least: int = 3) -> DataFrame:
     """column less the median of the same session in the same market, or of all where the market has fewer than least."""
     rows = outcomes.join(groups, "security").where(F.col(column).isNotNull())
-    market, everyone = Window.partitionBy("session", "market"), Window.partitionBy("session")
-    own = F.when(F.count(column).over(market) >= least, F.median(column).over(market))
-    benchmark = F.coalesce(own, F.median(column).over(everyone))
-    return rows.withColumns({"benchmark": benchmark, "relative": F.col(column) - benchmark})
+    own = _medians(rows, column, ["session", "market"], "_own", least)
+    every = _medians(rows, column, ["session"], "_every")
+    rows = rows.join(every, "session").join(own, ["session", "market"], "left").withColumn("benchmark", F.coalesce("_own", "_every"))
+    return rows.withColumn("relative", F.col(column) - F.col("benchmark")).drop("_own", "_every")
+
+
+def _medians(rows: DataFrame, column: str, by: list[str], name: str, least: int = 1) -> DataFrame:
+    """by, name: the median of column in groups of at least `least` values, from counts per value."""
+    sizes = rows.groupBy(*by).agg(F.count(column).alias("_n")).where(F.col("_n") >= least).drop("_n")
+    return quantiles(rows.select(*by, column), column, by, [0.5]).select(*by, F.col("value").alias(name)).join(sizes, by)
+
+
+def blended_outcomes(outcomes: DataFrame, groups: DataFrame, column: str, weight: float = 0.5, least: int = 3) -> DataFrame:
+    """column less the median of the same session and market (universe), and less a blend of that with the sector's there.
+
+    Adds universe, sector_median (the universe's where the sector has fewer than least values), universe_alpha and
+    blended_alpha. A row without a market or sector counts as "Unknown"; without a value it is left out.
+    """
+    rows = outcomes.join(groups, "security").where(F.col(column).isNotNull()).withColumns({c: F.coalesce(c, F.lit("Unknown")) for c in ("market", "sector")})
+    universe = _medians(rows, column, ["session", "market"], "universe")
+    sector = _medians(rows, column, ["session", "market", "sector"], "_sector", least)
+    rows = rows.join(universe, ["session", "market"]).join(sector, ["session", "market", "sector"], "left").withColumn("sector_median", F.coalesce("_sector", "universe")).drop("_sector")
+    blend = weight * F.col("sector_median") + (1 - weight) * F.col("universe")
+    return rows.withColumns({"universe_alpha": F.col(column) - F.col("universe"), "blended_alpha": F.col(column) - blend})
 
 
 def event_labels(prices: DataFrame, horizons: tuple[int, ...] = (21, 42, 63), look_back: int = 63, floors: tuple[float, float] = (0.02, 0.02), times: tuple[float, float] = (1.0, 1.0)) -> DataFrame:

@@ -14,6 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from retroscope.functions.orders import cumulative
 
 #: Bytes of the vectors of one block of queries, as doubles.
 BLOCK_BYTES = 64 << 20
@@ -27,7 +31,7 @@ class Rules:
     on (null: never; strict: after it). max_age: largest time from the record's ordinal to the query. apart_from:
     column that must differ between query and record; where one of them has none, the record is left out.
     least: (column, value) that a record must reach. until: column with the time from which a record counts no more (null:
-    it always does). k with cap and spacing: what `constrained` will be asked for;
+    it always does). share: what `staged` will be asked for, floor(k * share) records of the query's own security at most. k with cap and spacing: what `constrained` will be asked for;
     with k alone `nearest`; without k all records are returned.
     """
 
@@ -41,6 +45,7 @@ class Rules:
     apart_from: str | None = None
     least: tuple[str, float] | None = None
     until: str | None = None
+    share: float | None = None
 
     def open(self, q: dict, m: dict, row: int) -> np.ndarray:
         """Which records of the batch m query number `row` of q may use."""
@@ -60,12 +65,12 @@ class Rules:
             ok &= np.nan_to_num(m[self.least[0]], nan=-np.inf) >= self.least[1]
         return ok
 
-    def needed(self, distance: np.ndarray, security: np.ndarray, ordinal: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    def needed(self, distance: np.ndarray, security: np.ndarray, ordinal: np.ndarray, slack: np.ndarray, mine: object = None) -> np.ndarray:
         """Numbers of the records that the k taken from any union with this set can hold.
 
         A record that is not taken in a union lies too close to a nearer taken one, and each taken one is too
         close to two taken here at most; so once half of those taken here, counted up per security, make k,
-        what is farther is never needed.
+        what is farther is never needed. Of the query's own security (mine) no more than its share counts.
         """
         if self.k is None or distance.size <= self.k:
             return np.arange(distance.size)
@@ -75,9 +80,10 @@ class Rules:
         order = np.argsort(distance, kind="stable")
         taken: dict = {}
         sure = 0
+        few = self.cap if self.share is None else min(self.cap, int(self.k * self.share))
         for i in order.tolist():
             own = taken.setdefault(security[i], [])
-            if len(own) < self.cap and all(abs(o - ordinal[i]) >= self.spacing for o in own):
+            if len(own) < (few if security[i] == mine else self.cap) and all(abs(o - ordinal[i]) >= self.spacing for o in own):
                 own.append(ordinal[i])
                 sure += len(own) % 2
                 if sure >= self.k:
@@ -124,7 +130,7 @@ def _matcher(block: pa.Table, dim: int, rules: Rules, carry: list[str], names: l
                 if not ok.size:
                     continue
                 about = norms[row] + size[ok] - 2 * product[row, ok]
-                near = ok[rules.needed(about, m["security"][ok], m["ordinal"][ok], 1e-9 * (norms[row] + size[ok].max()))]
+                near = ok[rules.needed(about, m["security"][ok], m["ordinal"][ok], 1e-9 * (norms[row] + size[ok].max()), q["security"][row])]
                 exact = ((points[row] - vectors[near]) ** 2).sum(axis=1)
                 if rules.max_distance is not None:
                     near, exact = near[exact <= rules.max_distance], exact[exact <= rules.max_distance]
@@ -133,7 +139,7 @@ def _matcher(block: pa.Table, dim: int, rules: Rules, carry: list[str], names: l
             if parts:
                 held = pa.concat_tables([*([held] if held is not None else []), *parts]).combine_chunks()
                 if rules.k is not None:
-                    held = held.take(pa.array(_again(held, rules)))
+                    held = held.take(pa.array(_again(held, rules, q["security"])))
         if held is not None and held.num_rows:
             out = pa.Table.from_arrays([ids.take(held["_row"].combine_chunks()), *(held[c] for c in [*carry, "distance"])], names=names)
             yield from out.to_batches(max_chunksize=10_000)
@@ -141,12 +147,12 @@ def _matcher(block: pa.Table, dim: int, rules: Rules, carry: list[str], names: l
     return of
 
 
-def _again(held: pa.Table, rules: Rules) -> np.ndarray:
+def _again(held: pa.Table, rules: Rules, own: np.ndarray) -> np.ndarray:
     row, distance = held["_row"].to_numpy(), held["distance"].to_numpy()
     security, ordinal = _plain(held["security"].combine_chunks()), held["ordinal"].to_numpy()
     order = np.argsort(row, kind="stable")
     cuts = np.flatnonzero(np.diff(row[order])) + 1
-    return np.concatenate([part[rules.needed(distance[part], security[part], ordinal[part], np.float64(0))] for part in np.split(order, cuts)])
+    return np.concatenate([part[rules.needed(distance[part], security[part], ordinal[part], np.float64(0), own[row[part[0]]])] for part in np.split(order, cuts)])
 
 
 def candidates(queries: DataFrame, memory: DataFrame, rules: Rules = Rules(), carry: tuple[str, ...] = ("target",), block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -154,7 +160,8 @@ def candidates(queries: DataFrame, memory: DataFrame, rules: Rules = Rules(), ca
 
     queries: query_id, security, at, vector. memory: record_id, security, ordinal, available, vector and what is
     carried. Rows without a vector, or with one of another length than the longest query, find nothing. The
-    queries' number and length are read first, to cut them into blocks of block_bytes.
+    queries' number and length are read first. Where their vectors fit in block_bytes, they are sent to all partitions of the
+    memory; else both sides are cut into blocks of that size by a hash of the id, and each pair of blocks meets in one task.
     """
     carry = ["record_id", "security", "ordinal", *carry]
     columns = ["query_id", *carry, "distance"]
@@ -163,13 +170,24 @@ def candidates(queries: DataFrame, memory: DataFrame, rules: Rules = Rules(), ca
     read = list(dict.fromkeys([*carry, "available", "vector", *([rules.apart_from] if rules.apart_from else []), *([rules.least[0]] if rules.least else []), *([rules.until] if rules.until else [])]))
     asked = queries.where("at is not null").select("query_id", "security", "at", "vector", *([rules.apart_from] if rules.apart_from else []))
     n, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    blocks = max(1, -(-n * dim * 8 // block_bytes))
-    out = None
-    for b in range(blocks):
-        block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
-        part = memory.select(*read).mapInArrow(_matcher(block, dim, rules, carry, columns), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    blocks, rows = max(1, -(-n * dim * 8 // block_bytes)), memory.select(*read)
+    if blocks == 1:
+        return rows.mapInArrow(_matcher(asked.toArrow(), dim, rules, carry, columns), schema)
+    others = max(1, -(-rows.count() * dim * 8 // block_bytes))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    fresh = lambda df: df.select(*(F.transform(c, lambda x: x).alias(c) if c == "vector" else F.col(c).alias(c) for c in df.columns))  # noqa: E731  (queries and memory can be of one table)
+    left = fresh(asked).withColumns({"_q": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "_m": every(others)})
+    right = fresh(rows).withColumns({"_m": F.pmod(F.xxhash64("record_id"), F.lit(others)).cast("int"), "_q": every(blocks)})
+
+    def tile(q: pa.Table, m: pa.Table) -> pa.Table:
+        empty = pa.table({f.name: pa.array([], f.type) for f in kept})
+        if not q.num_rows or not m.num_rows:
+            return empty
+        found = list(_matcher(q.drop_columns(["_q", "_m"]), dim, rules, carry, columns)(m.drop_columns(["_q", "_m"]).to_batches()))
+        return pa.Table.from_batches(found).cast(kept) if found else empty
+
+    kept = to_arrow_schema(StructType.fromDDL(schema))
+    return left.groupBy("_q", "_m").cogroup(right.groupBy("_q", "_m")).applyInArrow(tile, schema)
 
 
 def nearest(found: DataFrame, k: int) -> DataFrame:
@@ -230,6 +248,19 @@ def acceptance_log(found: DataFrame, k: int = 25, cap: int = 3, spacing: int = 2
     return rows.select("query_id", "rank", "record_id", "security", "distance", F.when(F.col("reason") == "none", "kept").otherwise("discarded").alias("status"), "reason")
 
 
+def prior_means(queries: DataFrame, memory: DataFrame, value: str) -> DataFrame:
+    """query_id, mean: of the value of all records available by a query's time; queries that have none are left out.
+
+    Records are added up per time; queries take their place among the times as rows of no weight, so no query meets a record.
+    """
+    zero = F.lit(0.0)
+    known = memory.where("available is not null").select(F.col("available").cast("bigint").alias("t"), F.col(value).cast("double").alias("v"))
+    asked = queries.where("at is not null").select("query_id", F.col("at").cast("bigint").alias("t"))
+    both = known.select("t", F.coalesce("v", zero).alias("v"), F.col("v").isNotNull().cast("bigint").alias("c")).unionByName(asked.select("t", zero.alias("v"), F.lit(0).cast("bigint").alias("c")))
+    sums = cumulative(both, "t", [], {"s": F.col("v"), "k": F.col("c")}).select("t", (F.col("s") + F.col("s_before")).alias("s"), (F.col("k") + F.col("k_before")).alias("k"))
+    return asked.join(sums, "t").where("k > 0").select("query_id", (F.col("s") / F.col("k")).alias("mean"))
+
+
 def unit(column: str) -> F.Column:
     """A vector over its length; itself where that is 0."""
     size = F.sqrt(F.aggregate(column, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

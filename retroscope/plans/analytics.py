@@ -98,8 +98,8 @@ def _cross(a: str, b: str) -> str:
 
 @query(f"SELECT round(ab.s / sqrt(aa.s * bb.s), 6) AS alignment FROM {_cross('a', 'b')} ab, {_cross('a', 'a')} aa, {_cross('b', 'b')} bb")
 def kernel_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = panel.table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
-    return rounded_rows(analytics.alignment(vectors, "a", "b"), [], ["alignment"])
+    vectors = panel.table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    return rounded_rows(analytics.alignment(vectors, "vec_id", "a", "b"), [], ["alignment"])
 
 
 @query(f"""{GREEDY}, g AS (SELECT vec_id, CASE WHEN label % 5 < 4 THEN label % 3 END AS sector FROM embeddings), p AS (SELECT sector, count(*) / sum(count(*)) OVER () AS expected FROM g WHERE sector IS NOT NULL GROUP BY 1),

@@ -119,6 +119,18 @@ def relative_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows, ["security", "session", "market"], ["benchmark", "relative"])
 
 
+_MEDIAN = "median(future) OVER (PARTITION BY session, market{})"
+
+
+@query(f"""{_RETURNS}, x AS (SELECT *, {_MEDIAN.format("")} AS universe, CASE WHEN count(future) OVER (PARTITION BY session, market, sector) >= 2 THEN {_MEDIAN.format(", sector")} ELSE {_MEDIAN.format("")} END AS sm FROM r WHERE future IS NOT NULL)
+SELECT market, sector, CAST(year(session) AS INT) AS year, count(*) AS rows, count(*) FILTER (sm <> universe) AS apart, round(avg(future - universe), 6) AS universe_alpha, round(avg(future - (0.5 * sm + 0.5 * universe)), 6) AS blended_alpha FROM x GROUP BY 1, 2, 3""")
+def blended_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes less their market's median and less a blend with their sector's, by market, sector and year."""
+    rows = labels.blended_outcomes(_returns(spark, sf_dir).drop("sector", "market"), panel.securities(spark, sf_dir), "future", 0.5, 2)
+    out = rows.groupBy("market", "sector", F.year("session").alias("year")).agg(F.count("*").alias("rows"), F.count_if(F.col("sector_median") != F.col("universe")).alias("apart"), F.avg("universe_alpha").alias("universe_alpha"), F.avg("blended_alpha").alias("blended_alpha"))
+    return _rounded(out, ["market", "sector", "year", "rows", "apart"], ["universe_alpha", "blended_alpha"])
+
+
 @query(f"{_RETURNS}, x AS (SELECT * FROM r WHERE momentum IS NOT NULL) SELECT security, session, round({_rank('momentum', 'session')}, 6) AS rank_momentum, round({_rank('volume', 'session')}, 6) AS rank_volume FROM x")
 def opportunity_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranking.opportunity_ranks(_returns(spark, sf_dir).where("momentum is not null"), ["momentum", "volume"])
