@@ -297,11 +297,11 @@ def prior_weighted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_GREEDY}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) AS rank FROM k),
-m AS (SELECT query_id, scale, avg(target) AS m FROM r, (SELECT unnest([10, 15, 25]) AS scale) WHERE rank <= scale GROUP BY 1, 2)
-SELECT query_id, count(*) AS scales, round(median(m), 6) AS expected, round(abs(sum(sign(m))) / count(*), 6) AS sign_agreement, round(median(m) - 0.5 * stddev_pop(m), 6) AS penalized FROM m GROUP BY query_id""")
+m AS (SELECT query_id, scale, avg(target) AS m, 1.96 * stddev_pop(target) / sqrt(count(target)) AS h FROM r, (SELECT unnest([10, 15, 25]) AS scale) WHERE rank <= scale GROUP BY 1, 2)
+SELECT query_id, count(*) AS scales, round(median(m), 6) AS expected, round(abs(sum(sign(m))) / count(*), 6) AS sign_agreement, round(median(m) - 0.5 * stddev_pop(m), 6) AS penalized, round(min(m - h), 6) AS low, round(max(m + h), 6) AS high FROM m GROUP BY query_id""")
 def multiscale_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = weighting.multiscale(_constrained(spark, sf_dir))
-    return _rounded(rows, ["query_id", "scales"], ["expected", "sign_agreement", "penalized"])
+    return _rounded(rows, ["query_id", "scales"], ["expected", "sign_agreement", "penalized", "low", "high"])
 
 
 @query(_GREEDY.replace(_DISTANCE, "sha256(q.vec_id || ':7:' || m.vec_id)") + " SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, record_id) AS INT) AS rank, record_id, security FROM k")
@@ -390,4 +390,4 @@ def event_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity(panel.table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from retroscope.plans import analytics, cleaning, cycles, decisions, evidence, metric, metrics, models, resampling, selection, states  # noqa: E402, F401  (they register their queries)
+from retroscope.plans import analytics, cleaning, cycles, decisions, diagnostics, evidence, metric, metrics, models, resampling, selection, states  # noqa: E402, F401  (they register their queries)
