@@ -238,3 +238,44 @@ def ordering(rows: DataFrame, score: str, outcome: str) -> DataFrame:
     return parts.withColumn("_p", place).agg(
         F.count("*").alias("deciles"), F.sum("n").alias("rows"), F.round(F.try_divide(cov("r", "q", "rq"), F.sqrt(cov("r", "r", "rr") * cov("q", "q", "qq"))), 6).alias("spearman"),
         F.round(top - F.max("_mean"), 6).alias("top_lift"), F.round(top - bottom, 6).alias("top_less_bottom"), F.round(F.try_divide(F.covar_pop("decile", "_p"), F.stddev_pop("decile") * F.stddev_pop("_p")), 6).alias("monotonicity"), F.round(F.max_by("up", "decile"), 6).alias("top_positive"))
+
+
+def fit_gate(rows: DataFrame, base: str, memory: str, outcome: str, weight: str, steps: int, rate: float = 0.05, decay: float = 0.001) -> dict:
+    """A gate sigmoid(a.z + b) between two forecasts, fitted by Adam on the weighted squared error of (1 - g) base + g memory.
+
+    z: sizes of base, of base less memory, and of memory, each less its mean over its deviation (1 where it does not vary).
+    Starts at a = 0, b = 0. Each step is one aggregate of five sums. Gives mean, deviation, a, b and the loss before each step.
+    """
+    x, m = F.col(base), F.col(memory)
+    z = [F.abs(x), F.abs(x - m), F.abs(m)]
+    r = rows.agg(*(F.avg(v).alias(f"m{i}") for i, v in enumerate(z)), *(F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(z)), F.sum(weight).alias("w")).first()
+    mean = [r[f"m{i}"] or 0.0 for i in range(3)]
+    deviation = [r[f"s{i}"] if r[f"s{i}"] and r[f"s{i}"] > 1e-12 else 1.0 for i in range(3)]
+    own = rows.select(x.alias("_x"), m.alias("_m"), F.col(outcome).alias("_y"), F.col(weight).alias("_w"), *(((v - mean[i]) / deviation[i]).alias(f"_z{i}") for i, v in enumerate(z)))
+    theta, first, second, losses = np.zeros(4), np.zeros(4), np.zeros(4), []
+    for step in range(1, steps + 1 if r["w"] else 1):
+        gate = 1 / (1 + F.exp(-linear(np.array([theta[3], *theta[:3]]), ["_z0", "_z1", "_z2"])))
+        held = own.withColumn("_g", gate).withColumn("_e", F.col("_x") + F.col("_g") * (F.col("_m") - F.col("_x")) - F.col("_y"))
+        slope = 2 * F.col("_w") * F.col("_e") * (F.col("_m") - F.col("_x")) * F.col("_g") * (1 - F.col("_g"))
+        s = held.withColumn("_d", slope).agg(*(F.sum(F.col("_d") * F.col(f"_z{i}")).alias(f"g{i}") for i in range(3)), F.sum("_d").alias("g3"), F.sum(F.col("_w") * F.col("_e") * F.col("_e")).alias("loss")).first()
+        losses.append(s.loss / r["w"])
+        g = np.array([s[f"g{i}"] for i in range(4)]) / r["w"] + decay * theta
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return {"mean": mean, "deviation": deviation, "a": theta[:3].tolist(), "b": float(theta[3]), "losses": losses}
+
+
+def gate_value(gate: dict, base: str, memory: str) -> Column:
+    """The fitted gate of two forecasts."""
+    z = [F.abs(F.col(base)), F.abs(F.col(base) - F.col(memory)), F.abs(F.col(memory))]
+    terms = [a * (v - m) / s for a, v, m, s in zip(gate["a"], z, gate["mean"], gate["deviation"], strict=True)]
+    return 1 / (1 + F.exp(-(sum(terms[1:], terms[0]) + gate["b"])))
+
+
+def coverage(rows: DataFrame, score: str, outcome: str, fitted: Column, shares: list[float]) -> DataFrame:
+    """share, threshold, rows, passed, covered and mean: for each share the score that it of the fitted rows reach, how many of the other rows
+    reach it, their share, and their mean outcome. Rows without a score reach none."""
+    edges = quantiles(rows.where(fitted), score, [], [1 - s for s in shares]).select((1 - F.col("share")).alias("share"), F.col("value").alias("threshold"))
+    others = rows.where(~fitted).crossJoin(F.broadcast(edges))  # a row per share
+    reach = F.coalesce(F.col(score) >= F.col("threshold"), F.lit(False))
+    return others.groupBy("share", "threshold").agg(F.count("*").alias("rows"), F.count_if(reach).alias("passed"), F.avg(reach.cast("double")).alias("covered"), F.avg(F.when(reach, F.col(outcome))).alias("mean"))

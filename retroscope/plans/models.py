@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from retroscope.functions.orders import cumulative
 from retroscope.functions.stored import cut
-from retroscope.operators import decisions, models
+from retroscope.functions.windows import percent_rank
+from retroscope.operators import decisions, diagnostics, models
+from retroscope.plans.cleaning import SEEDS, seeds
 from retroscope.plans.common import RETURNS, query, rank, returns, rounded_rows
 
 FEATURES = ["momentum", "daily_return", "spread"]
@@ -260,3 +262,61 @@ def boosted_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = _grown(spark, sf_dir)
     scored = cut(rows.select(F.round("prediction", 9).alias("score"), F.col("future").alias("y")))
     return models.ordering(scored, "score", "y")
+
+
+_GATE_STEPS = 10
+_Z3 = ("abs(base)", "abs(base - memory)", "abs(memory)")
+
+
+def _gate_sql() -> str:
+    parts = [f"gz AS MATERIALIZED (SELECT base, memory, y, w, {', '.join(f'({z} - avg({z}) OVER ()) / CASE WHEN stddev_pop({z}) OVER () > 1e-12 THEN stddev_pop({z}) OVER () ELSE 1 END AS z{i}' for i, z in enumerate(_Z3))} FROM gr)", "gt0 AS (SELECT " + ", ".join(f"CAST(0 AS DOUBLE) AS {n}{i}" for n in "tmv" for i in range(4)) + ")"]
+    for s in range(_GATE_STEPS):
+        parts.append(f"gg{s} AS (SELECT *, 1 / (1 + exp(-(t0 * z0 + t1 * z1 + t2 * z2 + t3))) AS g FROM gz, gt{s})")
+        parts.append(f"ge{s} AS (SELECT *, 2 * w * (base + g * (memory - base) - y) * (memory - base) * g * (1 - g) AS d FROM gg{s})")
+        sums = ", ".join(f"sum(d{f' * z{i}' if i < 3 else ''}) / sum(w) + 0.001::DOUBLE * any_value(t{i}) AS g{i}, any_value(t{i}) AS t{i}, any_value(m{i}) AS m{i}, any_value(v{i}) AS v{i}" for i in range(4))
+        parts.append(f"gs{s} AS MATERIALIZED (SELECT {sums} FROM ge{s})")
+        parts.append(f"ga{s} AS (SELECT {', '.join(f't{i}, 0.9::DOUBLE * m{i} + 0.1::DOUBLE * g{i} AS m{i}, 0.999::DOUBLE * v{i} + 0.001::DOUBLE * g{i} * g{i} AS v{i}' for i in range(4))} FROM gs{s})")
+        parts.append(f"gt{s + 1} AS MATERIALIZED (SELECT {', '.join(f't{i} - 0.05::DOUBLE * (m{i} / {1 - 0.9 ** (s + 1)!r}::DOUBLE) / (sqrt(v{i} / {1 - 0.999 ** (s + 1)!r}::DOUBLE) + 1e-8) AS t{i}, m{i}, v{i}' for i in range(4))} FROM ga{s})")
+    return ", ".join(parts)
+
+
+@query(f"""{_WHOLE}, gr AS (SELECT greatest(-1, least(1, f3)) AS base, greatest(-1, least(1, f1)) AS memory, greatest(-1, least(1, future)) AS y, 1.0::DOUBLE / count(*) OVER (PARTITION BY market) AS w FROM x), {_gate_sql()},
+mx AS (SELECT base, memory, y, w, 1 / (1 + exp(-(t0 * z0 + t1 * z1 + t2 * z2 + t3))) AS g FROM gz, gt{_GATE_STEPS})
+SELECT count(*) AS rows, round(any_value(t0), 6) AS a_base, round(any_value(t1), 6) AS a_gap, round(any_value(t2), 6) AS a_memory, round(any_value(t3), 6) AS bias, round(avg(g), 6) AS mean_gate, round(sum(w * (base - y) ** 2) / sum(w), 6) AS base_error, round(sum(w * (base + g * (memory - base) - y) ** 2) / sum(w), 6) AS mixed_error FROM mx, gt{_GATE_STEPS}""")
+def trust_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gate between two forecasts after some steps, all markets weighed alike, and what mixing by it gains."""
+    unit = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(c)))
+    rows = _whole(spark, sf_dir)
+    sizes = rows.groupBy("market").agg((1 / F.count("*")).alias("w"))
+    rows = cut(rows.join(F.broadcast(sizes), "market").select(unit("momentum").alias("base"), unit("daily_return").alias("memory"), unit("future").alias("y"), "w"))
+    gate = models.fit_gate(rows, "base", "memory", "y", "w", _GATE_STEPS)
+    rows = rows.withColumn("g", models.gate_value(gate, "base", "memory"))
+    error = lambda g: F.sum(F.col("w") * F.pow(F.col("base") + g * (F.col("memory") - F.col("base")) - F.col("y"), F.lit(2))) / F.sum("w")
+    out = rows.agg(F.count("*").alias("rows"), *(F.lit(float(v)).alias(n) for n, v in zip(("a_base", "a_gap", "a_memory", "bias"), [*gate["a"], gate["b"]], strict=True)), F.avg("g").alias("mean_gate"), error(F.lit(0.0)).alias("base_error"), error(F.col("g")).alias("mixed_error"))
+    return rounded_rows(out, ["rows"], ["a_base", "a_gap", "a_memory", "bias", "mean_gate", "base_error", "mixed_error"])
+
+
+_SHARES = [0.75, 0.5, 0.25]
+
+
+@query(f"""{_X}, th AS (SELECT unnest([{', '.join(f'{s}::DOUBLE' for s in _SHARES)}]) AS share), tv AS (SELECT share, (SELECT quantile_cont(daily_return, [{', '.join(f'{1 - s}::DOUBLE' for s in _SHARES)}]) FROM raw WHERE fit)[CASE share {' '.join(f'WHEN {s} THEN {i + 1}' for i, s in enumerate(_SHARES))} END] AS threshold FROM th)
+SELECT share, round(threshold, 6) AS threshold, count(*) AS rows, count(*) FILTER (daily_return >= threshold) AS passed, round(avg(CAST(coalesce(daily_return >= threshold, false) AS INT)), 6) AS covered, round(avg(future) FILTER (daily_return >= threshold), 6) AS mean FROM tv, raw WHERE NOT fit GROUP BY share, threshold""")
+def locked_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds set on the early sessions, and what share of the later rows reaches them, with the outcomes of these."""
+    rows = cut(_periods(_known(spark, sf_dir)))
+    return rounded_rows(models.coverage(rows, "daily_return", "future", F.col("fit"), _SHARES), ["share", "rows", "passed"], ["threshold", "covered", "mean"])
+
+
+@query(f"""{SEEDS.replace('WITH s AS', 'WITH s0 AS')}, s AS (SELECT s0.*, round(score, 9) AS sc FROM s0), rk AS (SELECT seed, session, security, {rank('sc', 'session, seed')} AS r FROM s),
+{RETURNS.replace('WITH bars AS', 'bars AS', 1)}, j AS (SELECT rk.*, future FROM rk JOIN r USING (session, security) WHERE future IS NOT NULL), m AS (SELECT session, security, count(*) AS seeds, avg(r) AS r, stddev_pop(r) AS spread, any_value(future) AS future FROM j GROUP BY 1, 2),
+one AS (SELECT seed, corr(x, y) AS v FROM (SELECT seed, {rank('r', 'seed')} AS x, {rank('future', 'seed')} AS y FROM j) GROUP BY 1), al AS (SELECT corr(x, y) AS v, count(*) AS rows FROM (SELECT rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY future) + (count(*) OVER (PARTITION BY future) - 1) / 2.0::DOUBLE AS y FROM (SELECT round(r, 9) AS r, future FROM m)))
+SELECT al.rows, (SELECT count(*) FROM one) AS seeds, round((SELECT avg(spread) FROM m), 6) AS rank_spread, round(al.v, 6) AS ensemble, round((SELECT avg(v) FROM one), 6) AS seed_mean, round(al.v - (SELECT avg(v) FROM one), 6) AS lift FROM al""")
+def rank_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation with outcomes of the mean of the seeds' same-date ranks, against that of a seed alone."""
+    ranked = seeds(spark, sf_dir).withColumn("r", percent_rank(F.round("score", 9), "session", "seed")).select("seed", "session", "security", "r")
+    rows = cut(ranked.join(returns(spark, sf_dir).where("future is not null").select("session", "security", "future"), ["session", "security"]))
+    mean = rows.groupBy("session", "security").agg(F.round(F.avg("r"), 9).alias("r"), F.stddev_pop("r").alias("spread"), F.first("future").alias("future"))
+    one = diagnostics.rank_correlation(rows, "r", "future", ["seed"]).agg(F.count("*").alias("seeds"), F.avg("spearman").alias("seed_mean"))
+    every = diagnostics.rank_correlation(mean, "r", "future", []).select(F.col("spearman").alias("ensemble"))
+    out = mean.agg(F.count("*").alias("rows"), F.avg("spread").alias("rank_spread")).crossJoin(F.broadcast(one)).crossJoin(F.broadcast(every)).withColumn("lift", F.col("ensemble") - F.col("seed_mean"))
+    return rounded_rows(out, ["rows", "seeds"], ["rank_spread", "ensemble", "seed_mean", "lift"])
