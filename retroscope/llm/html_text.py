@@ -2,8 +2,8 @@
 
 The tree builder closes elements that the next tag ends without saying so (p before a block, li before li,
 cells and rows of tables, options) and ignores end tags that match nothing. The renderer leaves out what is
-not shown (head, scripts, styles, templates, comments, elements hidden by attribute, by style, or by a rule of a
-style element for a tag, class or id), collapses white space outside
+not shown (head, scripts, styles, templates, comments; elements that attributes, styles or the page's rules take out by
+display, with all in them; text that is hidden by visibility, which elements inside can turn back), collapses white space outside
 pre and textarea, puts blocks on lines of their own and paragraphs apart by an empty line, numbers and
 indents lists, and pads the cells of a table's column to one width.
 """
@@ -42,16 +42,17 @@ _ATTRIBUTE = re.compile(r"""\s*/*\s*([^\s=>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _WHOLE = re.compile(r"\s*([+-]?\d{1,400})")
 _RULE = re.compile(r"/\*.*?\*/|([^{}]*)([{}])", re.S)
-_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
-_SHOWS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$")
+_SHOWS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
+_SCREEN = re.compile(r"(?:only\s+)?(?:screen|all)?$", re.I)
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "gone", "seen", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes = tag, attributes
+        self.gone, self.seen = False, True
         self.children: list[Node | str] = []
 
 
@@ -189,24 +190,64 @@ def tree(source: str) -> Node:
     return root
 
 
-def unseen(node: Node, rules: Rules | None = None) -> bool:
-    """Whether a node is not shown: by its element, its attributes, its style, or the page's rules."""
+def shows(text: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility of declarations: whether important, and the value; the last of equal weight counts."""
+    out: dict[str, tuple[bool, str]] = {}
+    for name, value, important in _SHOWS.findall(text):
+        if name.lower() not in out or bool(important) >= out[name.lower()][0]:
+            out[name.lower()] = bool(important), value.lower()
+    return out
+
+
+def unseen(node: Node) -> bool:
+    """Whether a node is not shown by its element, its attributes or its style alone."""
     a = node.attributes
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden") or (node.tag == "dialog" and "open" not in a):
+    said = {k: v for k, (_, v) in shows(a.get("style", "")).items()}
+    if node.tag in UNSEEN or (node.tag == "input" and a.get("type", "").lower() == "hidden") or said.get("visibility") in ("hidden", "collapse"):
         return True
-    if "style" in a and _SHOWS.search(a["style"]):
-        if _HIDDEN.search(a["style"]):
-            return True
-        own = {k.lower() for k, _ in _SHOWS.findall(a["style"])}
-    else:
-        own = set()
-    return rules is not None and any(k not in own and v for k, v in rules.of(node).items())
+    return said["display"] == "none" if "display" in said else "hidden" in a or (node.tag == "dialog" and "open" not in a)
+
+
+class Compound:
+    """A tag, classes and ids that one element must have."""
+
+    __slots__ = ("classes", "ids", "tag")
+
+    def __init__(self, tag: str, rest: str):
+        self.tag, self.classes, self.ids = tag.lower(), frozenset(re.findall(r"\.([\w-]+)", rest)), frozenset(re.findall(r"#([\w-]+)", rest))
+
+    def fits(self, node: Node) -> bool:
+        return self.tag in ("*", node.tag) and self.ids <= {node.attributes.get("id", "")} and (not self.classes or self.classes <= set(node.attributes.get("class", "").split()))
+
+
+def _selector(text: str) -> list[tuple[str, Compound]] | None:
+    """Compounds from the last to the first, each with how it lies below the next: a child (>) or anywhere (blank). None: not understood."""
+    out, join = [], " "
+    for part in re.sub(r"\s*>\s*", " > ", text.strip()).split():
+        if part == ">":
+            join = ">"
+            continue
+        m = _COMPOUND.match(part)
+        if not m or not (m[1] or m[2]):
+            return None
+        out.append((join, Compound(m[1] or "*", m[2])))
+        join = " "
+    return out[::-1] if out and join == " " else None
+
+
+def _lies_in(selector: list[tuple[str, Compound]], at: int, path: list[Node], end: int) -> bool:
+    """Whether the compounds from `at` on fit ancestors among path[:end], the element of compound at - 1 being path[end]."""
+    if at == len(selector):
+        return True
+    places = (end - 1,) if selector[at - 1][0] == ">" else range(end - 1, -1, -1)
+    return any(k >= 0 and selector[at][1].fits(path[k]) and _lies_in(selector, at + 1, path, k) for k in places)
 
 
 class Rules:
-    """What the style elements of a page hide: rules outside of at-rules whose selector is a tag, classes and an id.
+    """What the style elements of a page say of display and visibility.
 
-    Of several rules for display (or visibility) that fit, the most specific counts, the last of equal ones.
+    Rules count whose selectors are tags, classes and ids joined by descent or as children, outside of at-rules or in media
+    that a screen of any size matches. Important ones count before others, then inline styles, then the more specific, then the last.
     """
 
     def __init__(self, root: Node):
@@ -215,45 +256,66 @@ class Rules:
         while todo:
             node = todo.pop()
             todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
-            if node.tag != "style":
+            if node.tag != "style" or not self._screen(node.attributes.get("media", "")):
                 continue
-            depth, heads = 0, [""]
+            heads: list[str] = []
             for part in _RULE.finditer("".join(c for c in node.children if isinstance(c, str))):
                 if part[2] == "{":
-                    heads.append(part[1].strip())
-                    depth += 1
-                elif part[2] == "}" and depth:
-                    depth -= 1
-                    head = heads.pop()
-                    shows = {k.lower(): v.lower() in (("none",) if k.lower() == "display" else ("hidden", "collapse")) for k, v in _SHOWS.findall(part[1])}
-                    if depth or head.startswith("@") or not shows:
+                    heads.append(part[1].rsplit(";", 1)[-1].strip())
+                elif part[2] == "}" and heads:
+                    head, said = heads.pop(), shows(part[1])
+                    if not said or head.startswith("@") or not all(h[:6].lower() == "@media" and self._screen(h[6:]) for h in heads):
                         continue
                     for one in head.split(","):
-                        m = _SELECTOR.match(one.strip())
-                        if m and (m[1] or m[2]):
+                        if selector := _selector(one):
                             order += 1
-                            self.add((m[1] or "*").lower(), m[2], order, shows)
-
-    def add(self, tag: str, rest: str, order: int, shows: dict[str, bool]) -> None:
-        classes, ids = frozenset(re.findall(r"\.([\w-]+)", rest)), frozenset(re.findall(r"#([\w-]+)", rest))
-        name = next((f"#{i}" for i in ids), next((f".{c}" for c in classes), tag))
-        self.found.setdefault(name, []).append((tag, classes, ids, (len(ids), len(classes), tag != "*", order), shows))
-
-    def of(self, node: Node) -> dict[str, bool]:
-        """display and visibility, where a rule says something: whether it hides the node."""
-        if not self.found:
-            return {}
-        classes, own = set(node.attributes.get("class", "").split()), node.attributes.get("id", "")
+                            self._add(selector, order, said)
+
+    @staticmethod
+    def _screen(media: str) -> bool:
+        return any(_SCREEN.match(m.strip()) for m in media.split(","))
+
+    def _add(self, selector: list[tuple[str, Compound]], order: int, said: dict[str, tuple[bool, str]]) -> None:
+        last = selector[0][1]
+        name = next((f"#{i}" for i in last.ids), next((f".{c}" for c in last.classes), last.tag))
+        weight = (sum(len(c.ids) for _, c in selector), sum(len(c.classes) for _, c in selector), sum(c.tag != "*" for _, c in selector), order)
+        self.found.setdefault(name, []).append((selector, weight, said))
+
+    def of(self, node: Node, path: list[Node]) -> dict[str, str]:
+        """The values of display and visibility that rules and the inline style give a node below path."""
         best: dict[str, tuple] = {}
-        for name in (node.tag, "*", f"#{own}", *(f".{c}" for c in classes)):
-            for tag, wanted, ids, weight, shows in self.found.get(name, ()):
-                if tag in ("*", node.tag) and wanted <= classes and ids <= {own}:
-                    for k, v in shows.items():
-                        if k not in best or best[k][0] < weight:
-                            best[k] = weight, v
+
+        def offer(said: dict[str, tuple[bool, str]], inline: bool, weight: tuple) -> None:
+            for k, (important, v) in said.items():
+                if k not in best or best[k][0] <= (important, inline, weight):
+                    best[k] = (important, inline, weight), v
+
+        if self.found:
+            for name in (node.tag, "*", f"#{node.attributes.get('id', '')}", *(f".{c}" for c in set(node.attributes.get("class", "").split()))):
+                for selector, weight, said in self.found.get(name, ()):
+                    if selector[0][1].fits(node) and _lies_in(selector, 1, path, len(path)):
+                        offer(said, False, weight)
+        if "style" in node.attributes:
+            offer(shows(node.attributes["style"]), True, ())
         return {k: v for k, (_, v) in best.items()}
 
 
+def settle(root: Node, rules: Rules) -> None:
+    """Set for each node whether it and all in it is gone (display), and whether its own text is seen (visibility, which nodes below can turn back)."""
+    path, todo = [root], [(c, 1) for c in reversed(root.children) if isinstance(c, Node)]
+    while todo:
+        node, depth = todo.pop()
+        del path[depth:]
+        a, said = node.attributes, rules.of(node, path)
+        by_default = "hidden" in a or (node.tag == "dialog" and "open" not in a)  # any rule for display counts before it
+        node.gone = node.tag in UNSEEN or (node.tag == "input" and a.get("type", "").lower() == "hidden") or (said["display"] == "none" if "display" in said else by_default)
+        visibility = said.get("visibility", "inherit")
+        node.seen = path[-1].seen if visibility in ("inherit", "unset") else visibility not in ("hidden", "collapse")
+        path.append(node)
+        if not node.gone:
+            todo.extend((c, depth + 1) for c in reversed(node.children) if isinstance(c, Node))
+
+
 def whole(text: str, other: int) -> int:
     """The whole number at the begin of an attribute, within 32 bits."""
     m = _WHOLE.match(text)
@@ -263,8 +325,7 @@ def whole(text: str, other: int) -> int:
 class Page:
     """Lines of text. `gap` is the number of line ends that the next text needs before it."""
 
-    def __init__(self, rules: Rules):
-        self.rules = rules
+    def __init__(self):
         self.lines: list[str] = [""]
         self.gap, self.blank, self.fresh = 0, False, True
         self.indent = ""
@@ -337,8 +398,9 @@ def render(node: Node, page: Page, kept: bool = False) -> None:
     counter = [whole(node.attributes.get("start", ""), 1)]
     for child in node.children:
         if isinstance(child, str):
-            page.write(child, kept)
-        elif not unseen(child, page.rules):
+            if node.seen:
+                page.write(child, kept)
+        elif not child.gone:
             element(child, page, kept, node.tag, counter)
 
 
@@ -347,10 +409,10 @@ def element(node: Node, page: Page, kept: bool, parent: str, counter: list[int])
     if tag == "br":
         page.turn()
     elif tag == "img":
-        if alt := node.attributes.get("alt", ""):
+        if node.seen and (alt := node.attributes.get("alt", "")):
             page.write(alt)
     elif tag == "input":
-        if node.attributes.get("type", "text").lower() in ("text", "submit", "button", "search", "email", "url", "reset", "tel"):
+        if node.seen and node.attributes.get("type", "text").lower() in ("text", "submit", "button", "search", "email", "url", "reset", "tel"):
             page.write(node.attributes.get("value", ""))
     elif tag == "table":
         page.apart(2)
@@ -365,7 +427,7 @@ def element(node: Node, page: Page, kept: bool, parent: str, counter: list[int])
         page.apart(1)
         before, mark = page.indent, page.mark
         counter[0] = whole(node.attributes.get("value", ""), counter[0])
-        page.mark = f"{counter[0]}. " if parent == "ol" else "- "
+        page.mark = "" if not node.seen else f"{counter[0]}. " if parent == "ol" else "- "
         page.indent += "  " if mark else ""
         counter[0] += 1
         render(node, page, kept)
@@ -387,35 +449,37 @@ def element(node: Node, page: Page, kept: bool, parent: str, counter: list[int])
         page.apart(2 if tag in APART else 1)
         if tag == "details" and "open" not in node.attributes:
             for child in node.children:
-                if isinstance(child, Node) and child.tag == "summary":
+                if isinstance(child, Node) and child.tag == "summary" and not child.gone:
                     element(child, page, kept, tag, counter)
         else:
             render(node, page, kept or tag in ("pre", "listing", "xmp"))
         page.apart(2 if tag in APART else 1)
     elif tag == "q":
-        page.write('"')
+        if node.seen:
+            page.write('"')
         render(node, page, kept)
-        page.put('"')
+        if node.seen:
+            page.put('"')
     else:
         render(node, page, kept or tag == "textarea")
 
 
-def _rows(node: Node, rules: Rules) -> Iterator[Node]:
+def _rows(node: Node) -> Iterator[Node]:
     for child in node.children:
-        if isinstance(child, Node) and not unseen(child, rules):
+        if isinstance(child, Node) and not child.gone:
             if child.tag == "tr":
                 yield child
             elif child.tag in SECTIONS:
-                yield from _rows(child, rules)
+                yield from _rows(child)
 
 
 def _loose(node: Node, page: Page) -> None:
     """What lies in a table or its sections outside of rows."""
     for child in node.children:
         if isinstance(child, str):
-            if child.strip():
+            if node.seen and child.strip():
                 page.write(child)
-        elif unseen(child, page.rules):
+        elif child.gone:
             continue
         elif child.tag in SECTIONS:
             _loose(child, page)
@@ -437,19 +501,19 @@ def table(node: Node, page: Page) -> None:
     grid: list[list[list[str]]] = []
     until: dict[int, int] = {}  # the last row that a cell of the column reaches into
     single: dict[int, int] = {}
-    for r, row in enumerate(_rows(node, page.rules)):
+    for r, row in enumerate(_rows(node)):
         line: list[list[str]] = []
         for cell in row.children:
-            hidden = isinstance(cell, Node) and unseen(cell, page.rules)
+            hidden = isinstance(cell, Node) and cell.gone
             if not isinstance(cell, Node) or cell.tag not in ("td", "th") or hidden:
-                if isinstance(cell, Node) and not hidden or isinstance(cell, str) and cell.strip():
-                    loose = Page(page.rules)
+                if isinstance(cell, Node) and not hidden or isinstance(cell, str) and cell.strip() and row.seen:
+                    loose = Page()
                     render(cell, loose) if isinstance(cell, Node) else loose.write(cell)
                     line.append(loose.text().split("\n"))
                 continue
             while until.get(len(line), -1) >= r:
                 line.append([""])
-            inner = Page(page.rules)
+            inner = Page()
             render(cell, inner)
             body = inner.text().split("\n")
             wide, last = _span(cell, "colspan", WIDEST), r + _span(cell, "rowspan", TALLEST) - 1
@@ -480,7 +544,8 @@ def visible_text(source: str) -> str:
     if sys.getrecursionlimit() < 20 * DEEPEST:
         sys.setrecursionlimit(20 * DEEPEST)
     root = tree(source)
-    page = Page(Rules(root))
+    settle(root, Rules(root))
+    page = Page()
     render(root, page)
     return page.text()
 

@@ -9,7 +9,7 @@ from retroscope.llm import html_text
 
 HIDERS = ['hidden', 'style="color:red; display : none"', "style='visibility:hidden'", 'class="big gone"', 'id="never"', 'class=box']
 SHOWN = ['class="big"', 'style="display:block"', 'id="other"', 'class="gone" style="display:inline"', ""]
-STYLE = "<style>/* p{display:none} */ .big{font-size:2em} .gone , h7 {display:none} #never{visibility:hidden;color:red} div.box, span.box, p.box, li.box {DISPLAY: NONE} .box.open{display:block} @media print { p, div { display:none } } a:hover{display:none} ul li{display:none}</style>"
+STYLE = "<style>/* p{display:none} */ .big{font-size:2em} .gone , h7 {display:none} #never{visibility:hidden;color:red} div.box, span.box, p.box, li.box {DISPLAY: NONE} .box.open{display:block} @media print { p, div { display:none } } a:hover{display:none} ul li:hover{display:none}</style>"
 
 
 class Page:
@@ -88,3 +88,42 @@ def test_empty_table_and_clashing_columns(spark):
     schema = "page_id bigint, url string, html string, text string, part int"
     assert html_text.extract_text(spark.createDataFrame([], schema)).count() == 0
     assert html_text.extract_text(spark.createDataFrame([(1, "u", "<p>x", "old", 3)], schema)).first().text == "x"
+
+
+VISIBILITY = {
+    '<p style="visibility:hidden">no<span style="visibility:visible">yes</span></p>': "yes",
+    "<p hidden style='display:block'>yes</p><p hidden>no</p>": "yes",
+    "<style>p.a{display:block}</style><p hidden class=a>yes</p>": "yes",
+    "<style>div .q{display:none}</style><div><p>yes<b class=q>no</b></p></div><b class=q>too</b>": "yes\n\ntoo",
+    "<style>p>b{display:none}</style><p>yes<b>no</b><i><b>too</b></i></p>": "yestoo",
+    "<style>div p > b{visibility:hidden}</style><div><p><b>no</b>yes</p></div><p><b>too</b></p>": "yes\n\ntoo",
+    "<style>@media screen{.x{display:none}}</style><p class=x>no</p>yes": "yes",
+    "<style>@media only screen , print{.x{display:none}}</style><p class=x>no</p>yes": "yes",
+    "<style>@media all{p{color:red}.x{display:none}}.y{display:none}</style><p class=x>no</p><p class=y>no</p>yes": "yes",
+    "<style>@media print{.x{display:none}}</style><p class=x>yes</p>": "yes",
+    "<style>@media screen and (max-width:9px){.x{display:none}}@supports (x:y){.x{display:none}}</style><p class=x>yes</p>": "yes",
+    "<style media=print>p{display:none}</style><p>yes</p>": "yes",
+    "<style>@import 'a.css';p{display:none}</style><p>no</p>yes": "yes",
+    "<style>.x{display:none !important}</style><p class=x style='display:block'>no</p>yes": "yes",
+    "<style>.x{display:none}</style><p class=x style='display:block'>yes</p>": "yes",
+    "<style>#i{display:block}.x{display:none}p{display:none}</style><p id=i class=x>yes</p><p>no</p>": "yes",
+    "<style>p:hover{display:none}p[a]{display:none}</style><p a=1>yes</p>": "yes",
+    '<div style="visibility:hidden"><ol><li>no<li style="visibility:visible">yes</ol><img alt=no><q>no</q></div>': "2. yes",
+    '<table><tr><td>a<td style="visibility:hidden">no<td>b<tr><td>c<td>dd<td>e</table>': "a      b\nc  dd  e",
+    '<table><tr><td>a<td style="display:none">no<td>b<tr><td>c<td>d</table>': "a  b\nc  d",
+    "<div style='display:none'><p style='display:block;visibility:visible'>no</p></div>yes": "yes",
+    "<dialog>no</dialog><dialog style='display:block'>yes</dialog>": "yes",
+}
+
+
+@pytest.mark.parametrize("source", VISIBILITY)
+def test_display_and_visibility(source):
+    assert html_text.visible_text(source) == VISIBILITY[source]
+
+
+def test_deep_selectors_end_in_time():
+    import time
+
+    page = "<style>" + "".join(f"{'div ' * 6}.c{i}{{display:none}}" for i in range(50)) + "</style>" + "<div>" * 400 + "<p class='c1 c2'>no</p>yes" + "</div>" * 400
+    began = time.time()
+    assert html_text.visible_text(page) == "yes" and time.time() - began < 2
