@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retroscope.functions import frames
-from retroscope.functions.orders import quantiles
 from retroscope.functions.windows import by_time, percent_rank
 
 
@@ -42,18 +41,23 @@ def forward_outcomes(bars: DataFrame, horizons: tuple[int, ...] = (21, 63), upsi
 
 
 def relative_outcomes(outcomes: DataFrame, groups: DataFrame, column: str, least: int = 3) -> DataFrame:
-    """column less the median of the same session in the same market, or of all where the market has fewer than least."""
+    """column less the median of the same session in the same market, or of all where the market has fewer than least.
+
+    A session is one group, of at most a row per security; passes over counts per value took four times as long.
+    """
     rows = outcomes.join(groups, "security").where(F.col(column).isNotNull())
-    own = _medians(rows, column, ["session", "market"], "_own", least)
-    every = _medians(rows, column, ["session"], "_every")
-    rows = rows.join(every, "session").join(own, ["session", "market"], "left").withColumn("benchmark", F.coalesce("_own", "_every"))
-    return rows.withColumn("relative", F.col(column) - F.col("benchmark")).drop("_own", "_every")
+    market, everyone = Window.partitionBy("session", "market"), Window.partitionBy("session")
+    own = F.when(F.count(column).over(market) >= least, F.median(column).over(market))
+    benchmark = F.coalesce(own, F.median(column).over(everyone))
+    return rows.withColumns({"benchmark": benchmark, "relative": F.col(column) - benchmark})
 
 
 def _medians(rows: DataFrame, column: str, by: list[str], name: str, least: int = 1) -> DataFrame:
-    """by, name: the median of column in groups of at least `least` values, from counts per value."""
-    sizes = rows.groupBy(*by).agg(F.count(column).alias("_n")).where(F.col("_n") >= least).drop("_n")
-    return quantiles(rows.select(*by, column), column, by, [0.5]).select(*by, F.col("value").alias(name)).join(sizes, by)
+    """by, name: the median of column in groups of at least `least` values.
+
+    An aggregate: values are counted where they are, and a group's counts meet, at most one per security of a session.
+    """
+    return rows.groupBy(*by).agg(F.count(column).alias("_n"), F.median(column).alias(name)).where(F.col("_n") >= least).drop("_n")
 
 
 def blended_outcomes(outcomes: DataFrame, groups: DataFrame, column: str, weight: float = 0.5, least: int = 3) -> DataFrame:

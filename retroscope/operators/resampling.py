@@ -149,35 +149,36 @@ def deflated_sharpe(returns: DataFrame, by: str, column: str, trials: int) -> Da
     return rows.withColumn("statistic", z).withColumn("probability", normal_cdf(F.col("statistic")))
 
 
-def block_sums(series: DataFrame, block: int) -> DataFrame:
-    """start, size, n, and sums over the `size` rows from start on of series (position, a, b): for whole blocks, and for the shorter one that fills up the
-    length. A draw needs a row per block in place of one per session. series: numbered, a row per session."""
-    own = Window.orderBy("position")
+def block_sums(series: DataFrame, block: int, by: list[str]) -> DataFrame:
+    """by, start, size, n, and sums over the `size` rows from start on of series (by, position, a, b, n): for whole blocks, and for the shorter one
+    that fills up the length. A draw needs a row per block in place of one per session. series: numbered, a row per session."""
+    own = Window.partitionBy(*by).orderBy("position")
     whole = F.least(F.lit(block).cast("bigint"), F.col("n"))
     rest = F.when(F.col("n") % whole == 0, whole).otherwise(F.col("n") % whole)
     size = F.explode(F.array_distinct(F.array(whole, rest)))
     parts = {"a": F.col("a"), "b": F.col("b"), "aa": F.col("a") * F.col("a"), "bb": F.col("b") * F.col("b")}
-    so_far = series.select("position", "n", *(F.sum(x).over(own).alias(k) for k, x in parts.items()))
-    ends = so_far.select((F.col("position") + 1).alias("position"), "n", *parts).unionByName(so_far.where("position = 0").select(F.lit(0).cast("bigint").alias("position"), "n", *(F.lit(0.0).alias(k) for k in parts)))
+    so_far = series.select(*by, "position", "n", *(F.sum(x).over(own).alias(k) for k, x in parts.items()))
+    none = so_far.where("position = 0").select(*by, F.lit(0).cast("bigint").alias("position"), "n", *(F.lit(0.0).alias(k) for k in parts))
+    ends = so_far.select(*by, (F.col("position") + 1).alias("position"), "n", *parts).unionByName(none)
     starts = ends.withColumn("size", size).where(F.col("position") + F.col("size") <= F.col("n"))
-    after = ends.select((F.col("position")).alias("_end"), *(F.col(k).alias(f"_{k}") for k in parts))
-    both = starts.withColumn("_end", F.col("position") + F.col("size")).join(after, "_end")
-    return both.select(F.col("position").alias("start"), "size", "n", *((F.col(f"_{k}") - F.col(k)).alias(k) for k in parts))
+    after = ends.select(*by, F.col("position").alias("_end"), *(F.col(k).alias(f"_{k}") for k in parts))
+    both = starts.withColumn("_end", F.col("position") + F.col("size")).join(after, [*by, "_end"])
+    return both.select(*by, F.col("position").alias("start"), "size", "n", *((F.col(f"_{k}") - F.col(k)).alias(k) for k in parts))
 
 
-def moving_block_pairs(series: DataFrame, block: int, draws: int, seed: str) -> DataFrame:
-    """draw (null: the series itself), annualized_return and sharpe of a less those of b, with moving blocks of sessions that both share.
+def moving_block_pairs(series: DataFrame, block: int, draws: int, seed: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, draw (null: the series itself), annualized_return and sharpe of a less those of b, with moving blocks of sessions that both share.
 
-    A block starts anywhere where it fits; the last one is cut to the length of the series.
+    A block starts anywhere where it fits; the last one is cut to the length of the series. Series of one length have the same draws.
     """
-    sums = block_sums(series, block)
-    n = series.agg(F.max("n").alias("n"))
+    by = list(by)
     size = F.least(F.lit(block).cast("bigint"), F.col("n"))
-    grid = _grid(series.sparkSession, draws).crossJoin(F.broadcast(n)).withColumn("_b", size).withColumn("place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / F.col("_b")) - 1)))
-    grid = grid.select("draw", hashed(F.col("n") - F.col("_b") + 1, F.lit(seed), "draw", "place").alias("start"), F.least(F.col("_b"), F.col("n") - F.col("place") * F.col("_b")).alias("size"))
-    drawn = grid.join(F.broadcast(sums.drop("n")), ["start", "size"]).groupBy("draw").agg(F.sum("size").alias("m"), *(F.sum(c).alias(c) for c in ("a", "b", "aa", "bb")))  # rows per session
-    whole = series.agg(F.lit(None).cast("bigint").alias("draw"), F.count("*").alias("m"), *(F.sum(x).alias(k) for k, x in (("a", F.col("a")), ("b", F.col("b")), ("aa", F.col("a") * F.col("a")), ("bb", F.col("b") * F.col("b")))))
+    grid = _grid(series.sparkSession, draws).crossJoin(F.broadcast(series.select("n").distinct())).withColumn("_b", size).withColumn("place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / F.col("_b")) - 1)))
+    grid = grid.select("draw", "n", hashed(F.col("n") - F.col("_b") + 1, F.lit(seed), "draw", "place").alias("start"), F.least(F.col("_b"), F.col("n") - F.col("place") * F.col("_b")).alias("size"))
+    drawn = grid.join(F.broadcast(block_sums(series, block, by)), ["n", "start", "size"]).groupBy(*by, "draw").agg(F.sum("size").alias("m"), *(F.sum(c).alias(c) for c in ("a", "b", "aa", "bb")))  # rows per session
+    parts = (("a", F.col("a")), ("b", F.col("b")), ("aa", F.col("a") * F.col("a")), ("bb", F.col("b") * F.col("b")))
+    whole = series.groupBy(*by).agg(F.lit(None).cast("bigint").alias("draw"), F.count("*").alias("m"), *(F.sum(x).alias(k) for k, x in parts))
     m = F.col("m")
     deviation = lambda k: F.sqrt(F.greatest(F.col(k * 2) - F.col(k) * F.col(k) / m, F.lit(0.0)) / (m - 1))
     ratio = lambda k: F.when(deviation(k) <= 1e-12, 0.0).otherwise(F.col(k) / m / deviation(k) * 252**0.5)
-    return drawn.unionByName(whole).select("draw", ((F.col("a") - F.col("b")) / m * 252).alias("annualized_return"), (ratio("a") - ratio("b")).alias("sharpe"))
+    return drawn.unionByName(whole).select(*by, "draw", ((F.col("a") - F.col("b")) / m * 252).alias("annualized_return"), (ratio("a") - ratio("b")).alias("sharpe"))
