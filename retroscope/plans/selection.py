@@ -127,10 +127,10 @@ def accounts_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_ACCOUNTS}, pr AS (SELECT *, NOT (market = 'AMERICA' AND security % 50 = 1 AND year % 2 = 1) AND NOT (market = 'ASIA' AND year > 1996) AS done FROM ac WHERE reason IS NULL), g AS (SELECT year, market, bool_and(done) AS complete FROM pr GROUP BY 1, 2)
-SELECT CAST(year AS INT) AS year, market, count(*) AS labels, round(sum(value), 4) AS total FROM pr JOIN g USING (year, market) WHERE complete GROUP BY 1, 2""")
+SELECT CAST(year AS INT) AS year, market, count(*) AS labels, round(sum(value), 6) AS total FROM pr JOIN g USING (year, market) WHERE complete GROUP BY 1, 2""")
 def sealed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels per year and market, of those groups only whose predictions are all there."""
     *_, rows = _accounts(spark, sf_dir)
     made = rows.where("not (market = 'AMERICA' and security % 50 = 1 and year % 2 = 1) and not (market = 'ASIA' and year > 1996)").withColumn("prediction", F.lit(0.0))
     shown = audits.sealed(rows, rows, made, ["year", "market"])
-    return shown.groupBy("year", "market").agg(F.count("*").alias("labels"), F.round(F.sum("value"), 4).alias("total"))
+    return shown.groupBy("year", "market").agg(F.count("*").alias("labels"), F.round(F.sum("value"), 6).alias("total"))
