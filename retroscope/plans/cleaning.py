@@ -52,7 +52,7 @@ _Z = ["momentum_z", "momentum_std", "volume_z", "volume_std"]
 @query(f"""{RETURNS}, x AS (SELECT * FROM r WHERE momentum IS NOT NULL), t AS (SELECT * FROM x WHERE session < DATE '1997-01-01'),
 s AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS p_{c}, stddev_samp({c}) AS s_{c}" for c in ("momentum", "volume"))} FROM t),
 z AS (SELECT security, session, {", ".join(f"greatest(-5, least(5, ({c} - m_{c}) / greatest(p_{c}, 1e-4))) AS {c}_z, ({c} - m_{c}) / CASE WHEN s_{c} < 1e-6 THEN 1 ELSE s_{c} END AS {c}_std" for c in ("momentum", "volume"))} FROM x, s)
-SELECT security, year(session) AS year, count(*) AS rows, {", ".join(f"round(avg({c}), 6) AS {c}" for c in _Z)}, count(*) FILTER (abs(momentum_z) >= 5 OR abs(volume_z) >= 5) AS clipped FROM z GROUP BY 1, 2""")
+SELECT security, CAST(year(session) AS INT) AS year, count(*) AS rows, {", ".join(f"round(avg({c}), 6) AS {c}" for c in _Z)}, count(*) FILTER (abs(momentum_z) >= 5 OR abs(volume_z) >= 5) AS clipped FROM z GROUP BY 1, 2""")
 def frozen_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled values of a security and year, by the numbers of the training sessions; `operators.cleaning.scaled` gives each row's."""
     rows = cleaning.scaled(returns(spark, sf_dir).where("momentum is not null"), ["momentum", "volume"], F.col("session") < F.lit("1997-01-01").cast("date"))
@@ -229,7 +229,7 @@ def utc_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{RETURNS}, w AS (SELECT security, session, close, CASE WHEN ordinal % 5 = 0 THEN NULL ELSE volume END AS volume FROM r), v AS (SELECT security, session, volume, sector FROM r WHERE ordinal % 3 = 0)
-SELECT w.security, year(w.session) AS year, count(*) AS rows, count(v.security) AS matched, count(coalesce(w.volume, v.volume)) AS known, CAST(sum(coalesce(w.volume, v.volume)) AS BIGINT) AS volume, round(sum(w.close), 4) AS close, count(v.sector) AS sectors FROM w LEFT JOIN v USING (security, session) GROUP BY 1, 2""")
+SELECT w.security, CAST(year(w.session) AS INT) AS year, count(*) AS rows, count(v.security) AS matched, count(coalesce(w.volume, v.volume)) AS known, CAST(sum(coalesce(w.volume, v.volume)) AS BIGINT) AS volume, round(sum(w.close), 4) AS close, count(v.sector) AS sectors FROM w LEFT JOIN v USING (security, session) GROUP BY 1, 2""")
 def coalesced_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left join on unique keys whose shared column takes the right side's value where the left has none, summed per year."""
     rows = returns(spark, sf_dir)
