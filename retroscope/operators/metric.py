@@ -77,7 +77,7 @@ def _gradient(weights: np.ndarray, temperature: float, preserve: float) -> Calla
 
 @dataclass
 class Fitted:
-    weights: np.ndarray
+    weights: np.ndarray  # per number of the vector, or a projection
     losses: list[float]
 
 
@@ -107,6 +107,103 @@ def fit_diagonal(rows: DataFrame, size: int, steps: int, rate: float = 0.05, tem
     return Fitted(s / s.mean(), losses)
 
 
+def principal(rows: DataFrame, column: str, size: int, rank: int) -> np.ndarray:
+    """The rank directions (size x rank) in which the vectors' squares sum up most, the largest number of each positive.
+
+    The sums of products of each two numbers come from one pass; the driver gets size * (size + 1) / 2 of them.
+    """
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((size, size))
+        for batch in batches:
+            x = pc.list_flatten(batch.column(0)).to_numpy(zero_copy_only=False).reshape(-1, size)
+            held += x.T @ x
+        i, j = np.tril_indices(size)
+        yield pa.RecordBatch.from_arrays([pa.array(i * size + j, pa.int64()), pa.array(held[i, j])], names=["place", "value"])
+
+    gram = np.zeros((size, size))
+    for r in rows.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>")).mapInArrow(products, "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
+        gram[divmod(r.place, size)] = gram[divmod(r.place, size)[::-1]] = r.value
+    found = np.linalg.eigh(gram)[1][:, ::-1][:, :rank]
+    return found * np.where(found[np.abs(found).argmax(axis=0), np.arange(found.shape[1])] < 0, -1.0, 1.0)
+
+
+def vectors(found: DataFrame, queries: DataFrame, memory: DataFrame, outcomes: list[str]) -> DataFrame:
+    """As `examples`, with the vectors themselves: query_id, vector, own, near (the candidates' vectors), theirs."""
+    mine = queries.select("query_id", "vector", F.array(*outcomes).alias("own"))
+    other = memory.select("record_id", F.col("vector").alias("_m"), F.array(*outcomes).alias("theirs"))
+    listed = found.select("query_id", "record_id").join(other, "record_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("record_id", "_m", "theirs"))).alias("_c"))
+    return listed.join(mine, "query_id").select("query_id", "vector", "own", F.transform("_c", lambda c: c["_m"]).alias("near"), F.transform("_c", lambda c: c["theirs"]).alias("theirs"))
+
+
+#: How much each outcome's difference counts in the distance of two records' outcomes.
+OUTCOME_SHARES = (1.0, 0.5, 0.25)
+
+
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    length = np.maximum(np.sqrt((x * x).sum(axis=-1, keepdims=True)), 1e-4)
+    return x / length, length
+
+
+def low_rank_loss(projection: np.ndarray, vector: np.ndarray, own: np.ndarray, near: np.ndarray, theirs: np.ndarray, temperature: float, preserve: float, ranked: float) -> tuple[float, np.ndarray]:
+    """Loss of one query and its gradient by the projection."""
+    (zq, lq), (zm, lm) = _unit(vector @ projection), _unit(near @ projection)
+    gap, plain = zq - zm, vector - near
+    away = np.sqrt(np.maximum((gap * gap).sum(axis=1), 1e-24))
+    s, t = _soft(-away / temperature), _soft(-np.sqrt((plain * plain).sum(axis=1)) / temperature)
+    o = _soft(-(np.abs(theirs - own) * np.array(OUTCOME_SHARES[: own.size])).sum(axis=1) / temperature)
+    said = s @ theirs
+    e = said - own
+    loss = np.where(np.abs(e) < 1, 0.5 * e * e, np.abs(e) - 0.5).mean()
+    loss += preserve * (t * np.log(np.maximum(t, 1e-300) / np.maximum(s, 1e-300))).sum() + ranked * (o * np.log(np.maximum(o, 1e-300) / np.maximum(s, 1e-300))).sum()
+    by_score = s * ((theirs - said) @ np.clip(e, -1, 1)) / e.size + preserve * (s - t) + ranked * (s - o)
+    by_gap = (-by_score / (temperature * away))[:, None] * gap
+
+    def back(d: np.ndarray, z: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """From the unit vector to what was divided by its length; a shorter one was divided by 1e-4."""
+        return np.where(length > 1e-4, d - z * (z * d).sum(axis=-1, keepdims=True), d) / length
+
+    grad = np.outer(vector, back(by_gap.sum(axis=0), zq, lq)) + near.T @ back(-by_gap, zm, lm)
+    return float(loss), grad
+
+
+def fit_low_rank(rows: DataFrame, start: np.ndarray, steps: int, rate: float = 0.05, temperature: float = 0.5, preserve: float = 0.1, ranked: float = 0.1, decay: float = 0.0, clip: float = 5.0) -> Fitted:
+    """A projection (size x rank) for `transformed`, by Adam from `start` on all rows of `vectors` at once.
+
+    The loss of a query is that of `fit_diagonal`, with distances of projected vectors of length 1, and ranked times the
+    divergence from the softmax of the outcomes' distances. A partition adds up its gradients; size * rank sums reach
+    the driver a step, and the projection goes with the next step's tasks. With no query it stays as it was.
+    """
+    theta = np.array(start, float)
+    size, rank = theta.shape
+    m, v, losses = np.zeros_like(theta), np.zeros_like(theta), []
+
+    def sums(now: np.ndarray) -> Callable:
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, loss, grad = 0, 0.0, np.zeros_like(now)
+            for batch in batches:
+                for vector, own, near, theirs in zip(*(batch.column(c) for c in ("vector", "own", "near", "theirs")), strict=True):
+                    x = pc.list_flatten(near.values).to_numpy().reshape(-1, size)
+                    y = pc.list_flatten(theirs.values).to_numpy().reshape(len(x), -1)
+                    one, slope = low_rank_loss(now, vector.values.to_numpy(), own.values.to_numpy(), x, y, temperature, preserve, ranked)
+                    n, loss, grad = n + 1, loss + one, grad + slope
+            yield pa.RecordBatch.from_arrays([pa.array(range(-2, grad.size), pa.int64()), pa.array([float(n), loss, *grad.ravel()])], names=["place", "value"])
+
+        return of
+
+    for step in range(1, steps + 1):
+        got = {r.place: r.value for r in rows.mapInArrow(sums(theta), "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()}
+        if not got.get(-2):
+            break
+        losses.append(got[-1] / got[-2])
+        g = np.array([got[i] for i in range(theta.size)]).reshape(size, rank) / got[-2]
+        g *= min(1.0, clip / (np.linalg.norm(g) + 1e-6))
+        g += decay * theta
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return Fitted(theta, losses)
+
+
 def kernel_error(near: DataFrame, outcomes: list[str]) -> DataFrame:
     """queries, error: mean absolute error of the outcomes' means among `near` (query_id, distance, the outcomes, and own_ of each),
     weighed by a Gaussian of the distance in units of the query's median distance."""

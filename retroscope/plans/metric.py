@@ -95,6 +95,73 @@ def metric_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_rows(parts[0].unionByName(parts[1]), ["metric", "queries"], ["error"])
 
 
+RANK, RANK_STEPS, RANKED = 4, 3, 0.1
+
+
+def _start() -> np.ndarray:
+    """Signs by a fixed rule, over the root of the size: a start that SQL can write too."""
+    i, k = np.mgrid[0:SIZE, 0:RANK]
+    return np.where((i * (2 * k + 3) + k) % 7 < 4, 1.0, -1.0) / 8
+
+
+def _low_rank_sql() -> str:
+    z = "list_transform(pl, lambda p: list_dot_product(embedding, p))"
+    soft = "exp(-({x}) / {t}::DOUBLE) / sum(exp(-({x}) / {t}::DOUBLE)) OVER (PARTITION BY q)"
+    outcome = " + ".join(f"{share}::DOUBLE * abs(m.{k} - q.{k})" for k, share in zip(_Y, metric.OUTCOME_SHARES, strict=True))
+    apart = "list_sum(list_transform(list_zip(q.embedding, m.embedding), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [f"lp AS MATERIALIZED (SELECT q.vec_id AS q, m.vec_id AS r, sqrt({apart}) AS plain, {outcome} AS seen, {', '.join(f'm.{k} AS y_{k}, q.{k} AS o_{k}' for k in _Y)} FROM v q JOIN v m ON m.vec_id + 63 <= q.vec_id AND m.label <> q.label WHERE q.vec_id % 200 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {apart}, m.vec_id) <= {NEAR})",
+             f"lt AS MATERIALIZED (SELECT *, {soft.format(x='plain', t=TEMPERATURE)} AS t, {soft.format(x='seen', t=TEMPERATURE)} AS o FROM lp)",
+             f"w0 AS (SELECT i, k, CASE WHEN (i * (2 * k + 3) + k) % 7 < 4 THEN 0.125::DOUBLE ELSE -0.125::DOUBLE END AS th, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS v FROM range({SIZE}) a(i), range({RANK}) b(k))"]
+    for s in range(RANK_STEPS):
+        error = "(y_{0} - p_{0}) * g_{0}"
+        parts += [
+            f"b{s} AS MATERIALIZED (SELECT list(p ORDER BY k) AS pl FROM (SELECT k, list(th ORDER BY i) AS p FROM w{s} GROUP BY k))",
+            f"u{s} AS MATERIALIZED (SELECT vec_id, embedding, z, greatest(sqrt(list_dot_product(z, z)), 1e-4) AS len FROM (SELECT vec_id, embedding, {z} AS z FROM v, b{s}))",
+            f"z{s} AS MATERIALIZED (SELECT vec_id, embedding, len, list_transform(z, lambda x: x / len) AS z FROM u{s})",
+            f"e{s} AS MATERIALIZED (SELECT lt.*, list_transform(list_zip(a.z, b.z), lambda z: z[1] - z[2]) AS gap FROM lt JOIN z{s} a ON a.vec_id = q JOIN z{s} b ON b.vec_id = r)",
+            f"f{s} AS MATERIALIZED (SELECT *, sqrt(greatest(list_dot_product(gap, gap), 1e-24)) AS away FROM e{s})",
+            f"x{s} AS MATERIALIZED (SELECT *, {soft.format(x='away', t=TEMPERATURE)} AS s FROM f{s})",
+            f"h{s} AS (SELECT q, {', '.join(f'sum(s * y_{k}) AS p_{k}, greatest(-1, least(1, sum(s * y_{k}) - any_value(o_{k}))) AS g_{k}' for k in _Y)} FROM x{s} GROUP BY 1)",
+            f"c{s} AS MATERIALIZED (SELECT x.q, x.r, x.gap, -(s * ({' + '.join(error.format(k) for k in _Y)}) / 3 + {PRESERVE}::DOUBLE * (s - t) + {RANKED}::DOUBLE * (s - o)) / ({TEMPERATURE}::DOUBLE * away) AS c FROM x{s} x JOIN h{s} USING (q))",
+            f"d{s} AS MATERIALIZED (SELECT vec_id, k, sum(d) AS d FROM (SELECT q AS vec_id, k, c * gap[k + 1] AS d FROM c{s}, range({RANK}) t(k) UNION ALL SELECT r, k, -c * gap[k + 1] FROM c{s}, range({RANK}) t(k)) GROUP BY 1, 2)",
+            f"l{s} AS MATERIALIZED (SELECT d.vec_id, k, (d - z[k + 1] * sum(d * z[k + 1]) OVER (PARTITION BY d.vec_id)) / len AS d, embedding FROM d{s} d JOIN z{s} z USING (vec_id))",
+            f"g{s} AS (SELECT i, k, sum(embedding[i + 1] * d) / (SELECT count(*) FROM h{s}) AS g FROM l{s}, range({SIZE}) t(i) GROUP BY 1, 2)",
+            f"k{s} AS (SELECT i, k, th, m, v, g * least(1, 5.0::DOUBLE / (sqrt(sum(g * g) OVER ()) + 1e-6)) AS g FROM w{s} JOIN g{s} USING (i, k))",
+            f"a{s} AS (SELECT i, k, th, 0.9::DOUBLE * m + 0.1::DOUBLE * g AS m, 0.999::DOUBLE * v + 0.001::DOUBLE * g * g AS v FROM k{s})",
+            f"w{s + 1} AS MATERIALIZED (SELECT i, k, th - {RATE}::DOUBLE * (m / {1 - 0.9 ** (s + 1)!r}::DOUBLE) / (sqrt(v / {1 - 0.999 ** (s + 1)!r}::DOUBLE) + 1e-8) AS th, m, v FROM a{s})",
+        ]
+    return ", ".join(parts)
+
+
+def _low_rank(queries: DataFrame, rows: DataFrame, start: np.ndarray) -> metric.Fitted:
+    fit = queries.where(_even(0))
+    return metric.fit_low_rank(cut(metric.vectors(_found(fit, rows, NEAR), fit, rows, OUTCOMES)), start, RANK_STEPS, RATE, TEMPERATURE, PRESERVE, RANKED)
+
+
+@query(f"{_STANDARD}, {_low_rank_sql()} SELECT CAST(i AS INT) AS number, CAST(k AS INT) AS direction, round(th, 6) AS weight FROM w{RANK_STEPS}")
+def low_rank_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A projection to few numbers in which near records have near outcomes, after some steps from fixed signs on every second query."""
+    fitted = _low_rank(*_standard(spark, sf_dir), _start())
+    cells = [(i, k, float(w)) for i, row in enumerate(fitted.weights) for k, w in enumerate(row)]
+    return rounded_rows(spark.createDataFrame(cells, "number int, direction int, weight double"), ["number", "direction"], ["weight"])
+
+
+@query()
+def low_rank_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other queries' error with 25 neighbors by plain distances, by the largest principal directions, and by the projection fitted from them."""
+    queries, rows = _standard(spark, sf_dir)
+    first = metric.principal(rows, "vector", SIZE, RANK)
+    fitted = _low_rank(queries, rows, first).weights
+    none, one = np.zeros(SIZE), np.ones(SIZE)
+    held, parts = queries.where(_even(1)), []
+    for name, projection in (("plain", None), ("principal", first), ("fitted", fitted)):
+        asked, bank = (metric.transformed(df, "vector", none, one, projection=projection) for df in (held, rows))
+        near = _found(asked, bank, 25).select("query_id", "record_id", "distance").join(rows.select("record_id", *OUTCOMES), "record_id")
+        near = near.join(held.select("query_id", *(F.col(o).alias(f"own_{o}") for o in OUTCOMES)), "query_id")
+        parts.append(metric.kernel_error(near, OUTCOMES).withColumn("metric", F.lit(name)))
+    return rounded_rows(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["metric", "queries"], ["error"])
+
+
 _UNITS = 16
 _ERF = "(((((1.061405429::DOUBLE * t - 1.453152027::DOUBLE) * t + 1.421413741::DOUBLE) * t - 0.284496736::DOUBLE) * t + 0.254829592::DOUBLE) * t * exp(-x * x / 2))"
 
