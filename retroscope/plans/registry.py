@@ -390,4 +390,4 @@ def event_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity(panel.table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from retroscope.plans import analytics, cleaning, cycles, decisions, diagnostics, evidence, metric, metrics, models, resampling, selection, states  # noqa: E402, F401  (they register their queries)
+from retroscope.plans import analytics, baselines, cleaning, cycles, decisions, diagnostics, evidence, metric, metrics, models, resampling, selection, states  # noqa: E402, F401  (they register their queries)
