@@ -166,19 +166,28 @@ def block_sums(series: DataFrame, block: int, by: list[str]) -> DataFrame:
     return both.select(*by, F.col("position").alias("start"), "size", "n", *((F.col(f"_{k}") - F.col(k)).alias(k) for k in parts))
 
 
-def moving_block_pairs(series: DataFrame, block: int, draws: int, seed: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, draw (null: the series itself), annualized_return and sharpe of a less those of b, with moving blocks of sessions that both share.
+def moving_blocks(series: DataFrame, block: int, draws: int, seed: str) -> DataFrame:
+    """draw, n, place, start, size: blocks of sessions that start anywhere where they fit, the last one of a draw cut to the length n.
 
-    A block starts anywhere where it fits; the last one is cut to the length of the series. Series of one length have the same draws.
+    Series of one length have the same draws.
     """
-    by = list(by)
     size = F.least(F.lit(block).cast("bigint"), F.col("n"))
     grid = _grid(series.sparkSession, draws).crossJoin(F.broadcast(series.select("n").distinct())).withColumn("_b", size).withColumn("place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / F.col("_b")) - 1)))
-    grid = grid.select("draw", "n", hashed(F.col("n") - F.col("_b") + 1, F.lit(seed), "draw", "place").alias("start"), F.least(F.col("_b"), F.col("n") - F.col("place") * F.col("_b")).alias("size"))
-    drawn = grid.join(F.broadcast(block_sums(series, block, by)), ["n", "start", "size"]).groupBy(*by, "draw").agg(F.sum("size").alias("m"), *(F.sum(c).alias(c) for c in ("a", "b", "aa", "bb")))  # rows per session
+    return grid.select("draw", "n", "place", hashed(F.col("n") - F.col("_b") + 1, F.lit(seed), "draw", "place").alias("start"), F.least(F.col("_b"), F.col("n") - F.col("place") * F.col("_b")).alias("size"))
+
+
+def block_pairs(series: DataFrame, blocks: DataFrame, block: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, draw (null: the series itself), annualized_return and sharpe of a less those of b, for given `moving_blocks`."""
+    by = list(by)
+    drawn = blocks.join(F.broadcast(block_sums(series, block, by)), ["n", "start", "size"]).groupBy(*by, "draw").agg(F.sum("size").alias("m"), *(F.sum(c).alias(c) for c in ("a", "b", "aa", "bb")))  # rows per session
     parts = (("a", F.col("a")), ("b", F.col("b")), ("aa", F.col("a") * F.col("a")), ("bb", F.col("b") * F.col("b")))
     whole = series.groupBy(*by).agg(F.lit(None).cast("bigint").alias("draw"), F.count("*").alias("m"), *(F.sum(x).alias(k) for k, x in parts))
     m = F.col("m")
     deviation = lambda k: F.sqrt(F.greatest(F.col(k * 2) - F.col(k) * F.col(k) / m, F.lit(0.0)) / (m - 1))
     ratio = lambda k: F.when(deviation(k) <= 1e-12, 0.0).otherwise(F.col(k) / m / deviation(k) * 252**0.5)
     return drawn.unionByName(whole).select(*by, "draw", ((F.col("a") - F.col("b")) / m * 252).alias("annualized_return"), (ratio("a") - ratio("b")).alias("sharpe"))
+
+
+def moving_block_pairs(series: DataFrame, block: int, draws: int, seed: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """`block_pairs` for drawn `moving_blocks`."""
+    return block_pairs(series, moving_blocks(series, block, draws, seed), block, by)

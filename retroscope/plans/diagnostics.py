@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from retroscope.functions.stored import place
 from retroscope.functions.windows import by_time
-from retroscope.operators import confidence, diagnostics, features, labels, resampling, retrieval
+from retroscope.operators import confidence, diagnostics, features, labels, replay, resampling, retrieval
 from retroscope.plans.common import BARS, RETURNS, W, full, over, query, rank, returns, rounded_rows
 from retroscope.plans.cycles import _DETECTED, _EVENTS, _detected, walk
 from retroscope.plans.neighbors import GREEDY, constrained, memory
@@ -195,6 +196,15 @@ def moving_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_rows(rows, ["metric"], ["observed", "low", "high", "positive", "p"])
 
 
+@query(f"""{_PAIR}, nn AS (SELECT count(*) AS n FROM ser) SELECT 'digests' AS rule, CAST(4 AS BIGINT) AS evaluated, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'blocks', {_DRAWS}, 0 FROM nn WHERE n > 0
+UNION ALL SELECT 'draws', 2 * ({_DRAWS} + 1), 0 FROM nn WHERE n > 0 UNION ALL SELECT 'contrasts', 12, 0 UNION ALL SELECT 'identity', 1, 0""")
+def bundle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block bootstrap, written as a bundle and worked out again from what was written."""
+    path = place(spark, "bundle")
+    replay.export(_pair(spark, sf_dir), path, _BLOCK, _DRAWS, "mb")
+    return replay.replay(spark, path, _BLOCK)
+
+
 @query(f"""{_KNOWN}, s AS (SELECT session, security, greatest(-2, least(2, round(momentum, 9))) AS s, greatest(-2, least(2, round(future, 9))) AS u FROM x), t AS (SELECT *, greatest(0, max(s) OVER (PARTITION BY session)) AS top, count(*) FILTER (u > 0.01) OVER (PARTITION BY session) AS many, row_number() OVER (PARTITION BY session ORDER BY CASE WHEN u > 0.01 THEN u END DESC NULLS LAST, security) AS place FROM s),
 e AS (SELECT *, exp((s - top) / 0.5) AS e, exp((0 - top) / 0.5) AS c, u > 0.01 AND place <= 3 AS chosen FROM t), w AS (SELECT *, e / (sum(e) OVER (PARTITION BY session) + c) AS predicted, c / (sum(e) OVER (PARTITION BY session) + c) AS cash, least(1, many / 3.0) AS wanted, CASE WHEN chosen THEN exp(u / 0.5) / sum(CASE WHEN chosen THEN exp(u / 0.5) END) OVER (PARTITION BY session) ELSE 0 END AS part FROM e),
 d AS (SELECT session, any_value(1 - cash) AS exposure, any_value(wanted) AS wanted, -(any_value((1 - wanted) * ln(cash)) + sum(CASE WHEN part > 0 THEN wanted * part * ln(predicted) ELSE 0 END)) AS allocation_loss, greatest(0, sum(wanted * part * u) - sum(predicted * u)) AS regret FROM w WHERE cash > 0 GROUP BY 1)
