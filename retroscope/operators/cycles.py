@@ -9,9 +9,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retroscope.functions.arrays import dot
+from retroscope.operators.metric import normal_share
+
 CANDIDATES = "security bigint, start_idx bigint, peak_idx bigint, end_idx bigint, peak_return double, end_return double, required double, drawdown double, volatility double, score double"
 
 
@@ -102,6 +105,40 @@ def best_per_start(found: DataFrame) -> DataFrame:
     return found.groupBy("security", "start_idx").agg(top.alias("c")).select("security", "start_idx", "c.*")
 
 
+def learned_scores(found: DataFrame, features: list[Column], layers: DataFrame) -> DataFrame:
+    """found with score, from 0 to 1, by a small network of the features.
+
+    layers: layer (from 0), unit, weights (one per input) and bias; between layers the outputs are x * P(normal < x), and the
+    last layer has one unit, whose sigmoid is the score. A table of a bounded number of units, sent to all rows as one array.
+    Missing features count as 0.
+    """
+    one = layers.agg(F.array_sort(F.collect_list(F.struct("layer", "unit", "weights", "bias"))).alias("_units"))
+    depth = layers.agg(F.max("layer")).first()[0]
+    if depth is None:
+        raise ValueError("no layers")
+    x = F.array(*(F.coalesce(f.cast("double"), F.lit(0.0)) for f in features))
+    for layer in range(depth + 1):
+
+        def through(inputs: Column, layer: int = layer) -> Column:
+            out = F.transform(F.filter("_units", lambda u: u["layer"] == layer), lambda u: dot(inputs, u["weights"]) + u["bias"])
+            return F.transform(out, lambda v: v * normal_share(v)) if layer < depth else out
+
+        x = F.get(F.transform(F.array(x), lambda inputs: through(inputs)), 0)  # noqa: B023  (bound once, not worked out per unit)
+    return found.crossJoin(F.broadcast(one)).withColumn("score", 1 / (1 + F.exp(-F.get(x, 0)))).drop("_units")
+
+
+def undominated(spans: DataFrame) -> DataFrame:
+    """Spans (security, start_idx, end_idx, score) that `without_overlap` can take: of a start, those that score higher than every shorter one.
+
+    Nothing is lost: what meets the shorter, better span meets the longer one too, so when the longer one's turn comes
+    either the shorter one or what kept it out is in its way. A start has a row per length at most.
+    """
+    one = spans.groupBy("security", "start_idx", "end_idx").agg(F.max("score").alias("score"))
+    shorter = Window.partitionBy("security", "start_idx").orderBy("end_idx").rowsBetween(Window.unboundedPreceding, -1)
+    score = F.round("score", 9)
+    return one.withColumn("_b", F.max(score).over(shorter)).where(F.col("_b").isNull() | (score > F.col("_b"))).drop("_b")
+
+
 def without_overlap(spans: DataFrame) -> DataFrame:
     """Spans (security, start_idx, end_idx, score) taken from the best score down, each where it meets none taken before."""
     listed = F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("k"), "start_idx", "end_idx")))

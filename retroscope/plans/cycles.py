@@ -82,6 +82,49 @@ def selected_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded_rows(cycles.without_overlap(found), ["security", "start_idx", "end_idx"], ["score"])
 
 
+#: The scorer's inputs, and its layers' sizes; parameters are numbers of the first vectors.
+_INPUTS = ["peak_return", "end_return", "required", "drawdown", "volatility", "score"]
+_SIZES = (8, 4, 1)
+_GELU = "{x} * CASE WHEN {x} >= 0 THEN 1 - ({p}) / 2 ELSE ({p}) / 2 END"
+_TAIL = "((((1.061405429::DOUBLE * {t} - 1.453152027::DOUBLE) * {t} + 1.421413741::DOUBLE) * {t} - 0.284496736::DOUBLE) * {t} + 0.254829592::DOUBLE) * {t} * exp(-{x} * {x} / 2)"
+
+
+def _layer_sql(layer: int, size: int, width: int, skip: int, last: bool) -> str:
+    """Outputs o{layer} of a layer from the lists in o{layer - 1}; its units are the vectors from number skip on."""
+    t = "(1 / (1 + 0.3275911::DOUBLE * abs(x) / sqrt(2)))"
+    value = "x" if last else _GELU.format(x="x", p=_TAIL.format(x="x", t=t))
+    units = f"SELECT row_number() OVER (ORDER BY vec_id) - 1 AS unit, list_transform(embedding[1:{width}], lambda z: CAST(z AS DOUBLE)) AS w, CAST(embedding[{width + 1}] AS DOUBLE) AS b FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT {size} OFFSET {skip})"
+    return f"o{layer} AS MATERIALIZED (SELECT security, start_idx, peak_idx, list({value} ORDER BY unit) AS x FROM (SELECT o.security, o.start_idx, o.peak_idx, unit, list_dot_product(o.x, w) + b AS x FROM o{layer - 1} o, ({units})) GROUP BY 1, 2, 3)"
+
+
+def _learned_sql() -> str:
+    out, skip, width = [f"o0 AS MATERIALIZED (SELECT security, start_idx, peak_idx, list_value({', '.join(_INPUTS)}) AS x FROM cand)"], 0, len(_INPUTS)
+    for i, size in enumerate(_SIZES, 1):
+        out.append(_layer_sql(i, size, width, skip, i == len(_SIZES)))
+        skip, width = skip + size, size
+    return ", ".join(out) + f", top0 AS MATERIALIZED (SELECT c.* EXCLUDE (score), round(1 / (1 + exp(-o.x[1])), 9) AS score FROM cand c JOIN o{len(_SIZES)} o USING (security, start_idx, peak_idx))"
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = panel.table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(sum(_SIZES)).withColumn("_n", F.row_number().over(Window.orderBy("vec_id")) - 1)  # a row per unit
+    parts, skip, width = [], 0, len(_INPUTS)
+    for i, size in enumerate(_SIZES):
+        own = vectors.where((F.col("_n") >= skip) & (F.col("_n") < skip + size))
+        parts.append(own.select(F.lit(i).alias("layer"), (F.col("_n") - skip).alias("unit"), F.slice("embedding", 1, width).cast("array<double>").alias("weights"), F.get("embedding", width).cast("double").alias("bias")))
+        skip, width = skip + size, size
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""{_candidates_sql(0.10)}, {_learned_sql()}, l AS (SELECT security, list([{{'k': -score, 's': start_idx, 'e': end_idx}}] ORDER BY -score, start_idx, end_idx) AS c FROM top0 GROUP BY security),
+f AS (SELECT security, unnest(list_reduce(list_prepend(c[1][1:0], c), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s <= x[1].e AND x[1].s <= y.e)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS x FROM l)
+SELECT security, x.s AS start_idx, x.e AS end_idx, round(-x.k, 6) AS score FROM f""")
+def learned_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates scored by a small network whose parameters are read from a table, taken from the best down where they meet none taken before."""
+    found = cycles.candidates(walk(spark, sf_dir), least_return=0.10)
+    scored = cycles.learned_scores(found, [F.col(c) for c in _INPUTS], _layers(spark, sf_dir))
+    return rounded_rows(cycles.without_overlap(cycles.undominated(scored)), ["security", "start_idx", "end_idx"], ["score"])
+
+
 @query(f"""{_DETECTED}, i AS (SELECT *, row_number() OVER (PARTITION BY security ORDER BY start_idx) - 1 AS id FROM found)
 SELECT w.security, w.ordinal, CAST(coalesce(id, -1) AS INT) AS cycle, CASE WHEN id IS NULL THEN 0 WHEN w.ordinal = start_idx THEN 1 WHEN w.ordinal = end_idx THEN 3 ELSE 2 END AS action,
   round(CASE WHEN id IS NULL OR start_idx = end_idx THEN 0 ELSE (w.ordinal - start_idx) / (end_idx - start_idx) END, 6) AS progress, peak_idx - w.ordinal AS lead_to_peak
