@@ -52,13 +52,11 @@ _Z = ["momentum_z", "momentum_std", "volume_z", "volume_std"]
 @query(f"""{RETURNS}, x AS (SELECT * FROM r WHERE momentum IS NOT NULL), t AS (SELECT * FROM x WHERE session < DATE '1997-01-01'),
 s AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS p_{c}, stddev_samp({c}) AS s_{c}" for c in ("momentum", "volume"))} FROM t),
 z AS (SELECT security, session, {", ".join(f"greatest(-5, least(5, ({c} - m_{c}) / greatest(p_{c}, 1e-4))) AS {c}_z, ({c} - m_{c}) / CASE WHEN s_{c} < 1e-6 THEN 1 ELSE s_{c} END AS {c}_std" for c in ("momentum", "volume"))} FROM x, s)
-SELECT security, CAST(year(session) AS INT) AS year, count(*) AS rows, {", ".join(f"round(avg({c}), 6) AS {c}" for c in _Z)}, count(*) FILTER (abs(momentum_z) >= 5 OR abs(volume_z) >= 5) AS clipped FROM z GROUP BY 1, 2""")
+SELECT security, session, {round_sql(_Z)} FROM z""")
 def frozen_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scaled values of a security and year, by the numbers of the training sessions; `operators.cleaning.scaled` gives each row's."""
+    """Every bar's values scaled by the numbers of the training sessions."""
     rows = cleaning.scaled(returns(spark, sf_dir).where("momentum is not null"), ["momentum", "volume"], F.col("session") < F.lit("1997-01-01").cast("date"))
-    clipped = (F.abs("momentum_z") >= 5) | (F.abs("volume_z") >= 5)
-    years = rows.groupBy("security", F.year("session").alias("year")).agg(F.count("*").alias("rows"), *(F.avg(c).alias(c) for c in _Z), F.count_if(clipped).alias("clipped"))
-    return rounded_rows(years, ["security", "year", "rows", "clipped"], _Z)
+    return rounded_rows(rows, ["security", "session"], _Z)
 
 
 @query("""WITH m AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM (SELECT unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 250) GROUP BY i),
