@@ -27,3 +27,15 @@ def test_every_bar_is_scaled_by_the_training_bars(spark, sf_dir):
         rows = [got[k] for k in zip(bars["security"], bars["session"], strict=True)]
         assert [r[f"{c}_z"] for r in rows] == pytest.approx(list(z), abs=2e-6)
         assert [r[f"{c}_std"] for r in rows] == pytest.approx(list(std), abs=2e-6)
+
+
+def test_every_bar_is_joined_and_filled(spark, sf_dir):
+    bars = returns(spark, sf_dir).select("security", "session", "ordinal", "close", "volume", "sector").collect()
+    want = {}
+    for r in bars:
+        there = r.ordinal % 3 == 0
+        volume = r.volume if r.ordinal % 5 or there else None
+        want[r.security, r.session] = (r.close, volume, r.sector if there else None, there)
+    assert {(v, s, m) for _, v, s, m in want.values() if v is None} == {(None, None, False)}
+    got = whole(spark, sf_dir, "coalesced_join", ["security", "session"])
+    assert {k: (r.close, r.volume, r.sector, r.matched) for k, r in got.items()} == want
