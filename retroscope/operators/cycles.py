@@ -16,6 +16,8 @@ from retroscope.functions.arrays import dot
 from retroscope.operators.metric import normal_share
 
 CANDIDATES = "security bigint, start_idx bigint, peak_idx bigint, end_idx bigint, peak_return double, end_return double, required double, drawdown double, volatility double, score double"
+#: Starts, or candidates, whose ways ahead are compared at once.
+_BLOCK = 256
 
 
 def _context(price: np.ndarray, window: int = 21) -> tuple[np.ndarray, np.ndarray]:
@@ -28,74 +30,67 @@ def _context(price: np.ndarray, window: int = 21) -> tuple[np.ndarray, np.ndarra
     return spread.fillna(good(all_spread, 0.02)).to_numpy(), size.fillna(good(all_size, 0.01)).to_numpy()
 
 
-def _of_start(price: np.ndarray, spread: np.ndarray, size: np.ndarray, s: int, shortest: int, longest: int, least_return: float) -> pd.DataFrame | None:
-    """All candidates that begin at s: peaks not below any price from the shortest duration on, high enough for how the
-    price moves, without too deep a fall before, each with the end of the first breakdown after it."""
-    stop = min(price.size - 1, s + longest)
-    ahead = price[s : stop + 1] / price[s]
-    peaks = np.arange(shortest, ahead.size)
-    if not peaks.size:
-        return None
-    top = np.maximum.accumulate(np.concatenate(([1.0], ahead[shortest:])))[:-1]
-    root = np.sqrt(peaks)
-    required = np.maximum(max(least_return, 0.10), size[s] * 1.5 * root + spread[s] * 0.75 * root)
-    fall = np.minimum.accumulate(ahead)[shortest:] - 1
-    soft = max(0.05, 2 * spread[s])
-    hard = max(0.12, soft * 1.75)
-    ok = np.flatnonzero((ahead[shortest:] >= top) & (ahead[shortest:] - 1 >= required) & (fall >= -hard))
-    if not ok.size:
-        return None
-    peak, required, fall, gain = peaks[ok], required[ok], fall[ok], ahead[peaks[ok]] - 1
-    limit, end = max(0.12, 2 * spread[s]), peak.copy()
-    for i, p in enumerate(peak):
-        broken = np.flatnonzero(ahead[p + 1 :] / ahead[p] - 1 <= -limit)
-        if broken.size:
-            end[i] = p + 1 + broken[0]
+def _of_starts(price: np.ndarray, spread: np.ndarray, size: np.ndarray, starts: np.ndarray, shortest: int, longest: int, least_return: float) -> pd.DataFrame:
+    """All candidates that begin at a block of starts: peaks not below any price from the shortest duration on, high enough for
+    how the price moves, without too deep a fall before, each with the end of the first breakdown after it."""
+    ahead = np.lib.stride_tricks.sliding_window_view(np.append(price, np.full(longest, np.nan)), longest + 1)[starts] / price[starts, None]  # a row per start
+    spread, size, peaks = spread[starts], size[starts], np.arange(shortest, longest + 1)
+    top = np.maximum.accumulate(np.hstack((np.ones((starts.size, 1)), ahead[:, shortest:-1])), axis=1)
+    row, i = np.nonzero(ahead[:, shortest:] >= top)
+    gain, fall, root = ahead[row, i + shortest] - 1, np.minimum.accumulate(ahead, axis=1)[row, i + shortest] - 1, np.sqrt(peaks[i])
+    required = np.maximum(max(least_return, 0.10), size[row] * 1.5 * root + spread[row] * 0.75 * root)
+    soft = np.maximum(0.05, 2 * spread[row])
+    hard = np.maximum(0.12, soft * 1.75)
+    ok = np.flatnonzero((gain >= required) & (fall >= -hard))
+    row, peak, gain, fall, required, soft, hard = row[ok], peaks[i[ok]], gain[ok], fall[ok], required[ok], soft[ok], hard[ok]
+    high, limit, end = ahead[row, peak], np.maximum(0.12, 2 * spread[row]), peak.copy()
+    for a in range(0, row.size, _BLOCK):
+        part = slice(a, a + _BLOCK)
+        broken = (ahead[row[part]] / high[part, None] - 1 <= -limit[part, None]) & (np.arange(longest + 1) > peak[part, None])
+        first = broken.argmax(axis=1)
+        end[part] = np.where(first > 0, first, peak[part])
+    last = ahead[row, end]
     calm = np.where(fall >= -soft, 1.0, np.clip(1 - (-fall - soft) / (hard - soft), 0, 1))
-    held = np.clip((ahead[end] / ahead[peak] - 0.75) / 0.25, 0, 1)
+    held = np.clip((last / high - 0.75) / 0.25, 0, 1)
     score = 0.40 * np.clip(gain / (2 * required), 0, 1) + 0.24 * calm + 0.12 * held + 0.08 * np.clip(peak / longest, 0, 1) + 0.16 * 0.5
-    return pd.DataFrame({"start_idx": s, "peak_idx": s + peak, "end_idx": s + end, "peak_return": gain, "end_return": ahead[end] - 1, "required": required, "drawdown": fall, "volatility": spread[s], "score": score})
+    s = starts[row]
+    return pd.DataFrame({"start_idx": s, "peak_idx": s + peak, "end_idx": s + end, "peak_return": gain, "end_return": last - 1, "required": required, "drawdown": fall, "volatility": spread[row], "score": score})
 
 
-def _each(pick: Callable[[np.ndarray, np.ndarray, np.ndarray], list[pd.DataFrame]]):
+def _each(shortest: int, longest: int, least_return: float, pick: Callable[[pd.DataFrame], pd.DataFrame] = lambda found: found):
+    """What pick leaves of a security's candidates, which come by start and peak."""
+    names = [c.split()[0] for c in CANDIDATES.split(", ")]
+
     def of(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal")
-        price = rows["price"].to_numpy(float)
-        found = pick(price, *_context(price))
-        if not found:
-            return pd.DataFrame({c.split()[0]: pd.Series(dtype=c.split()[1].replace("bigint", "int64")) for c in CANDIDATES.split(", ")})
-        return pd.concat(found).assign(security=rows["security"].iloc[0])[[c.split()[0] for c in CANDIDATES.split(", ")]]
+        price = rows.sort_values("ordinal")["price"].to_numpy(float)
+        spread, size = _context(price)
+        starts = np.arange(max(price.size - shortest, 0))
+        blocks = [starts[a : a + _BLOCK] for a in range(0, max(starts.size, 1), _BLOCK)]
+        found = pd.concat([_of_starts(price, spread, size, b, shortest, longest, least_return) for b in blocks])
+        return pick(found).assign(security=rows["security"].iloc[0])[names]
 
     return of
 
 
 def candidates(prices: DataFrame, shortest: int = 21, longest: int = 252, least_return: float = 0.0) -> DataFrame:
     """prices (security, ordinal, price): every candidate cycle of every start, without thresholds on score."""
-
-    def pick(price, spread, size):
-        found = (_of_start(price, spread, size, s, shortest, longest, least_return) for s in range(price.size - shortest))
-        return [f for f in found if f is not None]
-
-    return prices.groupBy("security").applyInPandas(_each(pick), CANDIDATES)
+    return prices.groupBy("security").applyInPandas(_each(shortest, longest, least_return), CANDIDATES)
 
 
 def detect(prices: DataFrame, shortest: int = 21, longest: int = 252, least_return: float = 0.30, least_score: float = 0.58) -> DataFrame:
     """Cycles from left to right: the candidate of the latest peak that scores enough is taken, and the scan goes on
     after its end; where a start has none, at the next row."""
 
-    def pick(price, spread, size):
-        out, s = [], 0
-        while s < price.size - shortest:
-            found = _of_start(price, spread, size, s, shortest, longest, least_return)
-            found = None if found is None else found[found["score"] >= least_score]
-            if found is None or not len(found):
-                s += 1
-                continue
-            out.append(found.iloc[[-1]])
-            s = int(found["end_idx"].iloc[-1]) + 1
-        return out
-
-    return prices.groupBy("security").applyInPandas(_each(pick), CANDIDATES)
+    def pick(found):
+        found = found[found["score"] >= least_score].drop_duplicates("start_idx", keep="last")
+        taken, s = [], 0
+        for i, (start, end) in enumerate(zip(found["start_idx"], found["end_idx"], strict=True)):
+            if start >= s:
+                taken.append(i)
+                s = end + 1
+        return found.iloc[taken]
+
+    return prices.groupBy("security").applyInPandas(_each(shortest, longest, least_return, pick), CANDIDATES)
 
 
 def best_per_start(found: DataFrame) -> DataFrame:
