@@ -6,6 +6,7 @@ numbers, which the driver turns into centres that are sent to all tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -120,20 +121,50 @@ def members(states: DataFrame, key: str, count: int) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") <= count).select("state", "place", key, "distance")
 
 
-def smallest_draws(rows: DataFrame, key: str, value: str, n: int, draws: int, seed: int, bits: int = 10) -> DataFrame:
+def smallest_draws(rows: DataFrame, key: str, value: str, n: int, draws: int, seed: int, bits: int = 10, width: float = 8.0) -> DataFrame:
     """(draw, mean): for each draw the mean value of the n rows with the smallest hash of draw and key, without replacement.
 
-    Hashes have 32 bits. Rows are summed per draw and leading bits; only those of the one cell in which the n-th row
-    lies are put in order, a share of 1 in 2^bits of the rows of a draw.
+    Hashes have 32 bits. The n-th of N lies near the share n / N of them: what is surely smaller is summed where it is, and
+    only hashes within `width` deviations of that share are shuffled and put in order. A draw whose n-th hash lies elsewhere
+    is done again from counts of all its hashes, so the width decides the cost alone. The driver gets a number per draw.
     """
-    hashed = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "draw", key), 256), 1, 8), 16, 10).cast("bigint")
-    each = rows.select(key, F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("h", hashed).withColumn("cell", F.shiftright("h", 32 - bits))
+    spark, count = rows.sparkSession, rows.count()
+    if not 0 < n <= count:
+        return spark.createDataFrame([], "draw int, mean double")
+    apart = width * (n * (1 - n / count)) ** 0.5 / count
+    low, high = (int(min(max(x, 0.0), 1.0) * 2**32) for x in (n / count - apart, n / count + apart))
+    each = _hashed(rows, key, value, range(draws), seed, count).where(F.col("h") < f"{high:08x}" if high < 2**32 else F.lit(True))
+    inside = F.col("h") >= f"{low:08x}"
+    only = lambda c: F.when(inside, F.col(c)).alias(c)
+    sums = each.groupBy("draw", inside.alias("inside"), only("h"), only("key"), F.when(inside, F.col("v")).alias("one")).agg(F.count("*").alias("c"), F.sum("v").alias("s"))
+    before = Window.partitionBy("draw").orderBy("inside", "h", "key", "one").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.greatest(F.lit(0), F.least(F.col("c"), F.lit(n) - F.coalesce(F.sum("c").over(before), F.lit(0))))
+    found = sums.withColumn("t", taken).groupBy("draw").agg(
+        (F.sum(F.when(F.col("inside"), F.col("one") * F.col("t")).otherwise(F.col("s"))) / n).alias("mean"), F.sum("t").alias("t"), F.bool_and(F.col("inside") | (F.col("c") == F.col("t"))).alias("whole"))
+    done = {r.draw: r["mean"] for r in found.where((F.col("t") == n) & F.col("whole")).collect()}
+    out = spark.createDataFrame(list(done.items()), "draw int, mean double")
+    again = [d for d in range(draws) if d not in done]
+    return out.unionByName(_draws_by_cells(_hashed(rows, key, value, again, seed, count), n, bits)) if again else out
+
+
+def _hashed(rows: DataFrame, key: str, value: str, draws: Iterable[int], seed: int, count: int) -> DataFrame:
+    """(key, v, draw, h) of all rows and draws; h is the hash's first 32 bits as hexadecimal digits. About a million to a task."""
+    numbers = list(draws)
+    every = F.array(*map(F.lit, numbers)) if numbers != [*range(len(numbers))] else F.sequence(F.lit(0), F.lit(len(numbers) - 1))
+    narrow = rows.select(F.col(key).alias("key"), F.col(value).alias("v")).repartition(max(rows.sparkSession.sparkContext.defaultParallelism, count * len(numbers) >> 20))
+    each = narrow.select("key", "v", F.explode(every).alias("draw"))
+    return each.withColumn("h", F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "draw", "key"), 256), 1, 8))
+
+
+def _draws_by_cells(each: DataFrame, n: int, bits: int) -> DataFrame:
+    """(draw, mean) from rows and sums per leading bits of the hash; only the rows of the one cell with the n-th are put in order."""
+    each = each.withColumn("cell", F.shiftright(F.conv("h", 16, 10).cast("bigint"), 32 - bits))
     cells = each.groupBy("draw", "cell").agg(F.count("*").alias("c"), F.sum("v").alias("s"))
     before = Window.partitionBy("draw").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # 2^bits rows
     cells = cells.withColumns({"_n": F.coalesce(F.sum("c").over(before), F.lit(0)), "_s": F.coalesce(F.sum("s").over(before), F.lit(0.0))})
-    edge = cells.where((F.col("_n") < n) & (F.col("_n") + F.col("c") >= n)).select("draw", "cell", "_n", "_s")
-    order = Window.partitionBy("draw").orderBy("h", key)
-    last = each.join(edge, ["draw", "cell"]).withColumn("_p", F.row_number().over(order)).where(F.col("_p") <= n - F.col("_n"))
+    edge = cells.where((F.col("_n") < n) & (F.col("_n") + F.col("c") >= n)).select("draw", "cell", "_n", "_s")  # a row per draw
+    order = Window.partitionBy("draw").orderBy("h", "key")
+    last = each.join(F.broadcast(edge), ["draw", "cell"]).withColumn("_p", F.row_number().over(order)).where(F.col("_p") <= n - F.col("_n"))
     return last.groupBy("draw", "_s").agg(F.sum("v").alias("v")).select("draw", ((F.col("_s") + F.col("v")) / n).alias("mean"))
 
 

@@ -152,6 +152,23 @@ def test_draws_take_the_smallest_hashes(spark, n, bits):
         assert np.isclose(got[d], np.mean([i * i % 13 for i in order]))
 
 
+@pytest.mark.parametrize("width", [0.0, 0.5, 8.0])
+def test_draws_shuffle_only_what_lies_near_the_last_hash(spark, width):
+    """However narrow the band of hashes that is put in order, each draw takes its n rows; with the default it is a few rows."""
+    import hashlib
+
+    rows = spark.createDataFrame([(i, float(i * i % 13)) for i in range(3000)], "key int, v double").repartition(3)
+    out = states.smallest_draws(rows, "key", "v", 700, 5, 9, width=width)
+    got = {r.draw: r.mean for r in out.collect()}
+    assert len(got) == 5
+    for d in range(5):
+        order = sorted(range(3000), key=lambda i: (hashlib.sha256(f"9:{d}:{i}".encode()).hexdigest()[:8], i))[:700]
+        assert np.isclose(got[d], np.mean([i * i % 13 for i in order]))
+    if width == 8.0:  # the table of all rows and draws is joined with nothing
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Generate" not in plan
+
+
 def test_metric_gradient_is_that_of_the_loss(spark):
     """The loss falls as the gradient says, and more steps bring it down."""
     import pyarrow as pa
