@@ -30,3 +30,10 @@ def cut(rows: DataFrame) -> DataFrame:
 def place(spark: SparkSession, name: str) -> str:
     """A path in that folder that nothing has used before."""
     return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def columns(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to that folder by column, where narrow rows take less of the disk than with `cut`."""
+    to = place(rows.sparkSession, name)
+    rows.write.parquet(to)
+    return rows.sparkSession.read.schema(rows.schema).parquet(to)

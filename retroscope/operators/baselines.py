@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retroscope.functions.stored import cut
 from retroscope.functions.windows import correlation
 from retroscope.operators import models
 
@@ -79,10 +80,29 @@ def picked(rows: DataFrame, by: list[str], score: Column, key: str, n: int) -> D
     return rows.withColumn("_v", score).where(F.col("_v").isNotNull()).withColumn("_p", place).where(F.col("_p") <= n).drop("_v", "_p")
 
 
-def random_trials(rows: DataFrame, session: str, key: str, n: int, trials: int) -> DataFrame:
-    """rows that each trial (from 0) picks: in a session the n of the highest SHA-256 of trial:key:session."""
-    drawn = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    return picked(drawn, [session, "trial"], F.sha2(F.concat_ws(":", "trial", key, session), 256), key, n)
+def random_trials(rows: DataFrame, session: str, key: str, n: int, trials: int, spare: int = 32) -> DataFrame:
+    """rows that each trial (from 0) picks: in a session the n of the highest SHA-256 of trial:key:session.
+
+    Of a session's hashes only those go on that are so high that about 4 n + spare of them are; a trial's session in which
+    fewer than n are is picked again from all its rows, so spare decides the cost alone. A row per session (of bounded number) is sent to all tasks.
+    """
+    counts = rows.groupBy(F.col(session).alias("_session")).agg(F.count("*").alias("_all"))
+    few = F.greatest(F.lit(0.0), 1 - (4 * n + spare) / F.col("_all"))
+    counts = cut(counts.withColumn("_least", F.lpad(F.lower(F.hex(F.floor(few * 2**32).cast("bigint"))), 8, "0")))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")
+    named = F.when(F.col(key).isNotNull() | F.col(session).isNotNull(), F.concat_ws(":", key, session)).alias("_name")  # once for all trials
+    high = F.sha2(F.concat_ws(":", "trial", "_name"), 256)
+    drawn = rows.join(F.broadcast(counts), F.col(session).eqNullSafe(F.col("_session"))).select(*rows.columns, "_least", named).select("*", numbers).where(high >= F.col("_least"))
+    out = cut(picked(drawn, [session, "trial"], high, key, n).select(*rows.columns, "trial"))
+    got = out.groupBy(F.col(session).alias("_s"), F.col("trial").alias("_t")).agg(F.count("*").alias("_n"))
+    asked = counts.select("_session", F.least("_all", F.lit(n)).alias("_want"), numbers)
+    missed = asked.join(F.broadcast(got), F.col("_session").eqNullSafe(F.col("_s")) & (F.col("trial") == F.col("_t")), "left").where(F.coalesce("_n", F.lit(0)) < F.col("_want")).select("_session", "_want", F.col("trial").alias("_trial"))
+    if missed.isEmpty():
+        return out
+    again = F.col(session).eqNullSafe(F.col("_session"))
+    whole = rows.join(F.broadcast(missed), again).select(*rows.columns, named, F.col("_trial").alias("trial"))
+    kept = out.join(F.broadcast(missed), again & (F.col("trial") == F.col("_trial")), "left_anti")
+    return kept.unionByName(picked(whole, [session, "trial"], high, key, n).drop("_name"))
 
 
 def trial_summary(trials: DataFrame, reference: DataFrame) -> DataFrame:

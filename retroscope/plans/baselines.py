@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retroscope.functions.stored import cut
+from retroscope.functions.stored import columns, cut
 from retroscope.operators import baselines, models, retrieval, states
 from retroscope.plans.cleaning import SEEDS, seeds
 from retroscope.plans.common import RETURNS, W, query, rank, returns, rounded_rows
@@ -84,8 +84,8 @@ UNION ALL (SELECT name, trial, sessions, {', '.join(f'round({c}, 6)' for c in _R
 def baseline_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Momentum, a linear head, holding everything, and the median of random trials, whose spread and odds against momentum come with it."""
     start = F.lit("1996-01-01").cast("date")
-    rows = returns(spark, sf_dir).withColumn("next", F.lead("close").over(Window.partitionBy("security").orderBy("session")) / F.col("close") - 1)
-    rows = cut(rows.select("session", "security", "momentum", "daily_return", "next").dropna())
+    rows = returns(spark, sf_dir, once=True).withColumn("next", F.lead("close").over(Window.partitionBy("security").orderBy("session")) / F.col("close") - 1)
+    rows = columns(rows.select("session", "security", "momentum", "daily_return", "next").dropna(), "suite")
     later = rows.where(F.col("session") >= start)
     head = baselines.head(rows.where(F.col("session") < start), ["momentum", "daily_return"], "next")
     named = {"buy_and_hold": later, "momentum": baselines.picked(later, ["session"], F.col("momentum"), "security", PICKS), "model_head": baselines.picked(later, ["session"], models.linear(head, ["momentum", "daily_return"]), "security", PICKS)}

@@ -73,9 +73,9 @@ def round_sql(columns: list[str], digits: int = 6) -> str:
     return ", ".join(f"round({x}, {digits}) AS {x}" for x in columns)
 
 
-def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def returns(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
     """Bars with sector, market, daily_return, momentum of 21 rows and the return of the next 21."""
-    rows = panel.bars(spark, sf_dir).withColumns({"daily_return": change(F.col("close")), "momentum": change(F.col("close"), 21), "future": F.lead("close", 21).over(by_time()) / F.col("close") - 1})
+    rows = panel.bars(spark, sf_dir, once).withColumns({"daily_return": change(F.col("close")), "momentum": change(F.col("close"), 21), "future": F.lead("close", 21).over(by_time()) / F.col("close") - 1})
     return rows.join(panel.securities(spark, sf_dir), "security")
 
 

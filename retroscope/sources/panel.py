@@ -15,12 +15,14 @@ def missing(column: str) -> F.Column:
     return F.nullif(F.col(column).try_cast("double"), F.lit(float("nan")))
 
 
-def bars(spark: SparkSession, folder: str) -> DataFrame:
+def bars(spark: SparkSession, folder: str, once: bool = False) -> DataFrame:
     """security, session, ordinal, open, high, low, close, volume: one row per security and day of trade lines.
 
-    close is the volume-weighted price from whole cents and units, so sums don't depend on their order.
+    close is the volume-weighted price from whole cents and units, so sums don't depend on their order. once: lines are dealt
+    out by security at the start, so they are shuffled and on disk one time and not two.
     """
     lines = table(spark, folder, "lineitem")
+    lines = lines.repartition("l_suppkey") if once else lines
     price = F.col("l_extendedprice") / F.col("l_quantity")
     first = F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))
     daily = lines.groupBy(F.col("l_suppkey").alias("security"), F.to_date("l_shipdate").alias("session")).agg(

@@ -83,6 +83,18 @@ def test_trials(spark):
     assert (one.trial, one.sharpe) == (2, 2.0) and np.isclose(one.beating, 0.8) and np.isclose([one.sharpe_p05, one.sharpe_p95], np.quantile([3, 1, 2, 5, 2], [0.05, 0.95])).all()
 
 
+@pytest.mark.parametrize("spare", [32, -7])
+def test_trials_pick_from_all_rows_of_large_sessions(spark, spare):
+    """All rows of all trials are never laid out; with few spare hashes many sessions are picked a second time."""
+    rows = spark.createDataFrame([(s, k) for s, size in enumerate((3000, 700, 1)) for k in range(size)], "session int, key int").repartition(3)
+    out = baselines.random_trials(rows, "session", "key", 2, 5, spare=spare)
+    got = {(r.trial, r.session, r.key) for r in out.collect()}
+    draw = lambda t, s, k: hashlib.sha256(f"{t}:{k}:{s}".encode()).hexdigest()
+    assert got == {(t, s, k) for t in range(5) for s, size in enumerate((3000, 700, 1)) for k in sorted(range(size), key=lambda k: draw(t, s, k))[-2:]}
+    if spare == 32:
+        assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_reliability_frame(spark):
     signals = [(1, 10, "a", 0.2, 0.1, 0.3, True), (1, 10, "b", 0.4, 0.1, 0.5, False), (1, 11, "a", -0.1, -0.3, 0.1, True), (2, 10, "a", 0.1, 0.05, 0.2, False), (2, 10, "b", 0.1, 0.05, 0.2, False)]
     outcomes = spark.createDataFrame([(1, 10, 0.4), (1, 11, 0.05)], "session int, security int, future double")
