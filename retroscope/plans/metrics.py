@@ -202,4 +202,4 @@ t AS (SELECT market, session, count(*) AS assets, CASE WHEN count(*) >= 3 AND mi
 SELECT market, count(*) AS sessions, round(avg(spearman), 6) AS spearman, round(avg(s / pairs), 6) AS kendall, round(avg(top_hit), 6) AS top_hit, round(avg(top3), 6) AS top3_jaccard FROM t LEFT JOIN k USING (market, session) WHERE assets >= 2 GROUP BY market""")
 def decision_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How two scores of a session order its securities: Spearman, Kendall (ties count 0), same first, shared first three."""
-    return rounded_rows(ranking.agreement(returns(spark, sf_dir).where("momentum is not null"), "momentum", "volume"), ["market", "sessions"], ["spearman", "kendall", "top_hit", "top3_jaccard"])
+    return rounded_rows(ranking.agreement(returns(spark, sf_dir, once=True).where("momentum is not null"), "momentum", "volume"), ["market", "sessions"], ["spearman", "kendall", "top_hit", "top3_jaccard"])
