@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retroscope.functions.windows import correlation
-from retroscope.operators import analytics, confidence, features, retrieval, weighting
+from retroscope.operators import analytics, confidence, features, retrieval
 from retroscope.operators.calendar import asof
 from retroscope.plans.common import BARS, RETURNS, W, query, rank, returns, rounded_rows
-from retroscope.plans.neighbors import GREEDY, constrained, memory, searched
+from retroscope.plans.neighbors import GREEDY, RULES, constrained, memory, searched
 from retroscope.sources import panel
 
 _WHOLE = f"{RETURNS}, x AS (SELECT * FROM r WHERE momentum IS NOT NULL AND future IS NOT NULL)"
@@ -65,9 +67,8 @@ _RANDOM = " UNION ALL ".join(f"SELECT {s} AS seed, query_id, avg(target) AS v FR
 @query(f"""SELECT n.query_id, round(n.v, 6) AS nearest, round(avg(r.v), 6) AS random, round(stddev_samp(r.v), 6) AS spread, round(avg(CAST(r.v < n.v AS INT)), 6) AS beaten FROM ({GREEDY} SELECT query_id, avg(target) AS v FROM k GROUP BY 1) n JOIN ({_RANDOM}) r USING (query_id) GROUP BY n.query_id, n.v""")
 def matched_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest records' mean outcome against means of random records under the same rules."""
-    every = retrieval.candidates(*memory(spark, sf_dir))
     mean = lambda df: df.groupBy("query_id").agg(F.avg("target").alias("v"))
-    parts = [mean(retrieval.constrained(weighting.shuffled(every, 100 + s))) for s in _REPL]
+    parts = [mean(retrieval.constrained(retrieval.candidates(*memory(spark, sf_dir), replace(RULES, seed=100 + s)))) for s in _REPL]
     random = parts[0]
     for part in parts[1:]:
         random = random.unionByName(part)
