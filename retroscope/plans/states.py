@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from retroscope.functions.stored import cut
 from retroscope.functions.windows import correlation
-from retroscope.operators import retrieval, states, weighting
+from retroscope.operators import retrieval, states
 from retroscope.plans.common import query, rounded_rows
 from retroscope.plans.neighbors import DISTANCE, memory
 from retroscope.sources import panel
@@ -108,9 +108,8 @@ def _others(spark: SparkSession, sf_dir: str, k: int, seed: int | None = None) -
     queries, rows = memory(spark, sf_dir)
     every = rows.withColumn("available", F.lit(-1).cast("bigint"))
     asked = queries.withColumn("at", F.lit(0).cast("bigint"))
-    rules = retrieval.Rules(k=k + 1, mode="allow") if seed is None else retrieval.Rules(mode="allow")
-    found = retrieval.candidates(asked, every, rules).where("query_id <> record_id")
-    near = retrieval.nearest(found if seed is None else weighting.shuffled(found, seed), k)
+    found = retrieval.candidates(asked, every, retrieval.Rules(k=k + 1, mode="allow", seed=seed)).where("query_id <> record_id")
+    near = retrieval.nearest(found, k)
     return near.join(queries.select("query_id", F.col("target").alias("own")), "query_id")
 
 
